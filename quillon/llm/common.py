@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def as_batch(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.Recor
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that no piece holds much more than `most` bytes of text (one text at least)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
