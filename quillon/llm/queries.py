@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, tokens, toxicity
+from . import language, lattice, quality, tokens, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
