@@ -78,3 +78,47 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn, from a partition sorted by the keys; only one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        columns = [batch.column(k) for k in keys]
+        n = batch.num_rows
+        if not n:
+            continue
+        differs = [False] * (n - 1)
+        for c in columns:
+            for i, x in enumerate(pc.fill_null(pc.not_equal(c.slice(0, n - 1), c.slice(1)), True).to_pylist()):
+                differs[i] = differs[i] or x
+        starts = [0, *(i + 1 for i, x in enumerate(differs) if x), n]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(c[a].as_py() for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label: the smallest node of its connected component, by rounds of neighbours' minima and label jumps.
+
+    All rounds are joins and minima with partial aggregation; each is written to the shared folder.
+    """
+    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"))
+        # a label is a node too: taking its label halves the way to the component's smallest node
+        jumped = lower.alias("x").join(lower.select(F.col("node").alias("at"), F.col("label").alias("further")), F.col("x.label") == F.col("at"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
+        after = written(jumped, "labels")
+        changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        labels = after
+        if not changed:
+            return labels
