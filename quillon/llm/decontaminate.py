@@ -132,15 +132,35 @@ def _pass(sent, threshold: float, last: bool):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, contaminated, item_id (most covered), coverage, leaked (ids of all leaked items) of every whole text."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, least: int, block_bytes: int) -> list:
+    """The test items as broadcast blocks of about block_bytes of text each, one block at least."""
+    spark = benchmark.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    n = max(1, -(-size // block_bytes))
+    rows = [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect() for b in range(n)]
+    return [spark.sparkContext.broadcast(Block([(r["item_id"], r["text"].encode()) for r in block], least)) for block in rows]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows whose text leaks no item, with all their columns; a pass per block, no shuffle."""
+
+    def kept(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([all(c < coverage for _, c in sent.value.search(t)) for t in common.texts(batch)], pa.bool_()))
+
+        return run
+
+    for sent in item_blocks(benchmark, least, block_bytes):
+        docs = docs.mapInArrow(kept(sent), docs.schema)
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.6, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, contaminated, item_id (most covered), coverage, leaked (ids of all leaked items) of every whole text."""
     out = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.array().cast("array<long>").alias("leaked"))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(Block([(r["item_id"], r["text"].encode()) for r in rows], least))
-        out = out.mapInArrow(_pass(sent, coverage, b == blocks - 1), FOUND_DDL)
+    blocks = item_blocks(benchmark, least, block_bytes)
+    for b, sent in enumerate(blocks):
+        out = out.mapInArrow(_pass(sent, coverage, b == len(blocks) - 1), FOUND_DDL)
     return out.select("doc_id", (F.size("leaked") > 0).alias("contaminated"), "item_id", "coverage", "leaked")

@@ -1,11 +1,54 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each on what the one before has kept.
+
+Rows without an id pass the near-duplicate stage, which can't name them; repeated rows (same id and text) are one there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import common, decontaminate, neardup, packing, repeats, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    once = named.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where("_copy = 1").drop("_copy")
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that start in an earlier document too go from the texts."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    cut = repeats.remove_repeats(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("text").alias("_text"))
+    rest = docs.withColumn("_key", key).drop("text").dropDuplicates(["doc_id", "_key"])
+    out = cut.join(rest, F.col("_id").eqNullSafe(F.col("doc_id")) & (cut["_key"] == rest["_key"]))
+    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a test item go."""
+    return decontaminate.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, by sequence."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", drop_repeats), ("decontamination", drop_leaks), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
