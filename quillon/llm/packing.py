@@ -100,7 +100,7 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, gap: float = 0.001, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def solve(demand: np.ndarray, gap: float = 0.003, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and how often the linear program uses them; demand[c - 1] items of c units, capacity len(demand) units."""
     capacity, rows = len(demand), np.flatnonzero(demand)
     n, d = len(rows), demand[rows].astype(float)
@@ -108,32 +108,36 @@ def solve(demand: np.ndarray, gap: float = 0.001, rounds: int = 4000) -> tuple[n
         return np.zeros((0, capacity), np.int64), np.zeros(0)
     columns = np.zeros((n, capacity), np.int64)
     columns[np.arange(n), rows] = capacity // (rows + 1)
-    inverse = np.diag(1.0 / columns[np.arange(n), rows])
+    basis, cost = np.diag(columns[np.arange(n), rows].astype(float)), np.ones(n)
+    inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ d
     for i in range(rounds):
-        if i % 200 == 199:
-            inverse = np.linalg.inv(columns[:, rows].T.astype(float))
+        if i % 100 == 99:
+            inverse = np.linalg.inv(basis)
             x = inverse @ d
         duals = np.zeros(capacity)
-        duals[rows] = inverse.sum(0)
-        if (low := int(duals[rows].argmin())) >= 0 and duals[rows[low]] < -1e-9:
-            entering, direction = None, -inverse[:, low]  # an item too many is allowed: its surplus column enters
+        duals[rows] = cost @ inverse
+        low = int(duals[rows].argmin())
+        if duals[rows[low]] < -1e-9:  # an item too many is allowed: the surplus of this class enters, at no cost
+            pattern, column, price = np.zeros(capacity, np.int64), -(np.arange(n) == low).astype(float), 0.0
         else:
-            value, entering = knapsack(duals, capacity)
+            value, pattern = knapsack(duals, capacity)
             if value <= 1 + gap:
                 break
-            direction = inverse @ entering[rows]
+            column, price = pattern[rows].astype(float), 1.0
+        direction = inverse @ column
         ratios = np.where(direction > 1e-9, np.maximum(x, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
         leave = int(ratios.argmin())
-        if not np.isfinite(ratios[leave]) or entering is None:
-            break  # surplus columns are left out: such duals mean that coverage costs nothing any more
+        if not np.isfinite(ratios[leave]):
+            break
         x = x - ratios[leave] * direction
         x[leave] = ratios[leave]
-        columns[leave] = entering
+        columns[leave], basis[:, leave], cost[leave] = pattern, column, price
         pivot = inverse[leave] / direction[leave]
         inverse = inverse - np.outer(direction, pivot)
         inverse[leave] = pivot
-    return columns, np.maximum(x, 0)
+    used = cost > 0
+    return columns[used], np.maximum(x[used], 0)
 
 
 def plan(counts: dict[int, int], size: int, grain: int, fullness: float = 0.99) -> Plan:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Printable ASCII without the apostrophe (contractions need the whole tokenizer) and Latin-1 letters: each such character is
 #: its own NFC form, lower-cases alone, and is a letter, a digit or other to the tokenizer's split exactly as SPLIT has it.
 SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
