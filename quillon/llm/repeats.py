@@ -36,7 +36,7 @@ from .neardup import mixed
 
 BASE = 0x9E3779B97F4A7C15
 NAME = np.uint64((1 << 48) - 1)
-PART = 1 << 21  # bytes that are hashed at a time
+PART = 1 << 20  # bytes that are hashed at a time
 FLUSH = 1 << 20  # anchors that a task sorts before it sends them on
 U = np.uint64
 
@@ -48,18 +48,20 @@ def power(n: int) -> np.uint64:
 def names(text: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hashes of all n-byte strings, by doubling: the name at 2k is made of the names at k and k further on."""
     with np.errstate(over="ignore"):
-        made = {1: text.astype(np.uint64) + U(1)}
-        k = 1
-        while 2 * k <= n:
-            made[2 * k] = made[k][:-k] * power(k) + made[k][k:] if len(made[k]) > k else made[k][:0]
+        have, k, out = 0, 1, None
+        step = text.astype(np.uint64) + U(1)
+        while True:  # powers of two from small to large; those that n is made of are put together, the larger to the left
+            if n & k:
+                if out is None:
+                    out, have = step, k
+                else:
+                    size = max(0, len(text) - have - k + 1)
+                    out = step[:size] * power(have) + out[k : k + size]
+                    have += k
+            if 2 * k > n:
+                return out
+            step = step[:-k] * power(k) + step[k:] if len(step) > k else step[:0]
             k *= 2
-        out, have = made[k], k
-        while have < n:
-            k = max(x for x in made if x <= n - have)
-            size = max(0, len(text) - have - k + 1)
-            out = out[:size] * power(k) + made[k][have : have + size]
-            have += k
-    return out
 
 
 def parts(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -228,7 +230,7 @@ def met(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple
         yield found, rest.column("doc_id").to_pylist(), rest.column("key").to_pylist(), [(t or b"") for t in rest.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _stretches(size: int, gram: int, buckets: int, sent_hot):
+def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
     """Round 2, before the shuffle: surviving strings as stretches of text by anchor, the smallest id's of equal ones alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +291,7 @@ def _stretches(size: int, gram: int, buckets: int, sent_hot):
                 out[TEXT, b] += [(content, len(content), doc_id, k, s) for k, s in places]
             for g, (doc_id, places, b) in single.items():
                 out[NAMED, b] += [(g.to_bytes(8, "little"), 8, doc_id, k, s) for k, s in places]
-            for b, at in by_bucket(home(np.array([d for d, *_ in done], np.int64), buckets)) if done else ():
+            for b, at in by_bucket(home(np.array([d for d, *_ in done], np.int64), homes)) if done else ():
                 out[DONE, b] = [(b"", done[i][3], *done[i][:3]) for i in at.tolist()]
             for (kind, b), rows in out.items():
                 content, lengths, d, k, s = zip(*rows, strict=True)
@@ -319,7 +321,12 @@ def _spans(size: int, buckets: int):
                     ends = np.cumsum(lengths)
                     owner = np.repeat(np.arange(len(doc)), each)
                     inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-                    name = mixed(names(raw, size))[(ends - lengths)[owner] + inside]
+                    name = np.empty(len(owner), np.uint64)
+                    cut = np.searchsorted(ends, np.arange(0, len(raw), PART), "left")  # whole stretches of about PART bytes at a time
+                    for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
+                        if b > a:
+                            low, grams = ends[a] - lengths[a], slice(int(each[:a].sum()), int(each[:b].sum()))
+                            name[grams] = mixed(names(raw[low : ends[b - 1]], size))[(ends - lengths)[owner[grams]] - low + inside[grams]]
                 owner = np.repeat(np.arange(len(doc)), each)
                 inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
                 order = np.lexsort((doc[owner], name))
@@ -399,7 +406,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: b
     replies = common.written(census.mapInArrow(_census(buckets, hot), "kind int, bucket int, names binary, docs binary"), "shared-anchors")
     hot_names = unpacked([r["names"] for r in replies.where(F.col("kind") == HOT).select("names").collect()]).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.unique(hot_names))
-    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], buckets).mapInArrow(_stretches(size, gram, buckets, sent), STRETCH_DDL)
+    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], buckets).mapInArrow(_stretches(size, gram, 4 * buckets, buckets, sent), STRETCH_DDL)
     spans = stretches.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_spans(size, buckets), "bucket int, docs binary, keys binary, starts binary, counts binary")
     spans = common.written(spans, "repeat-spans")
     out = with_texts(known, spans, ["docs", "keys", "starts", "counts"], buckets).mapInArrow(_cut(size, keep_text), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
