@@ -95,4 +95,4 @@ def a54(spark, d):
     from ..operators.sampling import inverse_propensity
 
     w = F.col("weight")
-    return inverse_propensity(reach, ["k"], "event_id").groupBy("k").agg(F.round(F.sum(w * F.col("ok")) / F.sum(w), 6).alias("agreement"), F.round(F.sum(w) * F.sum(w) / F.sum(w * w), 4).alias("n_effective"))
+    return inverse_propensity(reach, ["k"], "event_id").groupBy(F.col("k").cast("bigint").alias("k")).agg(F.round(F.sum(w * F.col("ok")) / F.sum(w), 6).alias("agreement"), F.round(F.sum(w) * F.sum(w) / F.sum(w * w), 4).alias("n_effective"))
