@@ -48,15 +48,22 @@ def swap_gender(text: Column) -> Column:
             shield = F.coalesce(before.endswith(MARK) & after.startswith(MARK), F.lit(False))
             possessive = F.coalesce(after.rlike(r"^\s+$"), F.lit(False)) & (follower != "") & ~follower.isin(*OBJECT_FOLLOWERS)
             her = F.lower(t) == "her"
-            other = F.when(her, F.when(possessive, "his").otherwise("him")).otherwise(F.try_element_at(table, F.lower(t)))
-            return F.struct(F.coalesce(F.when(~shield, match_case(other, t)), t).alias("t"), (~shield & other.isNotNull()).cast("int").alias("s"), (~shield & her).cast("int").alias("h"))
+            other = F.when(shield, None).when(her, F.when(possessive, "his").otherwise("him")).otherwise(F.try_element_at(table, F.lower(t)))
+            changed = lambda o: F.struct(F.coalesce(match_case(o, t), t).alias("t"), o.isNotNull().cast("int").alias("s"), (o.isNotNull() & her).cast("int").alias("h"))
+            # most tokens are longer than any gendered word, or no words at all
+            same = F.struct(t.alias("t"), F.lit(0).alias("s"), F.lit(0).alias("h"))
+            return F.when((F.length(t) < 2) | (F.length(t) > 11) | ~t.rlike("^[A-Za-z]"), same).otherwise(F.transform(F.array(other), changed)[0])
 
         return F.transform(tokens, one)
 
-    done = swapped(tokens)
-    total = lambda field: F.aggregate(done, F.lit(0), lambda a, x: a + x[field])
-    joined = F.regexp_replace(F.array_join(F.transform(done, lambda x: x["t"]), ""), MARK, "")
-    return F.when(text.isNotNull(), F.struct(F.when(text == "", "").otherwise(joined).alias("text"), total("s").alias("swapped"), total("h").alias("her_resolved")))
+    def gathered(done: Column) -> Column:
+        total = lambda field: F.aggregate(done, F.lit(0), lambda a, x: a + x[field])
+        joined = F.regexp_replace(F.array_join(F.transform(done, lambda x: x["t"]), ""), MARK, "")
+        return F.struct(joined.alias("text"), total("s").alias("swapped"), total("h").alias("her_resolved"))
+
+    # arrays of one bind the tokens, and what became of them, to a variable: written out, each token would split the text anew
+    done = F.transform(F.array(tokens), swapped)
+    return F.when(text.isNotNull(), F.transform(done, gathered)[0])
 
 
 def pronoun_at(text: Column) -> Column:
