@@ -34,8 +34,8 @@ from .tokens import Generations
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 COORDINATES, MATCHES = 32, 10
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.list_(pa.int64()))])
-SIGNED_DDL = "doc_id long, n_shingles long, node binary, signature array<long>"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
+SIGNED_DDL = "doc_id long, n_shingles long, node binary, signature binary"
 
 
 class WordHashes(Generations):
@@ -64,11 +64,11 @@ def shingles(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
-    """The least value of each of `coordinates` hash functions, 32 bits each."""
+def signature(found: np.ndarray, coordinates: int) -> bytes:
+    """The least value of each of `coordinates` hash functions, four bytes each."""
     with np.errstate(over="ignore"):
         odd = mixed(np.arange(1, coordinates + 1, dtype=np.uint64) * MIX[0]) | np.uint64(1)
-        return np.array([((found * m) >> np.uint64(32)).min() for m in odd], np.int64)
+        return np.array([((found * m) >> np.uint64(32)).min() for m in odd], np.uint64).astype(np.uint32).tobytes()
 
 
 def sign(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
@@ -113,7 +113,8 @@ def tie(signatures: np.ndarray, matches: int) -> list[tuple[int, int]]:
 
 def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> DataFrame:
     """Edges (a, b) between nodes of the same families."""
-    posted = nodes.select("node", F.posexplode("signature").alias("coordinate", "value")).select("node", (F.col("coordinate") * F.lit(1 << 32) + F.col("value")).alias("key"))
+    at = F.col("coordinate")
+    posted = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1))).alias("coordinate")).select("node", F.xxhash64(at, F.substring("signature", at * 4 + 1, F.lit(4))).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "key"))
     met = posted.join(often, "key").withColumn("rank", rarest)
@@ -128,7 +129,7 @@ def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> Da
         for group in common.groups(batches, ["key", "second"]):
             if group.num_rows > 1:
                 names = group.column("node").to_pylist()
-                values = group.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
+                values = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
                 out += [(names[i], names[j]) for i, j in tie(values, matches)]
             if len(out) > 50_000:
                 yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
