@@ -37,6 +37,7 @@ from .neardup import mixed
 BASE = 0x9E3779B97F4A7C15
 NAME = np.uint64((1 << 48) - 1)
 PART = 1 << 20  # bytes that are hashed at a time
+BUCKET_BYTES = 4 << 20  # text whose stretches make up a bucket of round 2, at most: their number follows the data alone
 FLUSH = 1 << 20  # anchors that a task sorts before it sends them on
 U = np.uint64
 
@@ -401,12 +402,13 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: b
     buckets = common.shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
     known = docs.where("doc_id is not null")
-    hot = max(1000, known.count() // 1000)
+    count, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    hot, stretch_buckets = max(1000, count // 1000), max(1, -(-n_bytes // BUCKET_BYTES))
     census = known.select("doc_id", "text").mapInArrow(_anchors(size, gram, buckets), CENSUS_DDL).repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     replies = common.written(census.mapInArrow(_census(buckets, hot), "kind int, bucket int, names binary, docs binary"), "shared-anchors")
     hot_names = unpacked([r["names"] for r in replies.where(F.col("kind") == HOT).select("names").collect()]).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.unique(hot_names))
-    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], buckets).mapInArrow(_stretches(size, gram, 4 * buckets, buckets, sent), STRETCH_DDL)
+    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], buckets).mapInArrow(_stretches(size, gram, stretch_buckets, buckets, sent), STRETCH_DDL)
     spans = stretches.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_spans(size, buckets), "bucket int, docs binary, keys binary, starts binary, counts binary")
     spans = common.written(spans, "repeat-spans")
     out = with_texts(known, spans, ["docs", "keys", "starts", "counts"], buckets).mapInArrow(_cut(size, keep_text), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
