@@ -367,7 +367,7 @@ def _cut(size: int, keep_text: bool):
             order = np.lexsort((key, doc))
             doc, key, start, count = doc[order], key[order], start[order], count[order]
             begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, np.int64)
-            of = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(begins, [*begins[1:], len(doc)], strict=True)}
+            of = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(begins, [*begins[1:], len(doc)], strict=False)}
             out = []
             for d, k, text in zip(doc_ids, keys, texts, strict=True):
                 a, b = of.get((d, k), (0, 0))
