@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+for threads in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # numpy on small matrices, beside Spark's own threads
+    os.environ.setdefault(threads, "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__))) + os.pathsep + os.environ.get("PYTHONPATH", "")
 
