@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows that are numbered together in one task.
+RANGE_ROWS = 20_000
+
 
 def inverse_propensity(rows: DataFrame, by: list[str], tie: str, max_ratio: float = 20.0) -> DataFrame:
     """weight: 1/propensity, capped at max_ratio times the upper median of its group, scaled so that the group's weights sum to
@@ -18,6 +21,30 @@ def inverse_propensity(rows: DataFrame, by: list[str], tie: str, max_ratio: floa
     return capped.withColumn("weight", F.col("_capped") * F.col("_n") / F.sum("_capped").over(whole)).drop("_raw", "_n", "_r", "_capped")
 
 
+def numbered(rows: DataFrame, time: str, tie: str, out: str) -> DataFrame:
+    """Numbers rows from 1 by time, then tie: ranges of time of about RANGE_ROWS rows are counted, the few counts are summed up, and
+    each range is numbered by itself. Where the ranges are cut has no effect on the numbers; equal times share a range."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    n = rows.count()
+    cuts = [i * RANGE_ROWS / n for i in range(1, -(-n // RANGE_ROWS))]
+    bounds = sorted(set(rows.agg(F.percentile_approx(at, cuts, 100_000)).first()[0])) if cuts else []
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= at)))
+    upto = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.groupBy("_range").count().select("_range", upto.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(time, tie))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def alignment_curve(rows: DataFrame, time: str, tie: str, window: int = 20) -> DataFrame:
+    """k, agreement, n_effective: weighted agreement (ok, 0/1) over the last `window` labels up to the k-th, weights made anew for each
+    k. A label meets the `window` curve points that it counts for by number, so the rows grow in proportion to the labels."""
+    r = numbered(rows.select(time, tie, "propensity", "ok"), time, tie, "k")
+    last = rows.agg(F.count("*").alias("last"))
+    reach = r.crossJoin(F.broadcast(last)).select(tie, "propensity", "ok", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + window - 1, F.col("last")))).alias("k"))
+    w = F.col("weight")
+    return inverse_propensity(reach, ["k"], tie).groupBy("k").agg((F.sum(w * F.col("ok")) / F.sum(w)).alias("agreement"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_effective"))
+
+
 def selection_distribution(rows: DataFrame, temperature: float = 0.60, explore: float = 0.15) -> DataFrame:
     """probability: (1 - explore) softmax(score / temperature) + explore / n. The totals are one aggregated row."""
     if temperature <= 0 or not 0 <= explore <= 1:

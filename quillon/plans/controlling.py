@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators import fitting, metrics
+from ..operators import fitting, metrics, records, sampling
 from ..registry import query
 from . import worlds as W
 from .measure import SUMMARY, ece_sql, rounded
@@ -85,14 +85,24 @@ def r07(spark, d):
     c AS (SELECT *, least(raw, 20 * max(CASE WHEN j = n // 2 + 1 THEN raw END) OVER (PARTITION BY k)) AS w FROM p)
     SELECT k, round(sum(w * CAST(ok AS INTEGER)) / sum(w), 6) AS agreement, round(sum(w) * sum(w) / sum(w * w), 4) AS n_effective FROM c GROUP BY k""")
 def a54(spark, d):
-    """Agreement over the last 20 labels of one labelling session, weights made anew for each. The session is a person's work
-    and bounded; its labels are numbered once, and each meets the 20 before it by number."""
-    f = W.feedback(spark, d).where("event_id % 40 = 0")
-    ok = (S.normalize_label(F.col("initial")) == S.normalize_label(F.col("final"))).cast("int")
-    r = f.select("event_id", "propensity", ok.alias("ok"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")).alias("k"))
-    last = r.agg(F.max("k").alias("last"))
-    reach = r.crossJoin(F.broadcast(last)).select("event_id", "propensity", "ok", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + 19, F.col("last")))).alias("k"))
-    from ..operators.sampling import inverse_propensity
+    """A54, W7 over every 40th labelling event, as its SQL has it: a sample, 2.5 % of the events, without latest-wins. The whole curve is
+    a54_alignment_latest."""
+    return curve(W.feedback(spark, d).where("event_id % 40 = 0"))
+
 
-    w = F.col("weight")
-    return inverse_propensity(reach, ["k"], "event_id").groupBy(F.col("k").cast("bigint").alias("k")).agg(F.round(F.sum(w * F.col("ok")) / F.sum(w), 6).alias("agreement"), F.round(F.sum(w) * F.sum(w) / F.sum(w * w), 4).alias("n_effective"))
+@query("a54_alignment_latest", f"""WITH {W.FEEDBACK}, l AS (SELECT * FROM feedback QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) = 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM l WHERE NOT is_invalid AND label_source IN ('vetted_feedback', 'regular_final_feedback') AND final IS NOT NULL AND initial IS NOT NULL AND propensity > 0),
+    p AS (SELECT a.k, b.event_id, 1 / b.propensity AS raw, b.initial = rtrim(lower(b.final), '.') AS ok, count(*) OVER (PARTITION BY a.k) AS n, row_number() OVER (PARTITION BY a.k ORDER BY 1 / b.propensity, b.event_id) AS j FROM r a JOIN r b ON b.k BETWEEN a.k - 19 AND a.k),
+    c AS (SELECT *, least(raw, 20 * max(CASE WHEN j = n // 2 + 1 THEN raw END) OVER (PARTITION BY k)) AS w FROM p)
+    SELECT k, round(sum(w * CAST(ok AS INTEGER)) / sum(w), 6) AS agreement, round(sum(w) * sum(w) / sum(w * w), 4) AS n_effective FROM c GROUP BY k""")
+def a54_latest(spark, d):
+    """Agreement over the last 20 labels, of the latest record of every item that has a trusted label, an agreement and a
+    propensity. A later record without one takes the item out, as in the reference."""
+    latest = records.latest_by(W.feedback(spark, d), ["item_id"], ["ts", "event_id"])
+    return curve(latest.where(records.label_of(F.col("label_source"), F.col("final"), F.col("is_invalid")).isNotNull()))
+
+
+def curve(feedback):
+    ok = (S.normalize_label(F.col("initial")) == S.normalize_label(F.col("final"))).cast("int")
+    rows = feedback.withColumn("ok", ok).where("ok is not null and propensity is not null and propensity <> 0")
+    return sampling.alignment_curve(rows, "ts", "event_id").select("k", F.round("agreement", 6).alias("agreement"), F.round("n_effective", 4).alias("n_effective"))
