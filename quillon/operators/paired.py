@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +74,32 @@ def bootstrap_mean(values: DataFrame, resamples: int = 1000, seed: str = "b") ->
     return means.select(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def bootstrap_share(values: DataFrame, resamples: int = 1000, seed: str = "b") -> DataFrame:
+    """Percentile interval of the mean of 0/1 values x. A resample of n values with k ones holds Binomial(n, k / n) ones, so that each
+    is drawn from the two counts, by the inverse of the exact distribution at an md5 draw. Without values both limits are 0."""
+    n, k, other = values.agg(F.count("x"), F.count_if(F.col("x") == 1), F.count_if(~F.col("x").isin(0, 1))).first()
+    if other:
+        raise ValueError("bootstrap_share takes values of 0 and 1")
+    ones, upto = _binomial(n, k)
+    draws = [int(hashlib.md5(f"{seed}#{r}".encode()).hexdigest()[:8], 16) / 4294967296 for r in range(resamples)]
+    means = sorted(ones[min(bisect.bisect_right(upto, u), len(ones) - 1)] / max(n, 1) for u in draws)
+    at = lambda q: float(means[min(int(q * resamples), resamples - 1)])
+    return values.sparkSession.createDataFrame([(at(0.025), at(0.975))], "low double, high double")
+
+
+def _binomial(n: int, k: int) -> tuple[range, list[float]]:
+    """Numbers of ones and their cumulated Binomial(n, k / n) probabilities, over 12 deviations and 40 on each side."""
+    if k in (0, n):
+        return range(k, k + 1), [1.0]
+    wide = int(12 * math.sqrt(k * (n - k) / n)) + 40
+    ones = range(max(0, k - wide), min(n, k + wide) + 1)
+    odds = math.log(k) - math.log(n - k)
+    logs = [odds * (i - k) + math.lgamma(k + 1) + math.lgamma(n - k + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in ones]
+    powers = [math.exp(x) for x in logs]  # relative to the likeliest number, k
+    total = math.fsum(powers)
+    return ones, [x / total for x in itertools.accumulate(powers)]
+
+
 def answer_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Share of changed top answers and mean change of p, over items that both have."""
     both = before.select("item_id", F.col("predicted").alias("a"), F.col("p").alias("pa")).join(after.select("item_id", F.col("predicted").alias("b"), F.col("p").alias("pb")), "item_id")

@@ -188,6 +188,12 @@ def a31(spark, d):
     return rounded(paired.bootstrap_mean(v, 50))
 
 
+@query("a31_bootstrap_1000")
+def a31_1000(spark, d):
+    """A31 with the reference's 1,000 resamples, from the counts; a31_bootstrap has 50 for its SQL."""
+    return rounded(paired.bootstrap_share(W.verdicts(spark, d).select((F.col("predicted") != F.col("twin_predicted")).cast("double").alias("x")), 1000))
+
+
 @query("j09_complete_versions", f"WITH {W.VERSIONS}, v AS (SELECT * FROM versions WHERE NOT (source_id % 7 = 0 AND k = 4)) SELECT source_id, grp, k FROM v WHERE source_id IN (SELECT source_id FROM v GROUP BY 1 HAVING count(*) = 16)")
 def j09(spark, d):
     return paired.complete_versions(W.versions(spark, d).where(~((F.col("source_id") % 7 == 0) & (F.col("k") == 4)))).select("source_id", "grp", "k")

@@ -1,9 +1,13 @@
 """The alignment curve and the bootstrap against brute force, on all rows."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillon import registry
-from quillon.operators import sampling
+from quillon.operators import paired, sampling
 from quillon.plans import worlds as W
 
 
@@ -38,3 +42,31 @@ def test_numbers_over_many_ranges_and_equal_times(spark, monkeypatch):
     got = sampling.numbered(rows, "ts", "id", "k").orderBy("k").collect()
     assert [r.id for r in got] == want and [r.k for r in got] == list(range(1, 301))
     assert sampling.numbered(rows.limit(0), "ts", "id", "k").count() == 0
+
+
+def test_binomial_is_exact():
+    for n, k in ((1, 0), (1, 1), (7, 3), (60, 1), (300, 77)):
+        ones, upto = paired._binomial(n, k)
+        exact = {i: math.comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(n + 1)}
+        assert all(abs(u - sum(v for i, v in exact.items() if i <= o)) < 1e-9 for o, u in zip(ones, upto, strict=True))
+    ones, upto = paired._binomial(10**9, 10**8)
+    assert abs(upto[10**8 - ones.start] - 0.5) < 1e-3 and abs(sum(1 - u for u in upto) + ones.start - 10**8) < 50
+
+
+def test_bootstrap_takes_a_thousand_resamples(spark, data):
+    flips = [int(r.predicted != r.twin_predicted) for r in W.verdicts(spark, data).collect()]
+    draw = random.Random(0)
+    means = sorted(sum(draw.choices(flips, k=len(flips))) / len(flips) for _ in range(1000))
+    low, high = registry.queries()["a31_bootstrap_1000"](spark, data).first()
+    error = 0.35 * math.sqrt(sum(flips) / len(flips) * (1 - sum(flips) / len(flips)) / len(flips)) + 1 / len(flips)  # four errors of a quantile of 1,000
+    assert abs(low - means[25]) < error and abs(high - means[975]) < error
+    v = spark.createDataFrame(list(enumerate(map(float, flips))), "i long, x double")
+    exploded = paired.bootstrap_mean(v, 1000).first()
+    assert abs(low - exploded.low) < error and abs(high - exploded.high) < error
+
+
+def test_bootstrap_of_few_values(spark):
+    share = lambda xs: tuple(paired.bootstrap_share(spark.createDataFrame([(float(x),) for x in xs], "x double")).first())
+    assert share([]) == (0.0, 0.0) and share([0, 0]) == (0.0, 0.0) and share([1]) == (1.0, 1.0) and share([0, 1] * 2) == (0.0, 1.0)
+    with pytest.raises(ValueError):
+        share([0, 2])
