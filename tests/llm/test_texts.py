@@ -1,5 +1,6 @@
 """Operators that judge a text by itself, or by a model: packing, quality, toxicity, tokens, likelihood, language."""
 
+import itertools
 import math
 import random
 import zlib
@@ -176,3 +177,60 @@ def test_unseen_words_back_off():
     rows = [("en", 0, "the", 5), ("en", 3, "ing", 4), ("fr", 3, "ois", 4), ("fr", 0, "le", 5)]
     model = language.LanguageModel(rows)
     assert np.argmax(model.word("running")) == 0 and np.argmax(model.word("francois")) == 1
+
+
+def spelled(restorer, token):
+    """All readings of a token with their best scores, by enumeration."""
+    texts = {"": 0.0}
+    runs, i = [], 0
+    while i < len(token):
+        n = next((k for k in range(1, len(token) - i) if token[i + k] != token[i]), len(token) - i)
+        runs.append((token[i], n))
+        i += n
+    for at, (c, n) in enumerate(runs):
+        if c in toxicity.MASKS:
+            ways = [("".join(x), -3.0 * n) for x in itertools.product(restorer.letters, repeat=n)] + ([("", -1.0 * n)] if 0 < at < len(runs) - 1 else [])
+        else:
+            ways = restorer.options(c, n)
+        after = {}
+        for text, s in texts.items():
+            for x, cost in ways:
+                after[text + x] = max(after.get(text + x, -math.inf), s + cost)
+        texts = after
+    log = lambda t: sum(restorer.model.log(("^^" + t)[i : i + 2], (t + "$")[i]) for i in range(len(t) + 1))
+    return {t: s + log(t) for t, s in texts.items()}
+
+
+def foul_model():
+    words = {"vermin": 3.0, "scumbag": 2.5, "idiot": 2.0, "fugk": 2.0, "brat-": 1.5, "bratish": 1.0}
+    trigrams = Counter(g for w in ["vermin", "scumbag", "idiot", "fugk", "bratish", "bratful", "garden", "river", "market", "winter", "letter"] * 20 for g in map("".join, zip("^^" + w, "^" + w + "$", w + "$")))
+    return toxicity.ToxicityModel(words, -3.0, dict(trigrams))
+
+
+def test_restoration_leaves_no_reading_out():
+    model, draw = foul_model(), random.Random(3)
+    tokens = ["f**k", "v3rm*n", "*diot", "idio*", "br4tly", "v-e-rm1n", "verrmiin", "br@t*", "letter", "1d1ot", "w1n*er", "vv3rmin"]
+    for _ in range(150):
+        word = list(draw.choice(["vermin", "idiot", "fugk", "bratly", "scumbag", "garden", "letter"]))
+        for i in draw.sample(range(len(word)), 2):
+            word[i] = draw.choice([word[i] * 3, word[i] + "-", "*" if "*" not in word else word[i], {"i": "1", "a": "4", "e": "3", "o": "0"}.get(word[i], word[i]), "x"])
+        tokens.append("".join(word))
+    for token in tokens:
+        texts = spelled(model.restorer, token)
+        best, want = max(texts.values()), set()
+        for t, s in texts.items():
+            if s >= best - 2.0 - 1e-9:
+                want |= {x for x in (t, *toxicity.stems(t)) if x in model.weights}
+        assert set(model.restorer.read_as(token)) == want, token
+
+
+@pytest.mark.parametrize("token,word", [("br4tly", "brat-"), ("idio*", "idiot"), ("*diot", "idiot"), ("**iot", "idiot"), ("idi**", "idiot"), ("f**k", "fugk"), ("good/v3rm1n/" * 30, "vermin"), ("v3r" + "r" * 300 + "min", "vermin"), ("river,v3rm1n", "vermin"), ("**v3rm1n**", "vermin"), ("vermin/1d1ot", "idiot"), ("idio*,", "idiot"), ("river-v3rm1n", "vermin"), ("you/v-e-r-m-i-n", "vermin")])
+def test_disguises_are_decoded(token, word):
+    assert word in foul_model().evidence_of(token)
+
+
+def test_plain_tokens_show_nothing():
+    model = foul_model()
+    for token in ["garden", "letter", "winter?", "river/market", "w1nter", "50%", "a*b", "*" * 5000 + "a", "a" + "*" * 5000 + "b", "x/" * 5000]:
+        assert model.evidence_of(token) == ()
+    assert model.evidence_of("v3rmin" + "*" * 5000) == ("vermin",)
