@@ -80,6 +80,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives back what Arrow keeps of memory that is no longer used: a worker process lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key in turn, from a partition sorted by the keys; only one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -11,10 +11,13 @@ Ranking every position of a corpus would shuffle many times its size, so the rou
   anchor travel as one stretch of text to the bucket of that anchor, where the strings' names (the anchor's doubled to `size`
   bytes) are sorted with their document ids: all but those of the smallest id are removed. Past the threshold there is no third.
 
-Equal stretches of a task are told apart there: only the smallest id's travels. Anchors that more than a
+Names only bring strings together: that two strings are equal is confirmed on their bytes, wherever one of them is to go.
+
+Equal stretches of a bucket of documents are told apart there: only the smallest id's travels. Anchors that more than a
 thousandth of the documents (and over a thousand) have are sent to all tasks - there can be no more than a thousand times a
-document's mean number of anchors - and the strings around them travel under their own names, each to its own bucket, so that no
-bucket grows with a passage that everyone quotes.
+document's mean number of anchors - and the strings around them travel one by one, each to the bucket of its own content, so that
+no bucket grows with a passage that everyone quotes. A task holds one bucket of about BUCKET_BYTES of text as arrays, and sorts
+the strings of about SOME bytes of stretches at a time.
 
 Defined cases: null text counts as empty; rows with a null id lose nothing and remove nothing; rows of the same id do not remove
 from each other; texts under `size` bytes lose nothing; other columns are not read.
@@ -23,11 +26,11 @@ from each other; texts under `size` bytes lose nothing; other columns are not re
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +40,9 @@ from .neardup import mixed
 BASE = 0x9E3779B97F4A7C15
 NAME = np.uint64((1 << 48) - 1)
 PART = 1 << 20  # bytes that are hashed at a time
-BUCKET_BYTES = 4 << 20  # text whose stretches make up a bucket of round 2, at most: their number follows the data alone
-FLUSH = 1 << 20  # anchors that a task sorts before it sends them on
+BUCKET_BYTES = 4 << 20  # text of a bucket of documents, and text whose stretches make up a bucket of round 2: their number follows the data alone
+SOME = 1 << 19  # bytes of stretches whose strings are sorted at a time
+FLUSH = 1 << 19  # anchors that a task sorts before it sends them on
 U = np.uint64
 
 
@@ -122,8 +126,9 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield v, order[at[i] : at[i + 1] if i + 1 < len(at) else None]
 
 
-def home(doc_ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(doc_ids.astype(np.int64).view(np.uint64)) % U(buckets)).astype(np.int64)
+def home(doc_ids: np.ndarray, homes: int) -> np.ndarray:
+    """The bucket of a document, as with_texts has it."""
+    return (doc_ids ^ (doc_ids >> 17)) % homes
 
 
 CENSUS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
@@ -131,7 +136,7 @@ CENSUS_DDL = "kind int, bucket int, names binary, docs binary, counts binary"
 COUNTED, FORWARD, HOT = 0, 1, 2
 
 
-def _anchors(size: int, gram: int, buckets: int):
+def _anchors(size: int, gram: int, buckets: int, homes: int):
     """Round 1, before the shuffle: names of anchors. One that several documents here share is sent on once, as counted, and to its
     documents directly."""
 
@@ -150,7 +155,7 @@ def _anchors(size: int, gram: int, buckets: int):
             rows.append((COUNTED, b, packed(name[own].view(np.int64)), packed(doc[own]), packed(count[at])))
         shared_name, shared_doc = name[several], doc[several]
         if len(shared_name):
-            rows += [(FORWARD, b, packed(shared_name[at].view(np.int64)), packed(shared_doc[at]), None) for b, at in by_bucket(home(shared_doc, buckets))]
+            rows += [(FORWARD, b, packed(shared_name[at].view(np.int64)), packed(shared_doc[at]), None) for b, at in by_bucket(home(shared_doc, homes))]
         for i in range(0, len(rows), 64):
             yield common.as_batch(dict(zip(CENSUS.names, map(list, zip(*rows[i : i + 64], strict=True)), strict=True)), CENSUS)
 
@@ -178,7 +183,7 @@ def _anchors(size: int, gram: int, buckets: int):
 REPLY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("docs", pa.binary())])
 
 
-def _census(buckets: int, hot: int):
+def _census(homes: int, hot: int):
     """Round 1, after it: names that are not unique go to their documents' buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def _census(buckets: int, hot: int):
                 total = np.add.reduceat(count, begins)
                 reply = (np.repeat(total, np.diff(np.r_[begins, len(name)])) > 1) & (count == 1)  # the others know already
                 if reply.any():
-                    rows += [(FORWARD, b, packed(name[reply][at].view(np.int64)), packed(doc[reply][at])) for b, at in by_bucket(home(doc[reply], buckets))]
+                    rows += [(FORWARD, b, packed(name[reply][at].view(np.int64)), packed(doc[reply][at])) for b, at in by_bucket(home(doc[reply], homes))]
                 if (total > hot).any():
                     rows.append((HOT, -1, packed(name[begins[total > hot]].view(np.int64)), b""))
             for i in range(0, len(rows), 64):
@@ -204,19 +209,15 @@ def _census(buckets: int, hot: int):
     return run
 
 
-STRETCH = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("content", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary())])
-STRETCH_DDL = "bucket int, kind int, content binary, lengths binary, docs binary, keys binary, starts binary"
-TEXT, NAMED, DONE = 0, 1, 2
+STRETCH = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("content", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary())])
+STRETCH_DDL = "bucket int, kind int, content binary, lengths binary, docs binary, keys binary, starts binary, parts binary"
+TEXT, DONE = 0, 1
 
 
-def with_texts(docs: DataFrame, replies: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+def with_texts(docs: DataFrame, replies: DataFrame, columns: list[str], homes: int) -> DataFrame:
     """Texts and what was found out about them, met by the bucket of the document's id, the findings first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = home(np.array(common.ids(batch), np.int64), buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns], names=["bucket", *batch.schema.names])
-
-    texts = docs.mapInArrow(run, "bucket int, doc_id long, key long, text string").select("bucket", F.lit(1).alias("is_text"), "doc_id", "key", "text", *[F.lit(None).cast("binary").alias(c) for c in columns])
+    place = F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(homes)).cast("int")
+    texts = docs.select(place.alias("bucket"), F.lit(1).alias("is_text"), "doc_id", "key", "text", *[F.lit(None).cast("binary").alias(c) for c in columns])
     found = replies.select("bucket", F.lit(0).alias("is_text"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), *columns)
     return texts.unionByName(found).repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "is_text")
 
@@ -231,6 +232,70 @@ def met(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple
         yield found, rest.column("doc_id").to_pylist(), rest.column("key").to_pylist(), [(t or b"") for t in rest.column("text").cast(pa.binary()).to_pylist()]
 
 
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... anew for each count."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def gathered(raw: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of all pieces, one after another."""
+    return raw[np.repeat(at, lengths) + within(lengths)]
+
+
+def content_hashes(buffer: bytes, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), 50_000):
+        ends = (at[i : i + 50_000] + lengths[i : i + 50_000]).tolist()
+        out[i : i + 50_000] = [xxhash.xxh3_64_intdigest(buffer[a:b]) for a, b in zip(at[i : i + 50_000].tolist(), ends, strict=True)]
+    return out
+
+
+def same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the size-byte strings at a and at b are equal, eight bytes at a time."""
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    out = np.ones(len(a), bool)
+    for k in (*range(0, size - 7, 8), size - 8):
+        out &= eight[a + k] == eight[b + k]
+    return out
+
+
+def ranked(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, name: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings in order of name and id, and where each string's run begins. Equal names are confirmed on the bytes; unequal
+    strings of one name are told apart by their bytes."""
+    order = np.lexsort((doc, name))
+    new = np.r_[True, name[order[1:]] != name[order[:-1]]]
+    again = np.flatnonzero(~new)
+    differ = again[~same(raw, at[order[again]], at[order[again - 1]], size)]
+    if len(differ):
+        rows = np.flatnonzero(np.isin(name, name[order[differ]]))
+        strings = [raw[i : i + size].tobytes() for i in at[rows].tolist()]
+        rank = {x: i for i, x in enumerate(sorted(set(strings)))}
+        second = np.zeros(len(name), np.int64)
+        second[rows] = [rank[x] for x in strings]
+        order = np.lexsort((doc, second, name))
+        new = np.r_[True, (name[order[1:]] != name[order[:-1]]) | (second[order[1:]] != second[order[:-1]])]
+    return order, np.flatnonzero(new)
+
+
+def segments(lot: list[tuple[int, int, bytes]], size: int, gram: int, rows: np.ndarray, number: np.ndarray, shared: np.ndarray) -> tuple[bytes, list[np.ndarray]]:
+    """Of a lot, its bytes and the runs of starts whose anchor is not unique: anchor's name, row, place in the bytes, count, start in
+    the text. `number` are the documents' numbers in the keys of `shared`."""
+    scan = Scan(lot, size, gram)
+    nothing = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
+    if not len(scan.starts):
+        return scan.buffer, nothing
+    new = np.flatnonzero(np.r_[True, scan.anchor[1:] != scan.anchor[:-1]])
+    which = number[scan.texts[scan.owner[new]]].astype(np.uint64)
+    unique = ~np.isin((scan.hashes[scan.anchor[new]] & NAME) ^ mixed(which), shared)
+    at = np.flatnonzero(np.repeat(~unique, np.diff(np.r_[new, len(scan.anchor)])))
+    if not len(at):
+        return scan.buffer, nothing
+    first = np.flatnonzero(np.r_[True, (scan.starts[at[1:]] != scan.starts[at[:-1]] + 1) | (scan.anchor[at[1:]] != scan.anchor[at[:-1]]) | (scan.owner[at[1:]] != scan.owner[at[:-1]])])
+    begin, owner = scan.starts[at[first]], scan.owner[at[first]]
+    return scan.buffer, [scan.hashes[scan.anchor[at[first]]] & NAME, rows[scan.texts[owner]], begin, np.diff(np.r_[first, len(at)]), begin + scan.offsets[owner]]
+
+
 def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
     """Round 2, before the shuffle: surviving strings as stretches of text by anchor, the smallest id's of equal ones alone."""
 
@@ -239,111 +304,98 @@ def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
         for (name, doc), doc_ids, keys, texts in met(batches, ["names", "docs"]):
             if not len(name):
                 continue
-            known = np.unique(doc, return_inverse=True)
-            own = {d: i for i, d in enumerate(known[0].tolist())}
-            shared = np.unique(name.view(np.uint64) ^ mixed(known[1].astype(np.uint64)))  # a name and its document in one word
-            mine = [i for i, d in enumerate(doc_ids) if d in own]
-            smallest: dict[bytes, list] = {}
-            single: dict[int, list] = {}
-            done: list[tuple[int, int, int, int]] = []
-
-            def add(table: dict, what, doc_id: int, key: int, start: int, count: int, bucket: int, done=done) -> None:
-                held = table.get(what)
-                if held is None:
-                    table[what] = [doc_id, [(key, start)], bucket]
-                elif held[0] < doc_id:
-                    done.append((doc_id, key, start, count))
-                elif held[0] > doc_id:
-                    done.extend((held[0], k, s, count) for k, s in held[1])
-                    table[what] = [doc_id, [(key, start)], bucket]
-                else:
-                    held[1].append((key, start))
-
-            for lot in parts([texts[i] for i in mine], size):
-                scan = Scan(lot, size, gram)
-                if not len(scan.starts):
-                    continue
-                new = np.flatnonzero(np.r_[True, scan.anchor[1:] != scan.anchor[:-1]])
-                row = np.array(mine)[scan.texts[scan.owner[new]]]
-                which = np.array([own[doc_ids[r]] for r in row.tolist()], np.uint64)
-                anchor_names = scan.hashes[scan.anchor[new]] & NAME
-                unique = ~np.isin(anchor_names ^ mixed(which), shared)
-                alive = np.repeat(~unique, np.diff(np.r_[new, len(scan.anchor)]))
-                at = np.flatnonzero(alive)
-                if not len(at):
-                    continue
-                breaks = np.r_[True, (scan.starts[at[1:]] != scan.starts[at[:-1]] + 1) | (scan.anchor[at[1:]] != scan.anchor[at[:-1]]) | (scan.owner[at[1:]] != scan.owner[at[:-1]])]
-                first = np.flatnonzero(breaks)
-                last = np.r_[first[1:], len(at)] - 1
-                segment_names = scan.hashes[scan.anchor[at[first]]] & NAME
-                is_hot = np.isin(segment_names, hot)
-                begin, end = scan.starts[at[first]], scan.starts[at[last]]
-                owner = scan.owner[at[first]]
-                rows, origin = np.array(mine)[scan.texts[owner]], scan.offsets[owner]
-                to = (segment_names % U(buckets)).astype(np.int64)
-                for r, s, e, o, b, h in zip(rows.tolist(), begin.tolist(), end.tolist(), origin.tolist(), to.tolist(), is_hot.tolist(), strict=True):
-                    if h:
-                        for i, g in enumerate(mixed(names(np.frombuffer(scan.buffer[s : e + size], np.uint8), size)).tolist()):
-                            add(single, g, doc_ids[r], keys[r], s + o + i, 1, g % buckets)
-                    else:
-                        add(smallest, scan.buffer[s : e + size], doc_ids[r], keys[r], s + o, e - s + 1, b)
-            out = defaultdict(list)
-            for content, (doc_id, places, b) in smallest.items():
-                out[TEXT, b] += [(content, len(content), doc_id, k, s) for k, s in places]
-            for g, (doc_id, places, b) in single.items():
-                out[NAMED, b] += [(g.to_bytes(8, "little"), 8, doc_id, k, s) for k, s in places]
-            for b, at in by_bucket(home(np.array([d for d, *_ in done], np.int64), homes)) if done else ():
-                out[DONE, b] = [(b"", done[i][3], *done[i][:3]) for i in at.tolist()]
-            for (kind, b), rows in out.items():
-                content, lengths, d, k, s = zip(*rows, strict=True)
-                yield common.as_batch({"bucket": [b], "kind": [kind], "content": [b"".join(content)], **{c: [packed(np.array(v, np.int64))] for c, v in (("lengths", lengths), ("docs", d), ("keys", k), ("starts", s))}}, STRETCH)
+            known, which = np.unique(doc, return_inverse=True)
+            shared = np.unique(name.view(np.uint64) ^ mixed(which.astype(np.uint64)))
+            all_ids, all_keys = np.array(doc_ids, np.int64), np.array(keys, np.int64)
+            mine = np.flatnonzero(np.isin(all_ids, known))
+            number, buffers, found, base = np.searchsorted(known, all_ids[mine]), [], [], 0
+            for lot in parts([texts[i] for i in mine.tolist()], size):
+                buffer, columns = segments(lot, size, gram, mine, number, shared)
+                if len(columns[0]):
+                    columns[2] = columns[2] + base
+                    found.append(columns)
+                    buffers.append(buffer)
+                    base += len(buffer)
+            if not found:
+                continue
+            name, row, at, count, start = (np.concatenate(c) for c in zip(*found, strict=True))
+            # around an anchor that very many documents have, each string goes by itself
+            each = np.where(np.isin(name, hot), count, 1)
+            alone, inside = np.repeat(np.isin(name, hot), each), within(each)
+            name, row, at, start, count = (np.repeat(c, each) for c in (name, row, at, start, count))
+            at, start, count = at + inside * alone, start + inside * alone, np.where(alone, 1, count)
+            buffer, lengths, doc = b"".join(buffers), count + size - 1, all_ids[row]
+            content = content_hashes(buffer, at, lengths)
+            order = np.lexsort((doc, lengths, content))
+            begins = [True]
+            for a, b, n, m, x, y in zip(*(c.tolist() for c in (at[order[:-1]], at[order[1:]], lengths[order[:-1]], lengths[order[1:]], content[order[:-1]], content[order[1:]])), strict=True):
+                begins.append(x != y or n != m or buffer[a : a + n] != buffer[b : b + m])
+            begins = np.flatnonzero(begins)
+            smallest = np.empty(len(order), np.int64)
+            smallest[order] = np.repeat(doc[order[begins]], np.diff(np.r_[begins, len(order)]))
+            done = np.flatnonzero(doc > smallest)
+            for b, i in by_bucket(home(doc[done], homes)) if len(done) else ():
+                i = done[i]
+                yield stretch_row(b, DONE, b"", count[i], doc[i], all_keys[row[i]], start[i], np.zeros(0, np.int64))
+            goes = np.flatnonzero(doc == smallest)
+            target = np.where(alone, content, name)[goes]
+            raw = np.frombuffer(buffer, np.uint8)
+            for b, i in by_bucket((target % U(buckets)).astype(np.int64)):
+                part = (mixed(target[i]) >> U(56)).astype(np.int64)
+                i = goes[i]
+                yield stretch_row(b, TEXT, gathered(raw, at[i], lengths[i]).tobytes(), lengths[i], doc[i], all_keys[row[i]], start[i], part)
+            common.release()
 
     return run
 
 
+def stretch_row(bucket: int, kind: int, content: bytes, *columns: np.ndarray) -> pa.RecordBatch:
+    return common.as_batch(dict(zip(STRETCH.names, [[bucket], [kind], [content], *([packed(c)] for c in columns)], strict=True)), STRETCH)
+
+
 SPANS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
 
 
-def _spans(size: int, buckets: int):
-    """Round 2, after it: the strings' names sorted with their ids; runs of strings of other than the smallest id come out."""
+def removed_strings(raw: np.ndarray, lengths: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches that follow each other: runs of strings of other than the smallest id, as stretch, place in it and count."""
+    each = lengths - size + 1
+    owner, inside = np.repeat(np.arange(len(doc)), each), within(each)
+    at = (np.cumsum(lengths) - lengths)[owner] + inside
+    order, begins = ranked(raw, at, doc[owner], mixed(names(raw, size))[at], size)
+    gone = np.empty(len(order), bool)
+    gone[order] = doc[owner[order]] > np.repeat(doc[owner[order[begins]]], np.diff(np.r_[begins, len(order)]))
+    where = np.flatnonzero(gone)
+    if not len(where):
+        return where, where, where
+    first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1] + 1) | (owner[where[1:]] != owner[where[:-1]])])
+    return owner[where[first]], inside[where[first]], np.diff(np.r_[first, len(where)])
+
+
+def _spans(size: int, homes: int):
+    """Round 2, after it: the strings sorted with their ids, those of some anchors at a time; runs of strings of other than the
+    smallest id come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches, ["kind", "bucket"]):
-            kind = group.column("kind")[0].as_py()
-            lengths, doc, key, start = (unpacked(group.column(c).to_pylist()) for c in ("lengths", "docs", "keys", "starts"))
-            if kind == DONE:
-                where, begin, count = np.arange(len(doc)), np.zeros(len(doc), np.int64), lengths
+            lengths, doc, key, start, part = (unpacked(group.column(c).to_pylist()) for c in ("lengths", "docs", "keys", "starts", "parts"))
+            if group.column("kind")[0].as_py() == DONE:
+                rows = [(doc, key, start, lengths)]
             else:
                 raw = np.frombuffer(b"".join(group.column("content").to_pylist()), np.uint8)
-                if kind == NAMED:
-                    name, each = raw.view("<u8"), np.ones(len(doc), np.int64)
-                else:
-                    each = lengths - size + 1
-                    ends = np.cumsum(lengths)
-                    owner = np.repeat(np.arange(len(doc)), each)
-                    inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-                    name = np.empty(len(owner), np.uint64)
-                    cut = np.searchsorted(ends, np.arange(0, len(raw), PART), "left")  # whole stretches of about PART bytes at a time
-                    for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
-                        if b > a:
-                            low, grams = ends[a] - lengths[a], slice(int(each[:a].sum()), int(each[:b].sum()))
-                            name[grams] = mixed(names(raw[low : ends[b - 1]], size))[(ends - lengths)[owner[grams]] - low + inside[grams]]
-                owner = np.repeat(np.arange(len(doc)), each)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-                order = np.lexsort((doc[owner], name))
-                begins = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-                smallest = np.repeat(doc[owner[order]][begins], np.diff(np.r_[begins, len(order)]))
-                gone = np.empty(len(order), bool)
-                gone[order] = doc[owner[order]] > smallest
-                at = np.flatnonzero(gone)
-                if not len(at):
-                    continue
-                new = np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])]
-                first = np.flatnonzero(new)
-                where, begin, count = owner[at[first]], inside[at[first]], np.diff(np.r_[first, len(at)])
-            rows = [(b, packed(doc[where[i]]), packed(key[where[i]]), packed(start[where[i]] + begin[i]), packed(count[i])) for b, i in by_bucket(home(doc[where], buckets))]
+                origin, order = np.cumsum(lengths) - lengths, np.argsort(part, kind="stable")
+                totals, rows, a = np.cumsum(np.bincount(part, weights=lengths, minlength=256)), [], 0
+                for p in range(256):  # parts of the anchors until about SOME bytes are together
+                    if p == 255 or totals[p + 1] - (totals[a - 1] if a else 0) > SOME:
+                        i = order[np.searchsorted(part[order], a) : np.searchsorted(part[order], p, "right")]
+                        a = p + 1
+                        if len(i):
+                            of, place, count = removed_strings(gathered(raw, origin[i], lengths[i]), lengths[i], doc[i], size)
+                            rows.append((doc[i[of]], key[i[of]], start[i[of]] + place, count))
+            doc, key, start, count = (np.concatenate(c) for c in zip(*rows, strict=True))
+            rows = [(b, packed(doc[i]), packed(key[i]), packed(start[i]), packed(count[i])) for b, i in by_bucket(home(doc, homes))] if len(doc) else []
             for i in range(0, len(rows), 64):
                 yield common.as_batch(dict(zip(SPANS.names, map(list, zip(*rows[i : i + 64], strict=True)), strict=True)), SPANS)
+            common.release()
 
     return run
 
@@ -399,19 +451,19 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text) of every document."""
     spark = docs.sparkSession
-    buckets = common.shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
     known = docs.where("doc_id is not null")
     count, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    hot, stretch_buckets = max(1000, count // 1000), max(1, -(-n_bytes // BUCKET_BYTES))
-    census = known.select("doc_id", "text").mapInArrow(_anchors(size, gram, buckets), CENSUS_DDL).repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    replies = common.written(census.mapInArrow(_census(buckets, hot), "kind int, bucket int, names binary, docs binary"), "shared-anchors")
+    hot, buckets = max(1000, count // 1000), max(1, -(-n_bytes // BUCKET_BYTES))
+    homes, partitions = buckets | 1, common.shuffle_partitions(spark)  # odd: ids often share a factor of two
+    census = known.select("doc_id", "text").mapInArrow(_anchors(size, gram, buckets, homes), CENSUS_DDL).repartition(partitions, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    replies = common.written(census.mapInArrow(_census(homes, hot), "kind int, bucket int, names binary, docs binary"), "shared-anchors")
     hot_names = unpacked([r["names"] for r in replies.where(F.col("kind") == HOT).select("names").collect()]).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.unique(hot_names))
-    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], buckets).mapInArrow(_stretches(size, gram, stretch_buckets, buckets, sent), STRETCH_DDL)
-    spans = stretches.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_spans(size, buckets), "bucket int, docs binary, keys binary, starts binary, counts binary")
+    stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], homes).mapInArrow(_stretches(size, gram, buckets, homes, sent), STRETCH_DDL)
+    spans = stretches.repartition(partitions, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_spans(size, homes), "bucket int, docs binary, keys binary, starts binary, counts binary")
     spans = common.written(spans, "repeat-spans")
-    out = with_texts(known, spans, ["docs", "keys", "starts", "counts"], buckets).mapInArrow(_cut(size, keep_text), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    out = with_texts(known, spans, ["docs", "keys", "starts", "counts"], homes).mapInArrow(_cut(size, keep_text), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     alone = docs.where("doc_id is null").withColumn("bytes", F.coalesce("text", F.lit("")).cast("binary"))
     whole = alone.select("doc_id", "key", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.coalesce("text", F.lit("")).alias("text"))
     both = out.unionByName(whole)
