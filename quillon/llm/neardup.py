@@ -6,8 +6,9 @@
    coordinates with a probability below 1e-9 a pair, so agreement on `matches` is asked for. Prefix: a node skips
    its matches - 1 most frequent postings, since two nodes that agree on `matches` still meet under another.
 3. Within a posting list collisions are counted against one hub after another; those with enough go with the hub, and two hubs'
-   groups are tied by one pair with enough. Lists over `hot` nodes are split by each node's other postings first, which loses
-   no pair that agrees on two or more. What comes out are a few edges per node, never all pairs.
+   groups are tied by one pair with enough. Lists over `hot` nodes are split by each node's other postings first; there only the
+   matches - 2 most frequent are skipped, so that two nodes that agree on `matches` share a second one besides the list's own,
+   and no pair is lost. What comes out are a few edges per node, never all pairs.
 4. The edges' components are families: every pair to confirm lies within one. Families of at most `block` nodes are compared
    exactly, as a whole. In larger ones all are compared with a hub; those not linked to it are compared, block by block,
    with all. Only links that join two components of a block are emitted.
@@ -39,6 +40,9 @@ SIGNED_DDL = "doc_id long, n_shingles long, node binary, signature binary"
 
 
 class WordHashes(Generations):
+    def __init__(self):
+        super().__init__(most=50_000)
+
     def made(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)
 
@@ -118,9 +122,10 @@ def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> Da
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "key"))
     met = posted.join(often, "key").withColumn("rank", rarest)
-    kept = common.written(met.where(F.col("rank") >= matches).select("node", "key", "often"), "postings")
+    ranked = common.written(met.where(F.col("rank") >= matches - 1).select("node", "key", "often", "rank"), "postings")
+    kept = ranked.where(F.col("rank") >= matches)
     lists = kept.where(F.col("often") <= hot).select("node", "key", F.lit(0).cast("long").alias("second"))
-    other = kept.select("node", F.col("key").alias("second"))
+    other = ranked.select("node", F.col("key").alias("second"))
     split = kept.where(F.col("often") > hot).select("node", "key").join(other, "node").where("key <> second")
     rows = lists.unionByName(split.select("node", "key", "second")).join(nodes.select("node", "signature"), "node")
 
