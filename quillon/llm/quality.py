@@ -96,12 +96,20 @@ def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k), exactly summed."""
+    """P(Binomial(n, p) <= k). The terms are summed from k, or from the likeliest below it, outwards until they no longer count in
+    double precision: a multiple of the deviation of them, whatever n."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    top = min(k, math.floor((n + 1) * p))
+    terms, odds = [1.0], p / (1 - p)
+    for step, last in ((-1, 0), (1, k)):
+        i, term = top, 1.0
+        while i != last and term > 1e-20:
+            term *= i / (n - i + 1) / odds if step < 0 else (n - i) / (i + 1) * odds
+            i += step
+            terms.append(term)
+    log = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    return min(1.0, math.exp(log) * math.fsum(terms))
 
 
 def certify(measured: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05, rules: tuple[Rule, ...] = RULES) -> dict[str, dict[str, float]]:
