@@ -338,6 +338,7 @@ def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
                 i = done[i]
                 yield stretch_row(b, DONE, b"", count[i], doc[i], all_keys[row[i]], start[i], np.zeros(0, np.int64))
             goes = np.flatnonzero(doc == smallest)
+            goes = goes[np.argsort(name[goes], kind="stable")]  # stretches of an anchor side by side: they compress well
             target = np.where(alone, content, name)[goes]
             raw = np.frombuffer(buffer, np.uint8)
             for b, i in by_bucket((target % U(buckets)).astype(np.int64)):
@@ -350,7 +351,7 @@ def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
 
 
 def stretch_row(bucket: int, kind: int, content: bytes, *columns: np.ndarray) -> pa.RecordBatch:
-    return common.as_batch(dict(zip(STRETCH.names, [[bucket], [kind], [content], *([packed(c)] for c in columns)], strict=True)), STRETCH)
+    return common.as_batch(dict(zip(STRETCH.names, [[bucket], [kind], [pa.compress(content, "zstd", asbytes=True)], *([packed(c)] for c in columns)], strict=True)), STRETCH)
 
 
 SPANS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
@@ -381,7 +382,9 @@ def _spans(size: int, homes: int):
             if group.column("kind")[0].as_py() == DONE:
                 rows = [(doc, key, start, lengths)]
             else:
-                raw = np.frombuffer(b"".join(group.column("content").to_pylist()), np.uint8)
+                ends = np.cumsum([0, *(len(x) // 8 for x in group.column("lengths").to_pylist())])
+                sizes = np.add.reduceat(lengths, ends[:-1]).tolist()
+                raw = np.frombuffer(b"".join(pa.decompress(c, n, "zstd", asbytes=True) for c, n in zip(group.column("content").to_pylist(), sizes, strict=True)), np.uint8)
                 origin, order = np.cumsum(lengths) - lengths, np.argsort(part, kind="stable")
                 totals, rows, a = np.cumsum(np.bincount(part, weights=lengths, minlength=256)), [], 0
                 for p in range(256):  # parts of the anchors until about SOME bytes are together
