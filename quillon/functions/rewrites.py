@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import SPACE, strip
+
 #: Gendered words and their counterparts (fixed values).
 COUNTERPARTS = {
     "he": "she", "she": "he", "him": "her", "his": "her", "himself": "herself", "herself": "himself", "hers": "his",
@@ -26,7 +28,9 @@ NAMES = {
     ("black", "male"): ("Jamal", "Leroy", "Rasheed", "Kareem", "Tyrone", "Darnell", "Hakim", "Tremayne", "Jermaine"),
 }
 MARK = "\u0001"  # shields a protected word from the swap; texts that hold it keep it, since it is no letter
-PRONOUN = r"(^|[^A-Za-z0-9_])(He|She|he|she)($|[^A-Za-z0-9_])"
+EDGE = r"[^\p{L}\p{N}_]"  # what is no part of a word, in any script
+PRONOUN = rf"(\A|{EDGE})(He|She|he|she)(\z|{EDGE})"
+SENTENCE_END = rf"[.!?][\"'”’)\]]?{SPACE}*\z"
 
 
 def match_case(word: Column, like: Column) -> Column:
@@ -83,15 +87,34 @@ def insert_name(text: Column, name: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), name, F.substring(text, at + F.length(pronoun(text)), F.length(text))))
 
 
+def around_pronoun(text: Column) -> Column:
+    """struct(before, pronoun, after, opens) of the first subject pronoun; opens says whether it opens a sentence; null without one.
+    Arrays of one bind the place and the parts, so that the text is searched once."""
+
+    def cut(at: Column) -> Column:
+        rest = F.substring(text, at, F.length(text))
+        found = F.when(F.lower(F.substring(rest, 1, 3)) == "she", F.substring(rest, 1, 3)).otherwise(F.substring(rest, 1, 2))
+        return F.struct(F.substring(text, F.lit(1), at - 1).alias("before"), found.alias("pronoun"), F.substring(rest, F.length(found) + 1, F.length(text)).alias("after"))
+
+    def judged(x: Column) -> Column:
+        opens = (strip(x["before"]) == "") | x["before"].rlike(SENTENCE_END)
+        return F.struct(x["before"].alias("before"), x["pronoun"].alias("pronoun"), x["after"].alias("after"), opens.alias("opens"))
+
+    places = F.filter(F.array(pronoun_at(text)), lambda at: at > 0)
+    return F.get(F.transform(F.transform(places, cut), judged), F.lit(0))
+
+
+def with_age(parts: Column, age: Column) -> Column:
+    """struct(text, case) from what is around the pronoun."""
+    initial = F.concat(parts["before"], F.lit("At "), age.cast("string"), F.lit(", "), F.lower(parts["pronoun"]), parts["after"])
+    middle = F.concat(F.regexp_replace(parts["before"], rf"{SPACE}+\z", ""), F.lit(", at "), age.cast("string"), F.lit(", "), parts["pronoun"], parts["after"])
+    return F.when(parts.isNotNull(), F.struct(F.when(parts["opens"], initial).otherwise(middle).alias("text"), F.when(parts["opens"], "sentence_initial").otherwise("mid_sentence").alias("case")))
+
+
 def insert_age(text: Column, age: Column) -> Column:
     """struct(text, case): ", at {age}," before the first subject pronoun, or "At {age}, " where it opens a sentence; null
     without a pronoun."""
-    at, found = pronoun_at(text), pronoun(text)
-    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(found), F.length(text))
-    opens = (F.trim(before) == "") | before.rlike("[.!?][\"'”’)\\]]?\\s*$")
-    initial = F.concat(before, F.lit("At "), age.cast("string"), F.lit(", "), F.lower(found), after)
-    middle = F.concat(F.regexp_replace(before, r"\s+$", ""), F.lit(", at "), age.cast("string"), F.lit(", "), found, after)
-    return F.when(at > 0, F.struct(F.when(opens, initial).otherwise(middle).alias("text"), F.when(opens, "sentence_initial").otherwise("mid_sentence").alias("case")))
+    return with_age(around_pronoun(text), age)
 
 
 def eligible_for_age(text: Column) -> Column:

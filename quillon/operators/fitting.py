@@ -7,13 +7,14 @@ calibration may learn from: only `cross_validated` makes them.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,12 +27,19 @@ class Tier:
     least: float
     per_feature: float
     grid: tuple[float, ...]
+    calibration: str = "none"
 
     def budget(self, n_effective: float) -> int:
         return int(n_effective // self.per_feature) if self.per_feature else 0
 
 
-LADDER = (Tier("hold", 0, 0, ()), Tier("shrunk", 30, 5, (0.01, 0.03, 0.1, 0.3)), Tier("standard", 200, 10, (0.03, 0.1, 0.3, 1.0, 3.0)), Tier("rich", 1000, 10, (0.1, 0.3, 1.0, 3.0, 10.0)))
+#: The rungs: effective labels needed, effective labels a feature, values of C to try, calibration (fixed values).
+LADDER = (
+    Tier("hold", 0, 0, ()),
+    Tier("shrunk", 30, 5, (0.03, 0.1, 0.3), "temperature"),
+    Tier("standard", 200, 10, (0.03, 0.1, 0.3, 1.0, 3.0, 10.0), "temperature"),
+    Tier("rich", 1000, 10, (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0), "two_stage"),
+)
 
 
 class Refused(ValueError):
@@ -42,6 +50,14 @@ def tier_for(n_effective: float, ladder: tuple[Tier, ...] = LADDER) -> Tier:
     return max((t for t in ladder if t.least <= n_effective), key=lambda t: t.least)
 
 
+def to_next(n_effective: Column, ladder: tuple[Tier, ...] = LADDER) -> Column:
+    """Effective labels that the next rung needs more; null on the highest."""
+    out = F.lit(None).cast("double")
+    for t in reversed(ladder):
+        out = F.when(n_effective < t.least, t.least - n_effective).otherwise(out)
+    return out
+
+
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed: str = "fold") -> DataFrame:
     """fold: labels dealt out in turn, in the order of a hash of the key."""
     order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}#"), F.col(key).cast("string"))), key)
@@ -74,12 +90,18 @@ class OutOfFold:
 
 def cross_validated(rows: DataFrame, features: list[str], grid: tuple[float, ...], folds: int = 5) -> OutOfFold:
     """The grid value with the least weighted out-of-fold log loss, and its predictions. Rows: key, y (0/1), weight, fold, features."""
+    def part(job: tuple[float, int]) -> DataFrame:
+        c, f = job
+        return predicted(rows.where(F.col("fold") == f), logistic(rows.where(F.col("fold") != f), features, c), features)
+
+    jobs = [(c, f) for c in grid for f in range(folds)]
+    with ThreadPoolExecutor(8) as pool:  # the fits are small Spark jobs that do not depend on each other
+        parts = dict(zip(jobs, pool.map(part, jobs), strict=True))
     best = None
     for c in grid:
-        parts = [predicted(rows.where(F.col("fold") == f), logistic(rows.where(F.col("fold") != f), features, c), features) for f in range(folds)]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
+        whole = parts[c, 0]
+        for f in range(1, folds):
+            whole = whole.unionByName(parts[c, f])
         true = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
         loss = whole.agg((-F.sum(F.col("weight") * F.ln(F.greatest(true, F.lit(1e-9)))) / F.sum("weight")).alias("loss")).first()[0]
         if best is None or loss < best.log_loss:
@@ -89,20 +111,27 @@ def cross_validated(rows: DataFrame, features: list[str], grid: tuple[float, ...
 
 
 def fit_temperature(oof: DataFrame, steps: int = 200) -> float:
-    """The temperature in [0.1, 10] with the least weighted negative log likelihood: one aggregate over a log grid, on the table of
-    distinct (confidence, correct)."""
-    grid = [0.1 * 100 ** (i / steps) for i in range(steps + 1)]
+    """The temperature in [0.1, 10] with the least weighted negative log likelihood, which has one minimum: an aggregate over a log
+    grid, then one over a finer grid between the neighbours of its best, on the table of distinct (confidence, correct)."""
     cells = oof.groupBy("confidence", "correct").agg(F.sum("weight").alias("w"))
-    p = lambda t: F.least(F.greatest(temper(F.col("confidence"), t), F.lit(1e-6)), F.lit(1 - 1e-6))
+    p = lambda t: F.least(F.greatest(temper(F.col("confidence"), t), F.lit(1e-9)), F.lit(1 - 1e-9))
     loss = lambda t: -F.sum(F.col("w") * F.when(F.col("correct") == 1, F.ln(p(t))).otherwise(F.ln(1 - p(t))))
-    row = cells.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-    return grid[min(range(len(grid)), key=lambda i: row[i])] if row[0] is not None else 1.0
+    low, high = 0.1, 10.0
+    for _ in range(2):
+        grid = [low * (high / low) ** (i / steps) for i in range(steps + 1)]
+        row = cells.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
+        if row[0] is None:
+            return 1.0
+        best = min(range(len(grid)), key=lambda i: row[i])
+        low, high = grid[max(0, best - 1)], grid[min(steps, best + 1)]
+    return grid[best]
 
 
 def calibration_table(oof: DataFrame, method: str = "two_stage") -> tuple[list[float], str]:
-    """101 points and the method used: temperature from 10 rows on, isotonic from 50, both in turn for two_stage; monotone."""
+    """101 points and the method used: "none" where rows are too few for the one asked for (temperature 10, isotonic and two_stage
+    50); monotone."""
     n = oof.count()
-    used = "none" if n < 10 or method == "none" else "temperature" if n < 50 or method == "temperature" else method
+    used = "none" if n < {"none": 0, "temperature": 10, "isotonic": 50, "two_stage": 50}[method] else method
     t = fit_temperature(oof) if used in ("temperature", "two_stage") else 1.0
     raw = [i / 100 for i in range(101)]
     soft = [x if used in ("none", "isotonic") else 1 / (1 + math.exp(-math.log(max(x, 1e-6) / max(1 - x, 1e-6)) / t)) for x in raw]
@@ -127,26 +156,33 @@ def interpolated(x: float, xs: list[float], ys: list[float]) -> float:
     return ys[-1]
 
 
-def compare(candidate: DataFrame, incumbent: DataFrame, least_gain: float = 0.005) -> DataFrame:
-    """One row: whether the candidate is promoted and why not. Inputs are one-row summaries with accuracy, brier, n_effective."""
+def compare(candidate: DataFrame, incumbent: DataFrame, least_gain: float = 0.005, flips: DataFrame | None = None, most_flips: float = 0.02) -> DataFrame:
+    """One row: whether the candidate is promoted and why not. Inputs are one-row summaries with accuracy, brier, n_effective, and
+    optionally the flip rate of each new element on twins (element, flip_rate): one above `most_flips` rejects the candidate."""
     both = candidate.select(F.col("accuracy").alias("a1"), F.col("brier").alias("b1"), "n_effective").crossJoin(incumbent.select(F.col("accuracy").alias("a0"), F.col("brier").alias("b0")))
-    slack = 2 / F.col("n_effective")
+    slack = 2 / F.greatest("n_effective", F.lit(1.0))
     reasons = F.array_compact(F.array(F.when(F.col("b0") - F.col("b1") < least_gain, "brier gain too small"), F.when(F.col("a1") < F.col("a0") - slack, "accuracy fell")))
+    if flips is not None:
+        gated = flips.where(F.col("flip_rate") > most_flips).agg(F.array_sort(F.collect_list(F.concat(F.lit("flips too often: "), "element"))).alias("gated"))
+        both, reasons = both.crossJoin(F.broadcast(gated)), F.concat(reasons, F.col("gated"))
     return both.select((F.col("b0") - F.col("b1")).alias("brier_gain"), (F.col("a1") - F.col("a0")).alias("accuracy_change"), slack.alias("tolerance"), reasons.alias("reasons"), (F.size(reasons) == 0).alias("promoted"))
 
 
 def fit_head(rows: DataFrame, features: list[str], n_effective: float, folds: int = 5, ladder: tuple[Tier, ...] = LADDER) -> dict:
-    """Weights, intercept, calibration table and out-of-fold figures; Refused when the ladder does not carry the fit."""
+    """Weights, intercept, calibration table and out-of-fold figures. On the lowest rung the incumbent is held, which is a result;
+    Refused when the ladder does not carry the fit, or a class has fewer than three labels."""
     tier = tier_for(n_effective, ladder)
     if not tier.grid:
-        raise Refused(f"{n_effective:.0f} effective labels; {ladder[1].least:.0f} are needed")
+        return {"status": "held", "tier": tier.name, "reason": f"{n_effective:.1f} effective labels; {ladder[1].least - n_effective:.1f} more are needed"}
     if len(features) > tier.budget(n_effective):
         raise Refused(f"{len(features)} features; {n_effective:.0f} effective labels carry {tier.budget(n_effective)}")
     least = rows.groupBy("y").count().agg(F.min("count"), F.count("*")).first()
     if least[1] < 2:
         raise Refused("labels of one class only")
-    dealt = stratified_folds(rows, "y", "item_id", min(folds, least[0]))
+    if least[0] < 3:
+        raise Refused(f"{least[0]} labels of a class; three are needed")
+    dealt = stratified_folds(rows, "y", "item_id", min(folds, least[0])).select("item_id", "y", "weight", "fold", *features).persist()
     oof = cross_validated(dealt, features, tier.grid, min(folds, least[0]))
-    table, method = calibration_table(oof.rows)
-    model = logistic(rows, features, oof.c)
-    return {"tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "weights": dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), "intercept": float(model.intercept), "table": table, "method": method, "oof": oof.rows}
+    table, method = calibration_table(oof.rows, tier.calibration)
+    model = logistic(dealt, features, oof.c)
+    return {"status": "fitted", "tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "weights": dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), "intercept": float(model.intercept), "table": table, "method": method, "oof": oof.rows}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import strip
+
 TRUSTED = ("vetted_feedback", "regular_final_feedback")
 
 
@@ -66,6 +68,6 @@ def per_label(rows: DataFrame, label: str, order: str, n: int) -> DataFrame:
 
 def ingest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Text lines as items: blank lines and # comments skipped, id = first 12 characters of sha1, the first of equal texts kept."""
-    text = F.trim(F.col(column))
+    text = strip(F.col(column))
     kept = lines.select(text.alias("text"), "line").where((F.col("text") != "") & ~F.col("text").startswith("#"))
     return kept.groupBy(F.substring(F.sha1(F.col("text").cast("binary")), 1, 12).alias("item_id")).agg(F.min_by("text", "line").alias("text"), F.min("line").alias("line"))

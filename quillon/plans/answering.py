@@ -53,9 +53,11 @@ def s14(spark, d):
     return W.table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup")).select(F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("n"))
 
 
-@query("s15_text_ingest", "SELECT substr(sha1(text), 1, 12) AS item_id, min(line) AS line FROM (SELECT trim(text, ' ') AS text, doc_id AS line FROM documents) WHERE text <> '' AND NOT starts_with(text, '#') GROUP BY 1")
+@query("s15_text_ingest", f"SELECT substr(sha1(text), 1, 12) AS item_id, min(line) AS line FROM (SELECT regexp_replace(text, '\\A{S.SPACE}+|{S.SPACE}+\\z', '', 'g') AS text, doc_id AS line FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(9) || chr(160) ELSE '' END || text || CASE doc_id % 4 WHEN 0 THEN chr(10) ELSE '' END AS text FROM documents)) WHERE text <> '' AND NOT starts_with(text, '#') GROUP BY 1")
 def s15(spark, d):
-    return records.ingest_lines(W.table(spark, d, "documents").select("text", F.col("doc_id").alias("line")), "text").select("item_id", "line")
+    i = F.col("doc_id")
+    text = F.concat(F.when(i % 3 == 0, "\t\u00a0").otherwise(""), "text", F.when(i % 4 == 0, "\n").otherwise(""))
+    return records.ingest_lines(W.table(spark, d, "documents").select(text.alias("text"), i.alias("line")), "text").select("item_id", "line")
 
 
 @query("s16_semi_filter", f"WITH {CACHE} SELECT item_id, name FROM cache WHERE item_id IN (SELECT doc_id FROM labels)")
@@ -94,16 +96,17 @@ def s27(spark, d):
     return have.join(have.where("item_id % 3 = 0").select("item_id", "name", "qhash"), ["item_id", "name", "qhash"], "left_anti").select("item_id", "name", "qhash")
 
 
-@query("p04_agrees", """WITH p AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Yes.' WHEN 1 THEN ' yes  please' WHEN 2 THEN 'NaN' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN 'none' ELSE 'YES' END AS a,
-      CASE event_id % 5 WHEN 0 THEN 'yes!' WHEN 1 THEN 'Yes please' WHEN 2 THEN 'nan' WHEN 3 THEN 'n/a' END AS b FROM events),
-    n AS (SELECT event_id, trim(regexp_replace(lower(a), '\\s+', ' ', 'g'), ' ') AS prediction, trim(rtrim(trim(lower(coalesce(b, '')), ' '), '.!?'), ' ') AS bare FROM p),
+@query("p04_agrees", f"""WITH p AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Yes.' WHEN 1 THEN chr(9) || 'yes' || chr(160) || chr(10) || ' please' WHEN 2 THEN 'NaN' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN 'none' ELSE 'YES' END AS a,
+      CASE event_id % 5 WHEN 0 THEN chr(160) || 'yes! ' || chr(10) WHEN 1 THEN 'Yes please.' || chr(9) WHEN 2 THEN 'nan' WHEN 3 THEN 'n/a' END AS b FROM events),
+    n AS (SELECT event_id, trim(regexp_replace(lower(a), '{S.SPACE}+', ' ', 'g'), ' ') AS prediction,
+        regexp_replace(rtrim(regexp_replace(lower(coalesce(b, '')), '\\A{S.SPACE}+|{S.SPACE}+\\z', '', 'g'), '.!?'), '\\A{S.SPACE}+|{S.SPACE}+\\z', '', 'g') AS bare FROM p),
     m AS (SELECT event_id, prediction, CASE bare WHEN 'nan' THEN '' WHEN 'n/a' THEN 'na' ELSE bare END AS label FROM n)
     SELECT event_id, label, (CASE WHEN prediction IN ('', 'nan', 'n/a', 'none', 'null') THEN 'na' ELSE prediction END) = (CASE WHEN label IN ('', 'nan', 'n/a', 'none', 'null') THEN 'na' ELSE label END) AS agrees FROM m""")
 def p04(spark, d):
     """P2, P3 and P4."""
     i = F.col("event_id")
-    a = F.when(i % 7 == 0, "Yes.").when(i % 7 == 1, " yes  please").when(i % 7 == 2, "NaN").when(i % 7 == 3, "N/A").when(i % 7 == 4, "").when(i % 7 == 5, "none").otherwise("YES")
-    b = F.when(i % 5 == 0, "yes!").when(i % 5 == 1, "Yes please").when(i % 5 == 2, "nan").when(i % 5 == 3, "n/a")
+    a = F.when(i % 7 == 0, "Yes.").when(i % 7 == 1, "\tyes\u00a0\n please").when(i % 7 == 2, "NaN").when(i % 7 == 3, "N/A").when(i % 7 == 4, "").when(i % 7 == 5, "none").otherwise("YES")
+    b = F.when(i % 5 == 0, "\u00a0yes! \n").when(i % 5 == 1, "Yes please.\t").when(i % 5 == 2, "nan").when(i % 5 == 3, "n/a")
     return W.table(spark, d, "events").select("event_id", S.normalize_label(b).alias("label"), S.agrees(a, b).alias("agrees"))
 
 

@@ -40,11 +40,11 @@ def a55(spark, d):
     return e.crossJoin(F.broadcast(last)).agg(since("view", "fit").alias("labels_since_fit"), since("view", "rethink").alias("labels_since_rethink"), since("error", "rethink").alias("mismatches_since_rethink"))
 
 
-@query("a56_ladder", "SELECT n_effective, arg_max(tier, least) AS tier FROM (SELECT unnest([0.0, 29.9, 30.0, 199.0, 200.0, 1000.0]::DOUBLE[]) AS n_effective), (SELECT unnest(['hold', 'shrunk', 'standard', 'rich']) AS tier, unnest([0, 30, 200, 1000]) AS least) WHERE least <= n_effective GROUP BY n_effective")
+@query("a56_ladder", "SELECT n_effective, arg_max(tier, least) AS tier, CASE arg_max(tier, least) WHEN 'hold' THEN 30 - n_effective WHEN 'shrunk' THEN 200 - n_effective WHEN 'standard' THEN 1000 - n_effective END AS to_next FROM (SELECT unnest([0.0, 29.9, 30.0, 199.0, 200.0, 1000.0]::DOUBLE[]) AS n_effective), (SELECT unnest(['hold', 'shrunk', 'standard', 'rich']) AS tier, unnest([0, 30, 200, 1000]) AS least) WHERE least <= n_effective GROUP BY n_effective")
 def a56(spark, d):
     points = spark.createDataFrame([(x,) for x in (0.0, 29.9, 30.0, 199.0, 200.0, 1000.0)], "n_effective double")
     ladder = spark.createDataFrame([(t.name, float(t.least)) for t in fitting.LADDER], "tier string, least double")
-    return points.join(F.broadcast(ladder), F.col("least") <= F.col("n_effective")).groupBy("n_effective").agg(F.max_by("tier", "least").alias("tier"))
+    return points.join(F.broadcast(ladder), F.col("least") <= F.col("n_effective")).groupBy("n_effective").agg(F.max_by("tier", "least").alias("tier"), F.max("least").alias("at")).select("n_effective", "tier", fitting.to_next(F.col("n_effective")).alias("to_next"))
 
 
 @query("w08_plateau", "SELECT window_id, round(coalesce(lag3 - loss, 0), 6) AS gain, coalesce(lag3 - loss < 0.01, false) AS plateau FROM (SELECT event_type AS window_id, value AS loss, lag(value, 3) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS lag3, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -71,7 +71,8 @@ def f03(spark, d):
     """A head over two vector features, cross-validated, calibrated; its coefficients and out-of-fold figures."""
     e = lambda i: F.element_at("embedding", i).cast("double")
     rows = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), (F.col("label") % 2 == 0).cast("double").alias("y"), F.lit(1.0).alias("weight"), e(1).alias("a"), e(2).alias("b"))
-    found = fitting.fit_head(rows, ["a", "b"], 100.0)
+    n_effective = rows.agg(F.sum("weight") * F.sum("weight") / F.sum(F.col("weight") * F.col("weight"))).first()[0]
+    found = fitting.fit_head(rows, ["a", "b"], n_effective)
     return spark.createDataFrame([(found["tier"], found["c"], found["method"], round(found["log_loss"], 6), round(found["weights"]["a"], 6), round(found["weights"]["b"], 6), round(found["intercept"], 6))], "tier string, c double, method string, log_loss double, weight_a double, weight_b double, intercept double")
 
 

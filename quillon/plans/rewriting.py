@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rewrites as R
+from ..functions import scalars as S
 from ..functions.scalars import uniform
 from ..registry import query
 from . import worlds as W
 
-ENDING = " He told her story. She has 12 years of practice since 1998."
+ENDING = "\n\tHe told her story. She has 12 years of practice since 1998."
 
 
 def english(spark, d):
@@ -18,7 +19,7 @@ def english(spark, d):
 
 
 ENGLISH = f"en AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '{ENDING}' ELSE '' END AS text FROM documents WHERE lang = 'en')"
-AT = f"en2 AS (SELECT doc_id, text, regexp_extract(text, '{R.PRONOUN}', 2) AS pronoun, regexp_extract(text, '^((?s:.*?)(?:^|[^A-Za-z0-9_]))(?:He|She|he|she)(?:$|[^A-Za-z0-9_])', 1) AS before FROM en)"
+AT = f"en2 AS (SELECT doc_id, text, regexp_extract(text, '{R.PRONOUN}', 2) AS pronoun, regexp_extract(text, '\\A((?s:.*?)(?:\\A|{R.EDGE}))(?:He|She|he|she)(?:\\z|{R.EDGE})', 1) AS before FROM en)"
 
 
 @query("t05_swap_gender", f"""WITH {ENGLISH}, map AS (SELECT unnest([{', '.join(repr(k) for k in R.COUNTERPARTS)}]) AS word, unnest([{', '.join(repr(v) for v in R.COUNTERPARTS.values())}]) AS other),
@@ -40,12 +41,13 @@ def t08(spark, d):
 
 
 @query("t11_insert_age", f"""WITH {ENGLISH}, {AT} SELECT doc_id, age, CASE WHEN opens THEN 'sentence_initial' ELSE 'mid_sentence' END AS "case",
-    md5(CASE WHEN opens THEN before || 'At ' || age || ', ' || lower(pronoun) ELSE regexp_replace(before, '\\s+$', '') || ', at ' || age || ', ' || pronoun END || substr(text, length(before) + length(pronoun) + 1)) AS digest
-    FROM (SELECT *, trim(before, ' ') = '' OR regexp_matches(before, '[.!?]["''”’)\\]]?\\s*$') AS opens FROM en2 WHERE pronoun <> ''), (SELECT unnest([34, 35, 61, 62]) AS age)""")
+    md5(CASE WHEN opens THEN before || 'At ' || age || ', ' || lower(pronoun) ELSE regexp_replace(before, '{S.SPACE}+\\z', '') || ', at ' || age || ', ' || pronoun END || substr(text, length(before) + length(pronoun) + 1)) AS digest
+    FROM (SELECT *, regexp_full_match(before, '{S.SPACE}*') OR regexp_matches(before, '[.!?]["''”’)\\]]?{S.SPACE}*\\z') AS opens FROM en2 WHERE pronoun <> ''), (SELECT unnest([34, 35, 61, 62]) AS age)""")
 def t11(spark, d):
-    """Four age versions of every text that can carry one."""
-    rows = english(spark, d).where(R.pronoun_at(F.col("text")) > 0).select("doc_id", "text", F.explode(F.array(*map(F.lit, (34, 35, 61, 62)))).alias("age"))
-    made = rows.select("doc_id", "age", R.insert_age(F.col("text"), F.col("age")).alias("v"))
+    """Four age versions of every text that can carry one. Each text is searched once, before the ages multiply it."""
+    parts = english(spark, d).select("doc_id", R.around_pronoun(F.col("text")).alias("parts")).where("parts is not null")
+    rows = parts.select("doc_id", "parts", F.explode(F.array(*map(F.lit, (34, 35, 61, 62)))).alias("age"))
+    made = rows.select("doc_id", "age", R.with_age(F.col("parts"), F.col("age")).alias("v"))
     return made.select("doc_id", "age", F.col("v.case").alias("case"), F.md5("v.text").alias("digest"))
 
 

@@ -135,12 +135,35 @@ def test_ladder_and_promotion(spark):
     new = spark.createDataFrame([(0.80, 0.10, 90.0)], "accuracy double, brier double, n_effective double")
     old = spark.createDataFrame([(0.82, 0.11)], "accuracy double, brier double")
     assert fitting.compare(new, old).first()["promoted"]
-    with pytest.raises(fitting.Refused):
-        fitting.fit_head(spark.createDataFrame([(1, 1.0)], "item_id int, y double"), ["a"], 10.0)
+    flips = spark.createDataFrame([("tone", 0.01), ("claim", 0.03)], "element string, flip_rate double")
+    assert fitting.compare(new, old, flips=flips).first()["reasons"] == ["flips too often: claim"]
+    few = spark.createDataFrame([(i, float(i > 97), 1.0, 0.0) for i in range(100)], "item_id int, y double, weight double, a double")
+    assert fitting.fit_head(few, ["a"], 10.0)["status"] == "held"
+    for features, n in ((["a"], 50.0), (["a"] * 11, 50.0)):  # two labels of a class; more features than the labels carry
+        with pytest.raises(fitting.Refused):
+            fitting.fit_head(few, features, n)
+
+
+def test_fit_finds_the_side_and_takes_its_rungs_calibration(spark):
+    rows = spark.createDataFrame([(i, float((i * 37) % 100 < 50), 1.0, ((i * 37) % 100 - 49.5) / 50 + (0.6 if i % 7 == 0 else 0.0)) for i in range(240)], "item_id int, y double, weight double, a double")
+    found = fitting.fit_head(rows, ["a"], 240.0)
+    assert (found["status"], found["tier"], found["method"]) == ("fitted", "standard", "temperature")
+    assert found["weights"]["a"] < 0 and found["log_loss"] < 0.5
+
+
+def test_strip_takes_all_white_space(spark):
+    got = one(spark, a=S.normalize_label(F.lit(" Yes.\n")), b=S.strip(F.lit("\u00a0\t x y \u2003")), c=S.normalize_prediction(F.lit("\tA\u00a0\nb ")))
+    assert tuple(got) == ("yes", "x y", "a b")
+
+
+def test_pronouns_of_other_scripts_and_line_breaks(spark):
+    got = one(spark, a=R.insert_age(F.lit("\nHe is here."), F.lit(61)), b=R.insert_name(F.lit("éhe went and she sat"), F.lit("Ann")), c=R.insert_age(F.lit("nobody"), F.lit(61)))
+    assert tuple(got["a"]) == ("\nAt 61, he is here.", "sentence_initial") and got["b"] == "éhe went and Ann sat" and got["c"] is None
 
 
 def test_calibration_is_monotone(spark):
     oof = spark.createDataFrame([(0.5 + (i % 50) / 100, int((i * 7) % 10 < 6), 1.0) for i in range(200)], "confidence double, correct int, weight double")
     table, method = fitting.calibration_table(oof)
     assert method == "two_stage" and len(table) == 101 and all(a <= b for a, b in zip(table, table[1:], strict=False))
-    assert fitting.calibration_table(oof.limit(5))[1] == "none"
+    assert fitting.calibration_table(oof.limit(5))[1] == fitting.calibration_table(oof.limit(30))[1] == "none"
+    assert fitting.calibration_table(oof.limit(30), "temperature")[1] == "temperature"
