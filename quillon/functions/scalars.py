@@ -91,6 +91,26 @@ def agrees(prediction: Column, label: Column) -> Column:
     return blank(normalize_prediction(F.coalesce(prediction, F.lit("")))) == blank(normalize_label(label))
 
 
+def interpreted(kind: Column, noul: Column, choice: Column, masses: Column, score: Column) -> Column:
+    """struct(value, confidence) of an answer: yes or no at 0.5, a choice with its mass (0 without one), a level without confidence."""
+    value = F.when(kind == "noul", F.when(noul >= 0.5, "Yes").otherwise("No")).when(kind == "choice", choice).otherwise(score.cast("string"))
+    confidence = F.when(kind == "noul", F.greatest(noul, 1 - noul)).when(kind == "choice", F.coalesce(F.try_element_at(masses, choice), F.lit(0.0))).otherwise(0.0)
+    return F.struct(value.alias("value"), confidence.alias("confidence"))
+
+
+def described(kind: Column, noul: Column, choice: Column, masses: Column, score: Column) -> Column:
+    """A short line for an answer."""
+    mass = F.try_element_at(masses, choice)
+    chosen = F.concat(choice, F.when(mass.isNotNull(), F.format_string(" (%.0f%%)", F.bround(mass * 100, 0))).otherwise(""))
+    return F.when(kind == "noul", F.format_string("%.0f%% yes", F.bround(noul * 100, 0))).when(kind == "choice", chosen).when(kind == "score", F.format_string("%.1f", F.bround(score, 1))).otherwise("?")
+
+
+def split_feature(name: Column) -> Column:
+    """struct(element, term) of a feature's name; self.holistic and shared.<key> count as elements."""
+    pattern = r"\A(self\.holistic|shared\.[^.]*|[^.]*)(?:\.(.*))?\z"
+    return F.struct(F.regexp_extract(name, pattern, 1).alias("element"), F.regexp_extract(name, pattern, 2).alias("term"))
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -110,6 +130,13 @@ def softmax(logits: Sequence[Column]) -> list[Column]:
     return [p / total for p in powers]
 
 
+def softmax_array(logits: Column, temperature: float = 1.0) -> Column:
+    """Softmax of an array of logits."""
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda z: F.exp((z - top) / F.lit(temperature)))
+    return F.transform(F.array(powers), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0]
+
+
 def calibrated(confidence: Column, table: Sequence[float]) -> Column:
     """Piecewise-linear lookup in a table over the uniform grid 0..1; ends clamp."""
     last = len(table) - 1

@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from .plans import answering, controlling, measure, rewriting, sampled  # noqa: F401
+    from .plans import answering, controlling, measure, rewriting, sampled, selecting, streamed, studying  # noqa: F401

@@ -1 +1 @@
-"""Quillon: measurement-and-decision operators over text items, on Spark DataFrames."""
+"""Files of records: JSON lines (plain or gzip), CSV and Parquet in, append out. Schemas are given, never inferred."""

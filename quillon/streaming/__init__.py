@@ -1 +1 @@
-"""Quillon: measurement-and-decision operators over text items, on Spark DataFrames."""
+"""Structured Streaming over the feedback log; every stream has a batch query that gives the same rows."""

@@ -145,9 +145,9 @@ def test_ladder_and_promotion(spark):
 
 
 def test_fit_finds_the_side_and_takes_its_rungs_calibration(spark):
-    rows = spark.createDataFrame([(i, float((i * 37) % 100 < 50), 1.0, ((i * 37) % 100 - 49.5) / 50 + (0.6 if i % 7 == 0 else 0.0)) for i in range(240)], "item_id int, y double, weight double, a double")
-    found = fitting.fit_head(rows, ["a"], 240.0)
-    assert (found["status"], found["tier"], found["method"]) == ("fitted", "standard", "temperature")
+    rows = spark.createDataFrame([(i, float((i * 37) % 100 < 50), 1.0, ((i * 37) % 100 - 49.5) / 50 + (0.6 if i % 7 == 0 else 0.0)) for i in range(80)], "item_id int, y double, weight double, a double")
+    found = fitting.fit_head(rows, ["a"], 80.0)
+    assert (found["status"], found["tier"], found["method"]) == ("fitted", "shrunk", "temperature")
     assert found["weights"]["a"] < 0 and found["log_loss"] < 0.5
 
 
