@@ -145,3 +145,20 @@ def calibrated(confidence: Column, table: Sequence[float]) -> Column:
     low = F.least(F.floor(x), F.lit(last - 1)).cast("int")
     at = lambda i: F.element_at(values, i + 1)
     return at(low) + (x - low) * (at(low + 1) - at(low))
+
+
+def title(x: Column) -> Column:
+    """Stripped, and the first letter of every run of letters upper case, the others lower."""
+    pieces = F.regexp_extract_all(strip(x), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))), "")
+
+
+def legend_differs(legend: Column, levels: int) -> Column:
+    """Whether an answer's legend has other than the question's number of levels; without a legend it doesn't."""
+    return legend.isNotNull() & (F.size(legend) != levels)
+
+
+def matching_legend(legend: Column, levels: int) -> Column:
+    """The legend, or an error if its levels aren't the question's: the rubric has changed since."""
+    message = F.concat(F.lit("legend has "), F.size(legend).cast("string"), F.lit(f" levels, the question {levels}"))
+    return F.when(legend_differs(legend, levels), F.raise_error(message).cast("array<string>")).otherwise(legend)

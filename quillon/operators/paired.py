@@ -104,3 +104,36 @@ def answer_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Share of changed top answers and mean change of p, over items that both have."""
     both = before.select("item_id", F.col("predicted").alias("a"), F.col("p").alias("pa")).join(after.select("item_id", F.col("predicted").alias("b"), F.col("p").alias("pb")), "item_id")
     return both.agg(F.count("*").alias("n"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("changed"), F.avg(F.abs(F.col("pa") - F.col("pb"))).alias("mean_abs_delta"))
+
+
+def pair_up(items: DataFrame, twins: DataFrame) -> DataFrame:
+    """Items next to the twin that names them as its source; items without a twin and twins of unknown items drop out."""
+    own = items.withColumnRenamed("item_id", "source_id")
+    return own.join(twins.select("source_id", F.col("item_id").alias("twin_id"), F.col("p").alias("twin_p"), F.col("predicted").alias("twin_predicted")), "source_id")
+
+
+def arm_rows(pairs: DataFrame, by: str) -> DataFrame:
+    """Accuracy, flips and shifts over all pairs ('all') and by group, in one pass."""
+    shift = F.col("twin_p") - F.col("p")
+    rate = lambda c: F.avg(c.cast("double"))
+    return pairs.groupingSets([[], [by]], by).agg(
+        F.count("*").alias("n"), rate(F.col("predicted") == F.col("truth")).alias("accuracy"), rate(F.col("predicted") != F.col("twin_predicted")).alias("flip_rate"),
+        F.avg(F.abs(shift)).alias("mean_abs_shift"), F.avg(shift).alias("mean_shift"),
+    ).withColumn(by, F.coalesce(by, F.lit("all")))
+
+
+def version_rows(items: DataFrame, groups: list[str], names: int) -> DataFrame:
+    """Every item under `names` names of each group: columns grp and k (from 1)."""
+    with_groups = items.select("*", F.explode(F.array(*map(F.lit, groups))).alias("grp"))
+    return with_groups.select("*", F.explode(F.sequence(F.lit(1), F.lit(names))).alias("k"))
+
+
+def pairwise_flips(versions: DataFrame, groups: list[str], reference: str, names: int) -> DataFrame:
+    """Share of names whose verdict differs from the reference's name of the same place, by group. The reference's own row compares its
+    first half with its second. One shuffle by item; a place that either side lacks doesn't count."""
+    at = lambda g, k: F.max(F.when((F.col("grp") == g) & (F.col("k") == k), F.col("predicted")))
+    wide = versions.groupBy("source_id").agg(*[at(g, k).alias(f"{g}_{k}") for g in (reference, *groups) for k in range(1, names + 1)])
+    couples = [(g, f"{g}_{k}", f"{reference}_{k}") for g in groups for k in range(1, names + 1)]
+    couples += [(reference, f"{reference}_{k}", f"{reference}_{k + names // 2}") for k in range(1, names // 2 + 1)]
+    flips = wide.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), (F.col(a) != F.col(b)).alias("flip")) for g, a, b in couples])).alias("c")).select("c.*").where("flip is not null")
+    return flips.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.col("flip").cast("double")).alias("flip_rate"))

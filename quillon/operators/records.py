@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import strip
+from ..functions.scalars import normalize_label, strip
 
 TRUSTED = ("vetted_feedback", "regular_final_feedback")
 
@@ -71,3 +75,34 @@ def ingest_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     text = strip(F.col(column))
     kept = lines.select(text.alias("text"), "line").where((F.col("text") != "") & ~F.col("text").startswith("#"))
     return kept.groupBy(F.substring(F.sha1(F.col("text").cast("binary")), 1, 12).alias("item_id")).agg(F.min_by("text", "line").alias("text"), F.min("line").alias("line"))
+
+
+def feature_rows(cache: DataFrame, questions: DataFrame, names: Sequence[str], value: str = "noul") -> DataFrame:
+    """A column per question for the items that have every answer; an answer to an older wording is none."""
+    current = cache.join(F.broadcast(questions), ["name", "qhash"]).where(F.col("name").isin(*names))
+    wide = current.groupBy("item_id").agg(*[F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in names])
+    return wide.where(reduce(and_, [F.col(n).isNotNull() for n in names]))
+
+
+def lookup(cache: DataFrame, questions: DataFrame, item_id: int, name: str) -> DataFrame:
+    """The answer of one item to one question as it is worded now; no row if there is none."""
+    return cache.where((F.col("item_id") == item_id) & (F.col("name") == name)).join(F.broadcast(questions), ["name", "qhash"])
+
+
+def remaining(items: DataFrame, partial: DataFrame, key: str = "item_id") -> DataFrame:
+    """The items that a broken-off extract doesn't hold yet."""
+    return items.join(partial.select(key).distinct(), key, "left_anti")
+
+
+def recorded(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """Label records from a person's verdicts (predicted, verdict, correct_label). Agreeing keeps the prediction; disagreeing needs a
+    label that is, normalised, one of the classes, and takes that class' own spelling; skipping leaves no label and an unresolved
+    source. Anything else, a null verdict too, is an error."""
+    allowed = F.create_map(*[x for c in classes for x in (normalize_label(F.lit(c)), F.lit(c))])
+    given = normalize_label(F.col("correct_label"))
+    chosen = F.when(given == "", F.raise_error(F.lit("disagreeing needs the correct label"))).otherwise(F.coalesce(allowed[given], F.raise_error(F.concat(F.lit("not one of the classes: "), "correct_label")).cast("string")))
+    unknown = F.raise_error(F.concat(F.lit("unknown verdict: "), F.coalesce("verdict", F.lit("none"))))
+    final = F.when(F.col("verdict") == "agree", F.col("predicted")).when(F.col("verdict") == "disagree", chosen).when(F.col("verdict") == "skip", F.lit(None)).otherwise(unknown)
+    agreed = F.when(F.col("verdict") == "agree", True).when(F.col("verdict") == "disagree", normalize_label(F.col("final")) == normalize_label(F.col("predicted")))
+    source = F.when(F.col("verdict") == "skip", "unresolved").otherwise("regular_final_feedback")
+    return rows.withColumn("final", final.cast("string")).withColumns({"is_agreement": agreed, "label_source": source})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,12 +14,35 @@ from pyspark.sql.window import Window
 RANGE_ROWS = 20_000
 
 
-def inverse_propensity(rows: DataFrame, by: list[str], tie: str, max_ratio: float = 20.0) -> DataFrame:
+def raw_weight() -> Column:
+    """1/propensity; propensities outside (0, 1] are an error."""
+    return F.when((F.col("propensity") > 0) & (F.col("propensity") <= 1), 1 / F.col("propensity")).otherwise(F.raise_error(F.lit("a propensity must be over 0 and at most 1")).cast("double"))
+
+
+def inverse_propensity(rows: DataFrame, by: list[str], max_ratio: float = 20.0) -> DataFrame:
     """weight: 1/propensity, capped at max_ratio times the upper median of its group, scaled so that the group's weights sum to
-    its size. Groups are bounded sets of labelled rows; propensities outside (0, 1] are an error."""
-    raw = F.when((F.col("propensity") > 0) & (F.col("propensity") <= 1), 1 / F.col("propensity")).otherwise(F.raise_error(F.lit("a propensity must be over 0 and at most 1")).cast("double"))
+    its size; without `by` all rows are one group. For groups of any size: each task counts its rows by propensity before a shuffle, and
+    a group's two sums are joined back, so that no task sees all of a group."""
+    raw = rows.withColumn("_raw", raw_weight())
+    capped = F.least("_raw", max_ratio * F.col("_middle"))
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _raw DESC)")
+    groups = raw.groupBy(*by).agg(middle.alias("_middle"), F.count("*").alias("_n"))
+    sums = _beside(raw, groups, by).groupBy(*by).agg(F.first("_middle").alias("_middle"), F.first("_n").alias("_n"), F.sum(capped).alias("_sum"))
+    return _beside(raw, sums, by).withColumn("weight", capped * F.col("_n") / F.col("_sum")).drop("_raw", "_middle", "_n", "_sum")
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with their group's figures; null is a group too."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    keys = groups.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in groups.columns if c not in by])
+    return rows.join(keys, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])).drop(*[f"_by_{c}" for c in by])
+
+
+def inverse_propensity_windows(rows: DataFrame, by: list[str], tie: str, max_ratio: float = 20.0) -> DataFrame:
+    """The same weights for very many small groups, such as the trailing windows of a curve: one shuffle, each group in one task."""
     whole = Window.partitionBy(*by)
-    placed = rows.withColumn("_raw", raw).withColumns({"_n": F.count("*").over(whole), "_r": F.row_number().over(whole.orderBy("_raw", tie))})
+    placed = rows.withColumn("_raw", raw_weight()).withColumns({"_n": F.count("*").over(whole), "_r": F.row_number().over(whole.orderBy("_raw", tie))})
     middle = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_raw"))).over(whole)
     capped = placed.withColumn("_capped", F.least(F.col("_raw"), max_ratio * middle))
     return capped.withColumn("weight", F.col("_capped") * F.col("_n") / F.sum("_capped").over(whole)).drop("_raw", "_n", "_r", "_capped")
@@ -42,7 +69,7 @@ def alignment_curve(rows: DataFrame, time: str, tie: str, window: int = 20) -> D
     last = rows.agg(F.count("*").alias("last"))
     reach = r.crossJoin(F.broadcast(last)).select(tie, "propensity", "ok", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + window - 1, F.col("last")))).alias("k"))
     w = F.col("weight")
-    return inverse_propensity(reach, ["k"], tie).groupBy("k").agg((F.sum(w * F.col("ok")) / F.sum(w)).alias("agreement"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_effective"))
+    return inverse_propensity_windows(reach, ["k"], tie).groupBy("k").agg((F.sum(w * F.col("ok")) / F.sum(w)).alias("agreement"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_effective"))
 
 
 def selection_distribution(rows: DataFrame, temperature: float = 0.60, explore: float = 0.15) -> DataFrame:
@@ -78,3 +105,17 @@ def choose(rows: DataFrame, draw: float, order: str, width: int = 1000) -> DataF
     inside = rows.withColumn("_range", F.floor(F.col(order) / width)).join(F.broadcast(found), "_range")
     upto_row = F.col("_before") + F.sum("probability").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return inside.withColumn("_c", upto_row).where(F.col("_c") >= draw).orderBy(order).limit(1).drop("_c", "_range", "_before")
+
+
+def training_set(latest: DataFrame, features: DataFrame, classes: list[str], names: Sequence[str], twins: DataFrame | None = None) -> DataFrame:
+    """Rows a fit can use (item_id as text, label, features, weight): items with a trusted label among the classes, a propensity and
+    every answer. A twin (item_id of its source, features) is one more row under `<item_id>__twin` with its source's label and
+    propensity. Weights are over all rows, twins included. What is left out is counted by `records.drop_reason`."""
+    usable = latest.where(F.col("label").isin(*classes) & F.col("propensity").isNotNull()).select("item_id", "label", "propensity")
+    whole = ["item_id", "label", "propensity", *names]
+    own = usable.join(features, "item_id")
+    rows = own.select(F.col("item_id").cast("string").alias("item_id"), *whole[1:])
+    if twins is not None:
+        kept = own.select("item_id", "label", "propensity").join(twins, "item_id")
+        rows = rows.unionByName(kept.select(F.concat(F.col("item_id").cast("string"), F.lit("__twin")).alias("item_id"), *whole[1:]))
+    return inverse_propensity(rows, []).select("item_id", "label", *names, "weight")

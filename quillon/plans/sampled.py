@@ -18,12 +18,12 @@ IPW = """r AS (SELECT *, 1 / propensity AS raw, count(*) OVER (PARTITION BY labe
 @query("a09_ipw", f"WITH {W.FEEDBACK}, {IPW} SELECT label_source, event_id, round(weight, 6) AS weight FROM w")
 def a09(spark, d):
     rows = W.feedback(spark, d).select("label_source", "event_id", "propensity")
-    return rounded(sampling.inverse_propensity(rows, ["label_source"], "event_id").select("label_source", "event_id", "weight"))
+    return rounded(sampling.inverse_propensity(rows, ["label_source"]).select("label_source", "event_id", "weight"))
 
 
 @query("a10_ipw_effective", f"WITH {W.FEEDBACK}, {IPW} SELECT label_source, round(sum(weight) * sum(weight) / sum(weight * weight), 4) AS n_effective FROM w GROUP BY label_source")
 def a10(spark, d):
-    rows = sampling.inverse_propensity(W.feedback(spark, d).select("label_source", "event_id", "propensity"), ["label_source"], "event_id")
+    rows = sampling.inverse_propensity(W.feedback(spark, d).select("label_source", "event_id", "propensity"), ["label_source"])
     return rows.groupBy("label_source").agg(F.round(F.sum("weight") * F.sum("weight") / F.sum(F.col("weight") * F.col("weight")), 4).alias("n_effective"))
 
 

@@ -36,11 +36,11 @@ def test_auroc_with_ties(spark):
 
 def test_inverse_propensity_cap_and_scale(spark):
     rows = spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.25), (4, 0.01)], "id int, propensity double").withColumn("g", F.lit(0))
-    w = [r["weight"] for r in sampling.inverse_propensity(rows, ["g"], "id").orderBy("id").collect()]
+    w = [r["weight"] for r in sampling.inverse_propensity(rows, ["g"]).orderBy("id").collect()]
     assert w == pytest.approx([2 * 4 / 90, 4 * 4 / 90, 4 * 4 / 90, 80 * 4 / 90])
     assert sum(w) ** 2 / sum(x * x for x in w) == pytest.approx(1.2585, abs=1e-3)
     with pytest.raises(Exception, match="propensity"):
-        sampling.inverse_propensity(rows.withColumn("propensity", F.lit(0.0)), ["g"], "id").collect()
+        sampling.inverse_propensity(rows.withColumn("propensity", F.lit(0.0)), ["g"]).collect()
 
 
 def test_selection_is_even_for_equal_scores_and_never_below_the_floor(spark):
