@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import temper
+from ..functions.scalars import logit, temper
 
 
 @dataclass(frozen=True)
@@ -111,18 +111,20 @@ def cross_validated(rows: DataFrame, features: list[str], grid: tuple[float, ...
 
 
 def fit_temperature(oof: DataFrame, steps: int = 200) -> float:
-    """The temperature in [0.1, 10] with the least weighted negative log likelihood, which has one minimum: an aggregate over a log
-    grid, then one over a finer grid between the neighbours of its best, on the table of distinct (confidence, correct)."""
+    """The temperature in [0.1, 10] with the least weighted negative log likelihood, which has one minimum: a row per point of a log
+    grid and cell of equal (confidence, correct), summed up inside each task; then the same between the neighbours of its best."""
     cells = oof.groupBy("confidence", "correct").agg(F.sum("weight").alias("w"))
-    p = lambda t: F.least(F.greatest(temper(F.col("confidence"), t), F.lit(1e-9)), F.lit(1 - 1e-9))
-    loss = lambda t: -F.sum(F.col("w") * F.when(F.col("correct") == 1, F.ln(p(t))).otherwise(F.ln(1 - p(t))))
+    p = F.least(F.greatest(1 / (1 + F.exp(-F.col("z") / F.col("t"))), F.lit(1e-9)), F.lit(1 - 1e-9))
+    loss = -F.sum(F.col("w") * F.ln(F.when(F.col("correct") == 1, p).otherwise(1 - p)))
     low, high = 0.1, 10.0
     for _ in range(2):
         grid = [low * (high / low) ** (i / steps) for i in range(steps + 1)]
-        row = cells.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-        if row[0] is None:
+        points = F.explode(F.array(*map(F.lit, grid))).alias("t")
+        by = cells.select(logit(F.col("confidence"), 1e-6).alias("z"), "correct", "w", points).groupBy("t").agg(loss.alias("loss"))
+        row = by.agg(F.min(F.struct("loss", "t")).alias("least")).first()
+        if row[0] is None or row[0]["loss"] is None:
             return 1.0
-        best = min(range(len(grid)), key=lambda i: row[i])
+        best = min(range(len(grid)), key=lambda i: abs(grid[i] - row[0]["t"]))
         low, high = grid[max(0, best - 1)], grid[min(steps, best + 1)]
     return grid[best]
 
@@ -183,6 +185,7 @@ def fit_head(rows: DataFrame, features: list[str], n_effective: float, folds: in
         raise Refused(f"{least[0]} labels of a class; three are needed")
     dealt = stratified_folds(rows, "y", "item_id", min(folds, least[0])).select("item_id", "y", "weight", "fold", *features).persist()
     oof = cross_validated(dealt, features, tier.grid, min(folds, least[0]))
+    oof.rows.persist()  # read by the calibration several times
     table, method = calibration_table(oof.rows, tier.calibration)
     model = logistic(dealt, features, oof.c)
     return {"status": "fitted", "tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "weights": dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), "intercept": float(model.intercept), "table": table, "method": method, "oof": oof.rows}
