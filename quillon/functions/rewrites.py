@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,3 +131,26 @@ def pick_name(group: str, gender: Column, draw: Column) -> Column:
     pools = {g: F.array(*[F.lit(n) for n in NAMES[group, g]]) for g in ("female", "male")}
     at = lambda pool: F.element_at(pool, (F.floor(draw * F.size(pool)) + 1).cast("int"))
     return F.when(gender == "female", at(pools["female"])).otherwise(at(pools["male"]))
+
+
+def whole_words(words: Sequence[str]) -> str:
+    """A pattern for any of the words as a whole word, in any script."""
+    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}_])"
+
+
+def redact_names(text: Column, names: Sequence[str]) -> Column:
+    """struct(text, redacted): every capitalised word of the list becomes [name], counted. By the list alone: no entity recogniser is at
+    hand, so a listed word that is no name here goes too. Null gives nulls."""
+    pattern = whole_words(names)
+    return F.when(text.isNotNull(), F.struct(F.regexp_replace(text, pattern, "[name]").alias("text"), F.regexp_count(text, F.lit(pattern)).alias("redacted")))
+
+
+def with_full_name(text: Column, first: str, last: str, surnames: Sequence[str]) -> Column:
+    """struct(text, pronoun, placeholders, surnames): the first subject pronoun as first and last name, every [name] as the first name,
+    every listed surname as the last. text is null without any of these; a surname that is also a pronoun stays a pronoun."""
+    pattern = whole_words([s for s in surnames if s.lower() not in ("he", "she")])
+    bare = F.replace(text, F.lit("[name]"), F.lit(""))
+    found = F.struct((pronoun_at(text) > 0).alias("pronoun"), ((F.length(text) - F.length(bare)) / 6).cast("int").alias("placeholders"), F.regexp_count(text, F.lit(pattern)).alias("surnames"))
+    filled = F.replace(F.regexp_replace(text, pattern, last), F.lit("[name]"), F.lit(first))
+    made = F.coalesce(insert_name(filled, F.lit(f"{first} {last}")), filled)
+    return F.when(text.isNotNull(), F.transform(F.array(found), lambda n: F.struct(F.when(n["pronoun"] | (n["placeholders"] > 0) | (n["surnames"] > 0), made).alias("text"), n["pronoun"].alias("pronoun"), n["placeholders"].alias("placeholders"), n["surnames"].alias("surnames")))[0])

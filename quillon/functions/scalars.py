@@ -11,6 +11,9 @@ EPSILON = 0.01
 #: White space as Unicode has it, in a form that Java's and RE2's patterns share (fixed values).
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: A JSON object in a code fence.
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
 
 def uniform(salt: str, *ids: Column | str) -> Column:
     """A reproducible draw from [0, 1): the first 32 bits of md5(salt#id#id...)."""
@@ -162,3 +165,17 @@ def matching_legend(legend: Column, levels: int) -> Column:
     """The legend, or an error if its levels aren't the question's: the rubric has changed since."""
     message = F.concat(F.lit("legend has "), F.size(legend).cast("string"), F.lit(f" levels, the question {levels}"))
     return F.when(legend_differs(legend, levels), F.raise_error(message).cast("array<string>")).otherwise(legend)
+
+
+def json_reply(text: Column) -> Column:
+    """The JSON object in a reply that may have prose or a code fence around it, as text: the fenced one, else what is from the first { to
+    the last }. Null, a refusal, if neither is one whole object; an object with a key twice is none."""
+    fenced = F.nullif(F.regexp_extract(text, FENCED, 1), F.lit(""))
+    plain = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+    def whole(x: Column) -> Column:
+        # in brackets, text after the object's end is an error or a second element
+        parsed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        return F.when(parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull(), x)
+
+    return F.coalesce(whole(fenced), whole(plain))

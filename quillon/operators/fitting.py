@@ -7,6 +7,7 @@ calibration may learn from: only `cross_validated` makes them.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -189,3 +190,32 @@ def fit_head(rows: DataFrame, features: list[str], n_effective: float, folds: in
     table, method = calibration_table(oof.rows, tier.calibration)
     model = logistic(dealt, features, oof.c)
     return {"status": "fitted", "tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "weights": dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), "intercept": float(model.intercept), "table": table, "method": method, "oof": oof.rows}
+
+
+def fit_ids(rows: DataFrame, by: Sequence[str], features: Sequence[str], c: float) -> DataFrame:
+    """fit_id by group: dh- and ten hex digits that name the labels learnt from (item_id, label), the features and the constant. The order
+    of the rows doesn't matter: their hashes are summed, so no group is gathered in one place."""
+    digits = F.substring(F.sha2(F.concat_ws("\x1f", F.col("item_id").cast("string"), "label"), 256), 1, 15)
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.conv(digits, 16, 10).cast("decimal(20,0)")).alias("labels"))
+    named = F.sha2(F.concat_ws("|", "n", F.col("labels").cast("string"), F.lit(",".join(features)), F.lit(str(c))), 256)
+    return sums.select(*by, "n", F.concat(F.lit("dh-"), F.substring(named, 1, 10)).alias("fit_id"))
+
+
+def matrix(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """missing: the names of features that a row lacks; vector: its features in the order of names, null if any is missing."""
+    absent = F.filter(F.array(*[F.when(F.col(n).isNull() | F.isnan(n), F.lit(n)) for n in names]), lambda n: n.isNotNull())
+    return rows.withColumn("missing", absent).withColumn("vector", F.when(F.size("missing") == 0, F.array(*names)))
+
+
+def complete_matrix(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same, refused if any row lacks a feature: a neutral value in its place would draw the feature's weight to zero."""
+    said = F.concat(F.lit("training needs full coverage; missing "), F.array_join("missing", ", "))
+    return matrix(rows, names).withColumn("vector", F.coalesce("vector", F.raise_error(said).cast("array<double>"))).drop("missing")
+
+
+def serving_head(classes: Sequence[str], features: Sequence[str], intercepts: Sequence[float], coefficients: Sequence[Sequence[float]], declared: Sequence[str]) -> dict:
+    """classes in declared order, others after them, and weights by class; of two classes only the second, in sorted order, has any."""
+    learnt = sorted(classes)
+    weighted = learnt[1:] if len(learnt) == 2 else learnt
+    weights = {k: {"intercept": float(b), **dict(zip(features, map(float, w), strict=True))} for k, b, w in zip(weighted, intercepts, coefficients, strict=True)}
+    return {"model": "multinomial_logistic", "classes": [*(k for k in declared if k in learnt), *(k for k in learnt if k not in declared)], "weights": weights}

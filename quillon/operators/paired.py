@@ -137,3 +137,8 @@ def pairwise_flips(versions: DataFrame, groups: list[str], reference: str, names
     couples += [(reference, f"{reference}_{k}", f"{reference}_{k + names // 2}") for k in range(1, names // 2 + 1)]
     flips = wide.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), (F.col(a) != F.col(b)).alias("flip")) for g, a, b in couples])).alias("c")).select("c.*").where("flip is not null")
     return flips.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.col("flip").cast("double")).alias("flip_rate"))
+
+
+def flip_mismatches(pairs: DataFrame) -> DataFrame:
+    """Pairs whose verdict changes on the twin, in the shape of mismatches that a person explained. Pairs without one verdict are left out."""
+    return pairs.where("predicted <> twin_predicted").select("source_id", F.col("predicted").alias("we_said"), F.round(F.greatest("p", 1 - F.col("p")), 4).alias("confidence_when_shown"), F.col("twin_predicted").alias("human_said"), F.lit("only the pronouns differ").alias("human_comment"))
