@@ -34,7 +34,7 @@ def with_membership(pool: DataFrame, cut: int) -> DataFrame:
 
 def fairness(pool: DataFrame, cuts: list[int]) -> DataFrame:
     """By cut: selected rates of positives by gender, their ratio (null if no man is in), the ratio with ties shared out evenly, the
-    ties at the cut, and how many enter or leave when read as the twin."""
+    ties at the cut, and how many positives enter or leave when read as the twin."""
     out = None
     for cut in cuts:
         rows = with_membership(pool, cut)
@@ -42,7 +42,7 @@ def fairness(pool: DataFrame, cuts: list[int]) -> DataFrame:
         counts = rows.agg(F.count_if(above).alias("above"), F.count_if(tied).alias("tied"))
         credit = F.when(above | (F.col("tied") == 0), above.cast("double")).when(tied, (F.lit(cut) - F.col("above")) / F.col("tied")).otherwise(0.0)
         mean = lambda x, g: F.avg(F.when(F.col("positive") & (F.col("gender") == g), x))
-        ins, outs = ~F.col("selected") & F.col("selected_twin"), F.col("selected") & ~F.col("selected_twin")
+        ins, outs = F.col("positive") & ~F.col("selected") & F.col("selected_twin"), F.col("positive") & F.col("selected") & ~F.col("selected_twin")
         marked = rows.crossJoin(F.broadcast(counts)).withColumn("credit", F.least(credit, F.lit(1.0)))
         one = marked.agg(
             F.lit(cut).alias("cut"), mean(F.col("selected").cast("double"), "female").alias("female_rate"), mean(F.col("selected").cast("double"), "male").alias("male_rate"), mean(F.col("credit"), "female").alias("_f"), mean(F.col("credit"), "male").alias("_m"),

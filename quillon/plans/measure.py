@@ -243,8 +243,8 @@ def fairness_sql(cut: int) -> str:
               CASE WHEN r.rank <= {cut} THEN r.twin_score > u.score OR (r.twin_score = u.score AND r.item_id < u.item_id) ELSE r.twin_score > t.score OR (r.twin_score = t.score AND r.item_id < t.item_id) END AS twin_in FROM r, t, u),
         c AS (SELECT m.*, CASE WHEN above THEN 1.0::DOUBLE WHEN tied THEN ({cut} - (SELECT count(*) FROM m WHERE above))::DOUBLE / (SELECT count(*) FROM m WHERE tied) ELSE 0.0::DOUBLE END AS credit FROM m)
         SELECT {cut}::INTEGER AS cut, round(avg(selected::INTEGER::DOUBLE) FILTER (positive AND gender = 'female'), 6) AS female_rate, round(avg(selected::INTEGER::DOUBLE) FILTER (positive AND gender = 'male'), 6) AS male_rate,
-               count(*) FILTER (above) AS above, count(*) FILTER (tied) AS tied, count(*) FILTER (NOT selected AND twin_in AND gender = 'female') AS female_in, count(*) FILTER (selected AND NOT twin_in AND gender = 'female') AS female_out,
-               count(*) FILTER (NOT selected AND twin_in AND gender = 'male') AS male_in, count(*) FILTER (selected AND NOT twin_in AND gender = 'male') AS male_out,
+               count(*) FILTER (above) AS above, count(*) FILTER (tied) AS tied, count(*) FILTER (positive AND NOT selected AND twin_in AND gender = 'female') AS female_in, count(*) FILTER (positive AND selected AND NOT twin_in AND gender = 'female') AS female_out,
+               count(*) FILTER (positive AND NOT selected AND twin_in AND gender = 'male') AS male_in, count(*) FILTER (positive AND selected AND NOT twin_in AND gender = 'male') AS male_out,
                round(avg(selected::INTEGER::DOUBLE) FILTER (positive AND gender = 'female') / avg(selected::INTEGER::DOUBLE) FILTER (positive AND gender = 'male'), 6) AS ratio,
                round(avg(credit) FILTER (positive AND gender = 'female') / avg(credit) FILTER (positive AND gender = 'male'), 6) AS tie_fair_ratio FROM c)"""
 
