@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,36 @@ def load_answers(spark: SparkSession, cache_path: str, schema: str, questions: D
         rows = rows.join(questions.select("name", "qhash"), ["name", "qhash"], "left_semi")
     whole = F.struct(*rows.columns)
     return rows.groupBy("item_id", "name", "qhash").agg(F.max_by(whole, "seq").alias("r")).select("r.*")
+
+
+LINEAGE = "version long, parent long, kind string, created_at string, sha256 string, n_feedback long, provenance map<string,string>"
+
+
+def lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """The versions of a configuration in order; empty before the first commit."""
+    try:
+        return read_jsonl(spark, f"{folder}/lineage", LINEAGE).orderBy("version")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LINEAGE)
+
+
+def commit(spark: SparkSession, folder: str, text: str, kind: str, n_feedback: int, provenance: dict[str, str] | None = None) -> int:
+    """Adds a version of a configuration and its parent to the lineage; returns its number. The text is written first, to a folder of the
+    number that must not exist: of two commits at once, one fails."""
+    parent = lineage(spark, folder).agg(F.max("version")).first()[0]
+    version = (parent or 0) + 1
+    spark.createDataFrame([(text,)], "content string").coalesce(1).write.mode("error").parquet(f"{folder}/v{version}")
+    entry = (version, parent, kind, datetime.now(UTC).isoformat(), hashlib.sha256(text.encode()).hexdigest()[:16], n_feedback, provenance or {})
+    append_jsonl(spark.createDataFrame([entry], LINEAGE).coalesce(1), f"{folder}/lineage")
+    return version
+
+
+def version_text(spark: SparkSession, folder: str, version: int | None = None) -> str:
+    """A version's text, the latest by default. An unknown version is an error."""
+    known = [r[0] for r in lineage(spark, folder).select("version").collect()]
+    wanted = version or max(known, default=0)
+    if wanted not in known:
+        raise ValueError(f"no version {wanted} in {folder}")
+    return spark.read.parquet(f"{folder}/v{wanted}").first()[0]

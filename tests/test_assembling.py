@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import rewrites as R
 from quillon.functions import scalars as S
-from quillon.operators import fitting, paired
+from quillon.operators import fitting, paired, shortlist
+from quillon.sources import files
 
 
 @pytest.mark.parametrize(
@@ -58,3 +59,24 @@ def test_flip_mismatches(spark):
     pairs = spark.createDataFrame([(1, 0.91234567, "y", "n"), (2, 0.2, "n", "n"), (3, 0.2, None, "n")], "source_id long, p double, predicted string, twin_predicted string")
     assert [tuple(r) for r in paired.flip_mismatches(pairs).collect()] == [(1, "y", 0.9123, "n", "only the pronouns differ")]
     assert paired.flip_mismatches(pairs.limit(0)).count() == 0
+
+
+def test_versions_are_never_overwritten(spark, tmp_path):
+    folder = f"file://{tmp_path}/cards"
+    assert files.lineage(spark, folder).count() == 0
+    with pytest.raises(ValueError, match="no version 0"):
+        files.version_text(spark, folder)
+    assert files.commit(spark, folder, "a: 1\n", "authored", 0) == 1
+    assert files.commit(spark, folder, "a: 2\n", "fitted", 7, {"fit_id": "dh-1"}) == 2
+    got = files.lineage(spark, folder).collect()
+    assert [(r.version, r.parent, r.kind, r.n_feedback, len(r.sha256)) for r in got] == [(1, None, "authored", 0, 16), (2, 1, "fitted", 7, 16)]
+    assert files.version_text(spark, folder) == "a: 2\n" and files.version_text(spark, folder, 1) == "a: 1\n"
+    spark.range(1).write.parquet(f"{folder}/v3")  # someone else's commit, half done
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.commit(spark, folder, "a: 3\n", "authored", 9)
+
+
+def test_only_positives_count_as_entering_or_leaving(spark):
+    rows = [("a", 0.9, 0.1, "female", False), ("b", 0.8, 0.9, "female", True), ("c", 0.7, 0.95, "male", True), ("d", 0.6, 0.99, "male", False)]
+    got = shortlist.fairness(spark.createDataFrame(rows, "item_id string, score double, twin_score double, gender string, positive boolean"), [2]).first()
+    assert (got.female_in, got.female_out, got.male_in, got.male_out) == (0, 0, 1, 0) and got.ratio is None
