@@ -1,7 +1,8 @@
 """Language identification by known words first, backing off to shorter and shorter character n-grams.
 
 Word and n-gram frequencies by language are counted in Spark over a bounded sample of the labelled rows (`sample_rows` per
-language, drawn by a hash of the id; the bound makes the model small enough to send to every task). A known word adds
+language, drawn by a hash of the id; the bound makes the model small enough to send to every task). What occurs there fewer
+than `min_times` times in a language is not part of the model: seen once, it tells chance from language badly. A known word adds
 its smoothed log frequency in each language. An unseen one takes the longest n for which any of its n-grams is known, and adds
 the mean log frequency of those. The prediction is the language with the largest sum, ties to the name that sorts first;
 the score is its share of the posterior.

@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each on what the one before has kept.
 
-Rows without an id pass the near-duplicate stage, which can't name them; repeated rows (same id and text) are one there.
+Rows without an id pass the near-duplicate stage, which can't name them; repeated rows (same id and text) are one there. Columns that
+the stages add on the way get names that the input doesn't have.
 """
 
 from __future__ import annotations
@@ -12,6 +13,14 @@ from pyspark.sql.window import Window
 from . import common, decontaminate, neardup, packing, repeats, toxicity
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of docs is called so; case makes no difference to Spark."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
@@ -19,19 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
-    kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    once = named.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where("_copy = 1").drop("_copy")
+    kept_id, copy = unused(docs, "kept_id"), unused(docs, "copy")
+    kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
+    once = named.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))).where(F.col(copy) == 1).drop(copy)
     return once.unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start in an earlier document too go from the texts."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    cut = repeats.remove_repeats(docs, keep_text=True).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("text").alias("_text"))
-    rest = docs.withColumn("_key", key).drop("text").dropDuplicates(["doc_id", "_key"])
-    out = cut.join(rest, F.col("_id").eqNullSafe(F.col("doc_id")) & (cut["_key"] == rest["_key"]))
-    return out.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
+    key, key_of, id_of, text_of = (unused(docs, c) for c in ("key", "key_of", "id_of", "text_of"))
+    cut = repeats.remove_repeats(docs, keep_text=True).select(F.col("doc_id").alias(id_of), F.col("key").alias(key_of), F.col("text").alias(text_of))
+    rest = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).drop("text").dropDuplicates(["doc_id", key])
+    out = cut.join(rest, F.col(id_of).eqNullSafe(F.col("doc_id")) & (F.col(key_of) == F.col(key)))
+    return out.withColumn("text", F.col(text_of)).withColumn("n_chars", F.length(text_of).cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,7 +102,9 @@ class WordEncoder:
 
 
 def encoder(name: str = VOCABULARY) -> WordEncoder:
-    """One for each worker process."""
+    """One for each worker process. Where words end and which places are stable is known for this vocabulary alone: others are refused."""
+    if name.rsplit("/", 1)[-1] != VOCABULARY.rsplit("/", 1)[-1]:
+        raise ValueError(f"words are cut as {VOCABULARY} has them; {name} is another vocabulary")
     if name not in _encoders:
         _encoders[name] = WordEncoder(name)
     return _encoders[name]

@@ -225,3 +225,13 @@ def test_pipeline_of_edges(spark, data, edges):
             docs = stage(spark, docs, data).cache()
             assert docs.columns == edges.columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() >= rows
+
+
+def test_pipeline_with_clashing_columns(spark, data, edges):
+    clash = edges.withColumns({c: F.lit("x") for c in ("kept", "KEPT_ID", "copy", "key", "key_of", "id_of", "text_of", "text_of_", "_copy", "_key", "_id", "_text", "component_id", "score")})
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        plain, extra = (stage(spark, docs, data) for docs in (edges, clash))
+        assert extra.columns == clash.columns, name
+        assert {r.kept for r in extra.select("kept").collect()} == {"x"}
+        seen = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+        assert seen(extra) == seen(plain), name

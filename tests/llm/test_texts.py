@@ -234,3 +234,8 @@ def test_plain_tokens_show_nothing():
     for token in ["garden", "letter", "winter?", "river/market", "w1nter", "50%", "a*b", "*" * 5000 + "a", "a" + "*" * 5000 + "b", "x/" * 5000]:
         assert model.evidence_of(token) == ()
     assert model.evidence_of("v3rmin" + "*" * 5000) == ("vermin",)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="another vocabulary"):
+        tokens.encoder("other.json")
