@@ -136,3 +136,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after
         if not changed:
             return labels
+
+
+def count_class(times: str) -> F.Column:
+    """Classes of counts, 16 a power of two: some hundreds, whatever the counts are."""
+    return F.floor(F.log2(F.col(times).cast("double")) * 16).cast("int")
+
+
+def head_class(counts: DataFrame, word: str, times: str, budget: int, each: int = 100) -> tuple[int, int]:
+    """The least class of counts from which on all words together fit `budget` bytes, at `each` bytes a word and those of the word
+    itself; and how many words there are below it. The driver sees a sum per class."""
+    sums = counts.groupBy(count_class(times).alias("c")).agg(F.sum(F.octet_length(word) + each).alias("size"), F.count("*").alias("n")).collect()
+    least, left, below = max((r["c"] for r in sums), default=0) + 1, budget, sum(r["n"] for r in sums)
+    for r in sorted(sums, key=lambda r: -r["c"]):
+        if r["size"] > left:
+            break
+        least, left, below = r["c"], left - r["size"], below - r["n"]
+    return least, below

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lattice, merkle, neardup, packing, quality, repeats, tokens, toxicity, warc
+from . import decontaminate, language, lattice, merkle, neardup, packing, phrases, quality, repeats, tokens, toxicity, urls, warc
 from .common import table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,6 +57,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"), lambda c: F.translate(c, UPPER, UPPER.lower()))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -101,6 +109,19 @@ def merkle_sql(levels: int = 6, top: int = 3) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_merkle_manifest": merkle_sql(),
+        "op12_collocations": f"""
+            WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+            w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+            g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+            f AS (SELECT lang, phrase, m, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100), n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+            c AS (SELECT lang, phrase, c AS a, m, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+            k AS (SELECT k.lang, k.phrase, a, k, l.c AS l, r.c AS r, n, 1000::HUGEINT * a * n // (l.c::HUGEINT * r.c) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) k
+                  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:k.m], ' ') JOIN n ON n.lang = k.lang),
+            b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+            h AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS held FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c)) GROUP BY 1, 2)
+            SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+            FROM (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE held IS NULL OR 100 * held < 100 * a) WHERE rank <= 2000
+        """,
         "op6_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
