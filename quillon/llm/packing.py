@@ -3,19 +3,23 @@
 Documents become token ids (an end id last), cut at multiples of the sequence length; what remains of each is an item. The
 histogram of items over length classes (lengths rounded up to `grain` tokens: a number of rows fixed by the sequence length)
 goes to the driver, where a linear program over patterns is solved by a revised simplex; a knapsack dynamic program over the
-duals prices new patterns until none can better the bound by more than `gap`. Patterns are rounded down and those that fill
-less than `fullness` are left out. In Spark, items are ranked within their class (counted by class and hash bucket, so that a
-class that holds a third of all rows is many tasks) and the rank picks pattern, sequence and slot.
-
-Items that rounding leaves over are strung together and cut where a sequence is full; the string's tail is cut into powers of two,
-which need no padding. Their positions are prefix sums by bucket, and only their texts are encoded once more.
-
-Defined cases: null and empty texts hold the end id alone; repeated rows and ids are packed each; an empty table gives no pieces;
-other columns are not read.
+duals prices new patterns until none can better the bound by more than `gap`. Patterns are rounded down. In Spark, items are
+ranked within their class (counted by class and hash bucket, so that a class that holds a third of all rows is many tasks) and
+the rank picks pattern, sequence and slot.
+
+Rounding lengths up leaves some tokens free in every patterned sequence, the more the shorter its items are. Items that the patterns
+leave over are strung together and cut to fill these rooms one after another; where there are too few, sequences of the worst-filled
+patterns are given up for it. What is still left makes sequences of its own, cut where one is full; its tail is cut into powers of
+two, which need no padding. Positions in the string are prefix sums by bucket, rooms and items meet by stretches of the string, and
+only the texts of items in the string are encoded once more.
+
+Defined cases: null and empty texts hold the end id alone; repeated rows and ids are packed each, also if all rows are equal (rows are
+numbered once, in a written table); an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +33,11 @@ from pyspark.sql.window import Window
 from . import common
 from .tokens import VOCABULARY, encoder
 
-PIECES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
-PIECES_DDL = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+PIECES_DDL = "row long, key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 BUCKET_ROWS = 50_000
+#: Tokens of the string of left-over items that one task fits into rooms.
+STRETCH = 1 << 20
 
 
 def ids_of(text: bytes | None, vocabulary: str, end: int) -> np.ndarray:
@@ -49,10 +55,10 @@ def cut_documents(docs: DataFrame, size: int, vocabulary: str, end: int) -> Data
         for whole in batches:
             for batch in common.slices(whole):
                 out = []
-                for key, doc_id, text in zip(common.ids(batch, "key"), common.ids(batch), common.texts(batch), strict=True):
+                for row, key, doc_id, text in zip(common.ids(batch, "row"), common.ids(batch, "key"), common.ids(batch), common.texts(batch), strict=True):
                     found = ids_of(text, vocabulary, end)
-                    out += [(key, doc_id, i, len(found[i : i + size]), crc(found[i : i + size]), len(found)) for i in range(0, len(found), size)]
-                yield common.as_batch(dict(zip(PIECES.names, map(list, zip(*out, strict=True)) if out else [[]] * 6, strict=True)), PIECES)
+                    out += [(row, key, doc_id, i, len(found[i : i + size]), crc(found[i : i + size]), len(found)) for i in range(0, len(found), size)]
+                yield common.as_batch(dict(zip(PIECES.names, map(list, zip(*out, strict=True)) if out else [[]] * 7, strict=True)), PIECES)
 
     return docs.mapInArrow(run, PIECES_DDL)
 
@@ -140,8 +146,9 @@ def solve(demand: np.ndarray, gap: float = 0.003, rounds: int = 4000) -> tuple[n
     return columns[used], np.maximum(x[used], 0)
 
 
-def plan(counts: dict[int, int], size: int, grain: int, fullness: float = 0.99) -> Plan:
-    """Whole numbers of sequences from the linear program, never more items of a class than there are."""
+def plan(counts: dict[int, int], size: int, grain: int) -> Plan:
+    """Whole numbers of sequences from the linear program, never more items of a class than there are, and so many that what is left
+    over fills the rooms in them."""
     capacity = size // grain
     demand, tokens = np.zeros(capacity, np.int64), np.zeros(capacity)
     for length, times in counts.items():
@@ -151,7 +158,6 @@ def plan(counts: dict[int, int], size: int, grain: int, fullness: float = 0.99)
     mean = tokens / np.maximum(demand, 1)
     times = np.floor(x + 1e-6).astype(np.int64)
     filled = patterns @ mean / size if len(patterns) else np.zeros(0)
-    times[filled < fullness] = 0
     for c in np.flatnonzero(demand):
         over = int((patterns[:, c] * times).sum() - demand[c]) if len(patterns) else 0
         for p in np.argsort(filled):
@@ -159,6 +165,12 @@ def plan(counts: dict[int, int], size: int, grain: int, fullness: float = 0.99)
                 less = min(int(times[p]), -(-over // int(patterns[p, c])))
                 times[p] -= less
                 over -= less * int(patterns[p, c])
+    # a sequence given up is a sequence's tokens more in the string, filled share and room together
+    short = float((times * (1 - filled)).sum() * size - (tokens.sum() - (times * filled).sum() * size))
+    for p in np.argsort(filled):
+        less = min(int(times[p]), max(0, math.ceil(short / size)))
+        times[p] -= less
+        short -= less * size
     return Plan(patterns[times > 0], times[times > 0])
 
 
@@ -194,18 +206,42 @@ def cuts(position: int, length: int, total: int, size: int) -> list[tuple[int, i
     return out
 
 
+def _fitted(stretch: int):
+    """Meets rooms and items of a stretch of the string: pieces of items, as far as there are rooms."""
+
+    def run(key: tuple, rooms: pa.Table, items: pa.Table) -> pa.Table:
+        low = key[0].as_py() * stretch
+        rooms, items = rooms.sort_by("from"), items.sort_by("position")
+        column = lambda t, c: t.column(c).to_numpy()
+        a, b = column(rooms, "from"), column(items, "position")
+        edges = np.unique(np.concatenate([a, a + column(rooms, "room"), b, b + column(items, "length"), [low, low + stretch]]))
+        edges = edges[(edges >= low) & (edges <= low + stretch)]
+        start, n = edges[:-1], np.diff(edges)
+        if len(a) and len(b):
+            r, i = np.searchsorted(a, start, "right") - 1, np.searchsorted(b, start, "right") - 1
+            ok = (r >= 0) & (i >= 0) & (start < (a + column(rooms, "room"))[r]) & (start < (b + column(items, "length"))[i])
+            r, i, start, n = r[ok], i[ok], start[ok], n[ok]
+        else:
+            r = i = start = n = np.zeros(0, np.int64)
+        out = {c: items.column(c).take(pa.array(i)) for c in ("row", "key", "doc_id", "start", "doc_tokens")}
+        own = {"skip": start - b[i], "n": n, "sequence_id": column(rooms, "sequence_id")[r], "offset": column(rooms, "used")[r] + start - a[r]}
+        return pa.table(out | {c: pa.array(v, pa.int64()) for c, v in own.items()})
+
+    return run
+
+
 def pack(docs: DataFrame, size: int = 4096, grain: int = 8, vocabulary: str = VOCABULARY, end: int = 2) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece; by_pattern: whether a pattern placed it."""
     spark = docs.sparkSession
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = common.written(cut_documents(keyed, size, vocabulary, end), "pieces")
+    pieces = common.written(cut_documents(keyed.withColumn("row", F.monotonically_increasing_id()), size, vocabulary, end), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     total = sum(counts.values())
     made = plan(counts, size, grain)
     slots, sequences = made.slots(), int(made.sequences.sum())
     buckets = max(1, -(-total // BUCKET_ROWS)) if total > BUCKET_ROWS else 4
     ranked = with_prefix(
-        bucketed(pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")), buckets, ["key", "start"]), ["class"], F.lit(1), ["key", "start"], "rank"
+        bucketed(pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")), buckets, ["row", "start"]), ["class"], F.lit(1), ["row", "start"], "rank"
     )
     sent = spark.sparkContext.broadcast(slots)
     placed_schema = pa.schema([*PIECES, ("class", pa.int32()), ("sequence_id", pa.int64())])
@@ -224,16 +260,42 @@ def pack(docs: DataFrame, size: int = 4096, grain: int = 8, vocabulary: str = VO
             yield common.as_batch(columns | {"sequence_id": pa.array(out, pa.int64(), mask=out < 0)}, placed_schema)
 
     placed = common.written(ranked.select(*PIECES.names, "class", "rank").mapInArrow(place, PIECES_DDL + ", class int, sequence_id long"), "placed")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "key", "start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "row", "start").rowsBetween(Window.unboundedPreceding, -1)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    patterned = placed.where("sequence_id is not null").withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*columns)
+    whole = placed.where("sequence_id is not null")
+    patterned = whole.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(*columns, F.lit(True).alias("by_pattern"))
 
     left = placed.where("sequence_id is null").select(*PIECES.names)
     n, length = left.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if not n:
         return patterned
-    strung = with_prefix(bucketed(left, max(1, -(-n // BUCKET_ROWS)), ["key", "start"]).withColumn("all", F.lit(0)), ["all"], F.col("length"), ["key", "start"], "position").drop("all")
-    texts = keyed.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+    strung = common.written(with_prefix(bucketed(left, max(1, -(-n // BUCKET_ROWS)), ["row", "start"]).withColumn("all", F.lit(0)), ["all"], F.col("length"), ["row", "start"], "position").drop("all"), "strung")
+    rooms = whole.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("room", F.lit(size) - F.col("used")).where("room > 0")
+    rooms = common.written(with_prefix(bucketed(rooms.withColumn("all", F.lit(0)), max(1, -(-sequences // BUCKET_ROWS)), ["sequence_id"]), ["all"], F.col("room"), ["sequence_id"], "from").drop("all"), "rooms")
+    room = rooms.agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
+    over = lambda rows, at, n: rows.withColumn("stretch", F.explode(F.sequence(F.floor(F.col(at) / STRETCH), F.floor((F.col(at) + F.col(n) - 1) / STRETCH))))
+    item = "row long, key long, doc_id long, start long, doc_tokens long"
+    fits = over(rooms, "from", "room").groupBy("stretch").cogroup(over(strung.where(F.col("position") < room), "position", "length").groupBy("stretch")).applyInArrow(_fitted(STRETCH), f"{item}, skip long, n long, sequence_id long, offset long")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What lies past the rooms, in sequences of its own."""
+        names = [c.split()[0] for c in item.split(", ")]
+        schema = pa.schema([(c, pa.int64()) for c in [*names, "skip", "n", "sequence_id", "offset"]])
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                skip = max(0, room - r["position"])
+                for sequence, offset, k in cuts(r["position"] + skip - room, r["length"] - skip, length - room, size):
+                    out.append((*(r[c] for c in names), skip, k, sequences + sequence, offset))
+                    skip += k
+            yield common.as_batch(dict(zip(schema.names, map(list, zip(*out, strict=True)) if out else [[]] * 9, strict=True)), schema)
+
+    rest = strung.where(F.col("position") + F.col("length") > room).mapInArrow(own, f"{item}, skip long, n long, sequence_id long, offset long")
+    names = [c.split()[0] for c in item.split(", ")]
+    parts = fits.unionByName(rest).groupBy(*names).agg(F.collect_list(F.struct("skip", "n", "sequence_id", "offset")).alias("parts"))  # of one item
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    texts = keyed.alias("a").join(left.select("key", "doc_id").distinct().alias("b"), same, "left_semi").dropDuplicates(["key", "doc_id"])
+    met = parts.alias("a").join(texts.alias("b"), same).select("a.doc_id", "a.start", "a.doc_tokens", "a.parts", "b.text")
     out_schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in columns[1:])])
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +303,10 @@ def pack(docs: DataFrame, size: int = 4096, grain: int = 8, vocabulary: str = VO
             for batch in common.slices(whole):
                 out = []
                 for row, text in zip(batch.drop_columns(["text"]).to_pylist(), common.texts(batch), strict=True):
-                    found, at = ids_of(text, vocabulary, end), row["start"]
-                    for sequence, offset, k in cuts(row["position"], row["length"], length, size):
-                        out.append((row["doc_id"], at, k, crc(found[at : at + k]), row["doc_tokens"], sequences + sequence, offset))
-                        at += k
+                    found = ids_of(text, vocabulary, end)
+                    for p in row["parts"]:
+                        at = row["start"] + p["skip"]
+                        out.append((row["doc_id"], at, p["n"], crc(found[at : at + p["n"]]), row["doc_tokens"], p["sequence_id"], p["offset"]))
                 yield common.as_batch(dict(zip(out_schema.names, map(list, zip(*out, strict=True)) if out else [[]] * 7, strict=True)), out_schema)
 
-    return patterned.unionByName(strung.join(texts, "key").select("doc_id", "start", "length", "doc_tokens", "position", "text").mapInArrow(recut, ", ".join(f"{c} long" for c in columns)))
+    return patterned.unionByName(met.mapInArrow(recut, ", ".join(f"{c} long" for c in columns)).withColumn("by_pattern", F.lit(False)))
