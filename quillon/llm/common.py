@@ -41,7 +41,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    MADE.append((spark, path))
+    return out
+
+
+#: Folders that `written` has made and nobody has deleted.
+MADE: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -119,23 +131,77 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made, once nothing that is still to be computed reads them."""
+    for df in tables:
+        path = getattr(df, "_written_to", None) if df is not None else None
+        if path:
+            delete(df.sparkSession, path)
+            MADE[:] = [m for m in MADE if m[1] != path]
+
+
+def forest(edges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """As few edges that connect the same nodes: each node to the smallest that it is connected with."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        at = x
+        while (p := parent.get(at, at)) != at:
+            at = p
+        while (p := parent.get(x, x)) != at:
+            parent[x], x = at, p
+        return at
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(root(x), x) for x in list(parent) if root(x) != x]
+
+
+def _forests(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition as a forest, some at a time."""
+    held: list[tuple[bytes, bytes]] = []
+    size = most
+    for batch in batches:
+        held += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
+        if len(held) > size:
+            held = forest(held)
+            size = max(most, 2 * len(held))
+            if len(held) > most:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary())], ["u", "v"])
+                held, size = [], most
+    held = forest(held)
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary())], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: the smallest node of its connected component, by rounds of neighbours' minima and label jumps.
+    """node, label: the smallest node of its connected component; nodes are binary.
 
-    All rounds are joins and minima with partial aggregation; each is written to the shared folder.
+    Each partition of edges becomes a forest first. Then, round by round, every node takes the smallest of its neighbours and itself, and
+    that one's too; edges between nodes that have taken the same are gone, and the others connect what their ends have taken. So edges
+    get fewer fast, and a round costs what is left of them. Nodes' labels follow by a join a round. All is written to the shared folder,
+    and deleted when it is done with.
     """
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"))
-        # a label is a node too: taking its label halves the way to the component's smallest node
-        jumped = lower.alias("x").join(lower.select(F.col("node").alias("at"), F.col("label").alias("further")), F.col("x.label") == F.col("at"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
-        after = written(jumped, "labels")
-        changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
+    left = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_forests, "u binary, v binary"), "edges")
+    labels = None
+    while left.limit(1).count():
+        ends = left.select("u", "v").union(left.select(F.col("v"), F.col("u"))).toDF("u", "v")
+        near = written(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "near")
+        jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        taken = written(near.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("to")), "taken")
+        as_ = lambda old, new: taken.select(F.col("node").alias(old), F.col("to").alias(new))
+        moved = left.join(as_("u", "x"), "u").join(as_("v", "y"), "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        after = written(moved.mapInArrow(_forests, "u binary, v binary"), "edges")
+        # what this round has taken in stays a node for the rounds to come
+        named = taken.select("node", F.col("to").alias("label")) if labels is None else labels.join(as_("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        named = written(named, "labels")
+        discard(left, near, taken, labels)
+        left, labels = after, named
+    if labels is None:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    discard(left)
+    return labels
 
 
 def count_class(times: str) -> F.Column:

@@ -6,7 +6,7 @@ vocabulary carries merge ranks in place of probabilities. Pieces never cross whi
 text is the product over its words and its end, and the forward recursion runs once for each distinct word.
 
 Spark counts the words of all documents. Every distinct word gets its training count and its marginal log probability once. The
-`head` most frequent words (a documented, fixed number, so that the broadcast is bounded) are looked up inside the tasks that
+most frequent words, as far as they fit a `budget` of bytes by sums over classes of counts, are looked up inside the tasks that
 read the texts; all rarer words are joined with the vocabulary by a shuffle and summed up by document. Both ways are exact.
 
 Defined cases: null text counts as empty and has the end only; repeated rows are scored each, repeated ids too; a corpus without
@@ -130,8 +130,9 @@ def fit_lattice(words: DataFrame, documents: int, vocabulary: str = PIECES) -> t
     return Lattice(weights, by_byte), (math.log(documents + 0.5) - total) / LOG10
 
 
-def language_scores(docs: DataFrame, head: int = 200_000, folds: int = 5, held_out: int = 1, vocabulary: str = PIECES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+def language_scores(docs: DataFrame, budget: int = 32 << 20, folds: int = 5, held_out: int = 1, vocabulary: str = PIECES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text. budget: bytes of words that may be
+    broadcast with their values, the most frequent first; the values of the others are joined."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counted = docs.mapInArrow(_word_counts(folds, held_out), "word binary, times long, training long").groupBy("word").agg(F.sum("times").alias("times"), F.sum("training").alias("training"))
@@ -150,8 +151,8 @@ def language_scores(docs: DataFrame, head: int = 200_000, folds: int = 5, held_o
             yield common.as_batch({"word": found, "times": common.ids(batch, "times"), "known": [int(c > 0) for c in training], "base": [math.log10(c + 0.5) - base_total for c in training], "marginal": [sent.value.word(w) for w in found]}, schema)
 
     values = common.written(words.mapInArrow(valued, "word binary, times long, known long, base double, marginal double"), "word-values")
-    top = values.orderBy(F.desc("times"), "word").limit(head).toArrow()
-    bound = int(top["times"][-1].as_py()) if top.num_rows == head else 0
+    cut, _ = common.head_class(values, "word", "times", budget, each=200)
+    top = values.where(common.count_class("times") >= cut).toArrow()  # within the budget
     in_head = {w: i for i, w in enumerate(top["word"].to_pylist())}
     sent_head = spark.sparkContext.broadcast((in_head, np.column_stack([top["known"].to_numpy(), top["base"].to_numpy(), top["marginal"].to_numpy()]) if top.num_rows else np.zeros((0, 3))))
 
@@ -174,7 +175,7 @@ def language_scores(docs: DataFrame, head: int = 200_000, folds: int = 5, held_o
 
     rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(first, "row long, doc_id long, word binary, times long, known long, base double, marginal double")
     rows = common.written(rows, "text-words")  # read twice, and the row numbers must stay the same
-    rare = rows.where("word is not null").select("row", "doc_id", "word", F.col("times").alias("k")).join(values.where(F.col("times") <= bound) if bound else values, "word")
+    rare = rows.where("word is not null").select("row", "doc_id", "word", F.col("times").alias("k")).join(values.where(common.count_class("times") < cut), "word")
     sums = rare.groupBy("row", "doc_id").agg(F.sum(F.col("k") * F.col("known")).alias("known"), F.sum(F.col("k") * F.col("base")).alias("base"), F.sum(F.col("k") * F.col("marginal")).alias("marginal"))
     whole = rows.where("word is null").select("row", "doc_id", "times", "known", "base", "marginal").unionByName(sums.select("row", "doc_id", F.lit(0).cast("long").alias("times"), "known", "base", "marginal"))
     return whole.groupBy("row", "doc_id").agg(F.sum("times").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("marginal").alias("score")).select(

@@ -115,8 +115,8 @@ def tie(signatures: np.ndarray, matches: int) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> DataFrame:
-    """Edges (a, b) between nodes of the same families."""
+def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between nodes of the same families, and the table that they are made from."""
     at = F.col("coordinate")
     posted = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1))).alias("coordinate")).select("node", F.xxhash64(at, F.substring("signature", at * 4 + 1, F.lit(4))).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
@@ -131,17 +131,23 @@ def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
+        size = 50_000
         for group in common.groups(batches, ["key", "second"]):
             if group.num_rows > 1:
                 names = group.column("node").to_pylist()
                 values = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
                 out += [(names[i], names[j]) for i, j in tie(values, matches)]
-            if len(out) > 50_000:
+            if len(out) > size:
+                out = common.forest(out)
+                size = max(50_000, 2 * len(out))
+            if len(out) > 500_000:
                 yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
-                out = []
-        yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
+                out, size = [], 50_000
+        out = common.forest(out)
+        for i in range(0, len(out), 50_000):
+            yield common.as_batch({"a": [a for a, _ in out[i : i + 50_000]], "b": [b for _, b in out[i : i + 50_000]]}, EDGE)
 
-    return rows.repartition(common.shuffle_partitions(nodes.sparkSession), "key", "second").sortWithinPartitions("key", "second", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition(common.shuffle_partitions(nodes.sparkSession), "key", "second").sortWithinPartitions("key", "second", "node").mapInArrow(run, "a binary, b binary"), ranked
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -199,22 +205,31 @@ def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: in
                 columns = {c: [common.ids(batch, c)[i] for i in right] for c in ("family", "size", "node")}
                 yield common.as_batch(columns | {"shingles": [sets[i].tobytes() for i in right]}, schema)
 
-    sets = common.written(docs.join(members, "doc_id").select("family", "size", "node", "text").mapInArrow(resolve, "family binary, size long, node binary, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    texts = docs.join(members, "doc_id").select("family", "size", "node", "text")
+    sets = common.written(texts.where(F.col("size") > block).mapInArrow(resolve, "family binary, size long, node binary, shingles binary").dropDuplicates(["node"]), "shingle-sets")
 
-    def compare(first_of):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = ["family"] if first_of is None else ["family", "one", "two"]
-            for group in common.groups(batches, keys):
-                names = group.column("node").to_pylist()
-                found = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
-                first = None if first_of is None else sum(group.column("side").to_pylist())
-                edges = links(found, percent, first) if len(found) > 1 else []
-                yield common.as_batch({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]}, EDGE)
-
-        return run
-
-    small = sets.where(F.col("size") <= block).repartition(parts, "family").sortWithinPartitions("family", "node").mapInArrow(compare(None), "a binary, b binary")
-    large = sets.where(F.col("size") > block)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Families of texts that one task holds: their sets are made there, and go nowhere."""
+        hashes = WordHashes()
+        for group in common.groups(batches, ["family"]):
+            by_node = {}
+            for node, text in zip(group.column("node").to_pylist(), group.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                found = shingles(text, k, hashes) if node not in by_node else None
+                if found is not None and xxhash.xxh3_128_digest(found.tobytes()) == node:  # of rows with one id, the one that is meant
+                    by_node[node] = found
+            names = list(by_node)
+            edges = links(list(by_node.values()), percent) if len(names) > 1 else []
+            yield common.as_batch({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]}, EDGE)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.groups(batches, ["family", "one", "two"]):
+            names = group.column("node").to_pylist()
+            found = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+            edges = links(found, percent, sum(group.column("side").to_pylist())) if len(found) > 1 else []
+            yield common.as_batch({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]}, EDGE)
+
+    small = texts.where(F.col("size") <= block).select("family", "node", "text").repartition(parts, "family").sortWithinPartitions("family", "node").mapInArrow(within, "a binary, b binary")
+    large = sets
     hubs = large.groupBy("family").agg(F.min_by(F.struct("node", "shingles"), "node").alias("hub"))
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +248,10 @@ def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: in
     placed = tried.select("family", "node", "shingles", "linked").join(counts, "family").withColumns({"one": F.pmod(F.xxhash64("node"), F.col("ones")).cast("int"), "two": F.pmod(F.xxhash64("node", F.lit(1)), F.col("twos")).cast("int")})
     lone = placed.where(~F.col("linked")).select("family", "node", "shingles", "one", F.explode(F.sequence(F.lit(0), F.col("twos") - 1)).alias("two"), F.lit(1).alias("side"))
     rest = placed.select("family", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("one"), "two", F.lit(0).alias("side"))
-    blocks = lone.unionByName(rest).repartition(parts, "family", "one", "two").sortWithinPartitions("family", "one", "two", F.desc("side"), "node").mapInArrow(compare(True), "a binary, b binary")
-    return common.written(small.union(starred).union(blocks), "links")
+    blocks = lone.unionByName(rest).repartition(parts, "family", "one", "two").sortWithinPartitions("family", "one", "two", F.desc("side"), "node").mapInArrow(across, "a binary, b binary")
+    found = common.written(small.union(starred).union(blocks), "links")
+    common.discard(sets, tried)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, hot: int = 4096, block: int = 256) -> DataFrame:
@@ -242,10 +259,14 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, coordinates:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = common.written(sign(docs, k, coordinates), "signatures")
     nodes = common.written(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("signature").alias("signature")), "nodes")
-    families = common.components(candidates(nodes, coordinates, matches, hot))
+    found, postings = candidates(nodes, coordinates, matches, hot)
+    families = common.components(found)
+    common.discard(postings)
     sizes = families.groupBy("label").agg(F.count("*").alias("size"))
     members = families.join(sizes, "label").join(nodes.select("node", "first_id"), "node").select("node", F.col("first_id").alias("doc_id"), F.col("label").alias("family"), "size")
-    joined = common.components(confirm(docs, members, k, percent, block))
+    linked = confirm(docs, members, k, percent, block)
+    joined = common.components(linked)
+    common.discard(linked, families)
     named = nodes.select("node", "first_id").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_node = named.join(smallest, "label").select("node", "component_id")

@@ -37,11 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start in an earlier document too go from the texts."""
-    key, key_of, id_of, text_of = (unused(docs, c) for c in ("key", "key_of", "id_of", "text_of"))
-    cut = repeats.remove_repeats(docs, keep_text=True).select(F.col("doc_id").alias(id_of), F.col("key").alias(key_of), F.col("text").alias(text_of))
-    rest = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).drop("text").dropDuplicates(["doc_id", key])
-    out = cut.join(rest, F.col(id_of).eqNullSafe(F.col("doc_id")) & (F.col(key_of) == F.col(key)))
-    return out.withColumn("text", F.col(text_of)).withColumn("n_chars", F.length(text_of).cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
+    cut = repeats.remove_repeats(docs, keep_text=True, carry=[c for c in docs.columns if c.lower() != "text"])
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return cut.select(*[(changed[c.lower()] if c.lower() in changed else F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +52,35 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", drop_repeats), ("decontamination", drop_leaks), ("packing", pack)]
+#: Folders of tables that the stage before has written on its way to its result.
+_before: list[tuple[SparkSession, str]] = []
+
+
+def _stage(work):
+    """A stage deletes what the one before has left in the shared folder besides its result, which is a table by then; where it isn't, and
+    docs still come from those tables, they stay."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+        for session, path in _before:
+            if path.rsplit("/", 1)[-1] not in folders:
+                common.delete(session, path)
+        _before.clear()
+        start = len(common.MADE)
+        out = work(spark, docs, sf_dir)
+        _before.extend(common.MADE[start:])
+        return out
+
+    return run
+
+
+STAGES = [(name, _stage(work)) for name, work in (("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", drop_repeats), ("decontamination", drop_leaks), ("packing", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
+        common.discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

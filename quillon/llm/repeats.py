@@ -26,7 +26,7 @@ from each other; texts under `size` bytes lose nothing; other columns are not re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -217,19 +217,21 @@ TEXT, DONE = 0, 1
 def with_texts(docs: DataFrame, replies: DataFrame, columns: list[str], homes: int) -> DataFrame:
     """Texts and what was found out about them, met by the bucket of the document's id, the findings first."""
     place = F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(homes)).cast("int")
-    texts = docs.select(place.alias("bucket"), F.lit(1).alias("is_text"), "doc_id", "key", "text", *[F.lit(None).cast("binary").alias(c) for c in columns])
-    found = replies.select("bucket", F.lit(0).alias("is_text"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), *columns)
+    rest = dict(docs.dtypes).get("rest")  # what goes with a text
+    texts = docs.select(place.alias("bucket"), F.lit(1).alias("is_text"), "doc_id", "key", "text", *[F.lit(None).cast("binary").alias(c) for c in columns], *(["rest"] if rest else []))
+    found = replies.select("bucket", F.lit(0).alias("is_text"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), *columns, *([F.lit(None).cast(rest).alias("rest")] if rest else []))
     return texts.unionByName(found).repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "is_text")
 
 
-def met(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], list[int], list[int], list[bytes]]]:
-    """By bucket: the findings' columns as arrays, then ids, keys and texts."""
+def met(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], list[int], list[int], list[bytes], pa.Array | None]]:
+    """By bucket: the findings' columns as arrays, then ids, keys, texts and what goes with them."""
     for group in common.groups(batches, ["bucket"]):
         flags = group.column("is_text").to_numpy()
         n = int((flags == 0).sum())
         found = [unpacked(group.column(c).slice(0, n).to_pylist()) for c in columns]
         rest = group.slice(n)
-        yield found, rest.column("doc_id").to_pylist(), rest.column("key").to_pylist(), [(t or b"") for t in rest.column("text").cast(pa.binary()).to_pylist()]
+        more = pa.concat_arrays(rest.column("rest").chunks) if "rest" in rest.column_names and len(rest) else None
+        yield found, rest.column("doc_id").to_pylist(), rest.column("key").to_pylist(), [(t or b"") for t in rest.column("text").cast(pa.binary()).to_pylist()], more
 
 
 def within(counts: np.ndarray) -> np.ndarray:
@@ -301,7 +303,7 @@ def _stretches(size: int, gram: int, buckets: int, homes: int, sent_hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent_hot.value
-        for (name, doc), doc_ids, keys, texts in met(batches, ["names", "docs"]):
+        for (name, doc), doc_ids, keys, texts, _ in met(batches, ["names", "docs"]):
             if not len(name):
                 continue
             known, which = np.unique(doc, return_inverse=True)
@@ -418,7 +420,7 @@ def _cut(size: int, keep_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, key, start, count), doc_ids, keys, texts in met(batches, ["docs", "keys", "starts", "counts"]):
+        for (doc, key, start, count), doc_ids, keys, texts, rest in met(batches, ["docs", "keys", "starts", "counts"]):
             order = np.lexsort((key, doc))
             doc, key, start, count = doc[order], key[order], start[order], count[order]
             begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, np.int64)
@@ -431,7 +433,11 @@ def _cut(size: int, keep_text: bool):
                 row = (d, k, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
                 out.append((*row, without(text, runs) if keep_text else None))
             for i in range(0, len(out), 1000):
-                yield common.as_batch(dict(zip(schema.names, map(list, zip(*out[i : i + 1000], strict=True)), strict=True)), schema)
+                columns = dict(zip(schema.names, map(list, zip(*out[i : i + 1000], strict=True)), strict=True))
+                if rest is None:
+                    yield common.as_batch(columns, schema)
+                else:
+                    yield common.as_batch(columns | {"rest": rest.slice(i, 1000)}, schema.append(pa.field("rest", rest.type)))
 
     return run
 
@@ -451,10 +457,12 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text) of every document."""
+def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and key and the remaining text, with what is to be carried along in `rest`) of every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text"]
+    carried = docs.select(*own, *([F.struct(*carry).alias("rest")] if carry else []))
+    docs = carried.select("doc_id", "key", "text")
     known = docs.where("doc_id is not null")
     count, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     hot, buckets = max(1000, count // 1000), max(1, -(-n_bytes // BUCKET_BYTES))
@@ -466,8 +474,10 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 24, keep_text: b
     stretches = with_texts(known, replies.where(F.col("kind") == FORWARD), ["names", "docs"], homes).mapInArrow(_stretches(size, gram, buckets, homes, sent), STRETCH_DDL)
     spans = stretches.repartition(partitions, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_spans(size, homes), "bucket int, docs binary, keys binary, starts binary, counts binary")
     spans = common.written(spans, "repeat-spans")
-    out = with_texts(known, spans, ["docs", "keys", "starts", "counts"], homes).mapInArrow(_cut(size, keep_text), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    alone = docs.where("doc_id is null").withColumn("bytes", F.coalesce("text", F.lit("")).cast("binary"))
-    whole = alone.select("doc_id", "key", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.coalesce("text", F.lit("")).alias("text"))
+    more = f", rest {dict(carried.dtypes)['rest']}" if carry else ""
+    out = with_texts(carried.where("doc_id is not null"), spans, ["docs", "keys", "starts", "counts"], homes).mapInArrow(_cut(size, keep_text), f"doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string{more}")
+    alone = carried.where("doc_id is null").withColumn("bytes", F.coalesce("text", F.lit("")).cast("binary"))
+    whole = alone.select("doc_id", "key", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.coalesce("text", F.lit("")).alias("text"), *(["rest"] if carry else []))
     both = out.unionByName(whole)
-    return both if keep_text else both.drop("key", "text")
+    common.discard(replies)
+    return both if keep_text else both.drop("key", "text", "rest")

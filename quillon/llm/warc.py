@@ -258,9 +258,6 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-SALTS = 16
-
-
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """A record per page. Of equal payloads of at least `least` bytes the largest page_id is the response (every row that has
     it), the others refer to it; a group whose ids are all null, and smaller payloads, are all responses."""
@@ -269,10 +266,9 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     groups = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1 and keep is not null").select("payload_digest", "keep")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    # a payload that a large share of the pages has would be one key: it is dealt out over SALTS of them, the small side is repeated
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int"))
-    spread = groups.select("payload_digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(spread, ["payload_digest", "salt"], "left").select(
+    # Spark sends the digests that several pages share to all tasks if they are small enough, and then no payload moves; else it joins by
+    # digest, where a payload that a large share of the pages has is split
+    return rows.join(groups, "payload_digest", "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn("page_id").alias("record_id"), "target_uri", "payload_digest", F.when(revisit, urn("keep")).alias("refers_to"), "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload")
     )
 

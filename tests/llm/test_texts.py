@@ -149,8 +149,8 @@ def test_lattice_sums_over_all_segmentations():
         assert model.long_word("▁" + word) == pytest.approx(model.word(word.encode()), rel=1e-9)
 
 
-@pytest.mark.parametrize("head", [5, 200_000])
-def test_language_scores(edges, head):
+@pytest.mark.parametrize("budget", [0, 900, 32 << 20])
+def test_language_scores(spark, edges, budget):
     given = [r[:2] for r in EDGES]
     split = lambda t: (t or "").encode().lower().split()
     fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5
@@ -158,9 +158,13 @@ def test_language_scores(edges, head):
     n, v = sum(counts.values()), len(counts)
     value = lambda w: math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1)))
     want = sorted((str(d), fold(d) == 1, len(split(t)) + 1, sum(counts[w] > 0 for w in [*split(t), None]), n, round(sum(map(value, [*split(t), None])), 6)) for d, t in given)
-    got = lattice.language_scores(edges, head=head).collect()
+    got = lattice.language_scores(edges, budget=budget).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    # the score: each word's probability under the lattice that is fitted to the training words, and the end's, once a text
+    words = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items() if w], "word binary, training long")
+    model, end = lattice.fit_lattice(words, counts[None])
+    scores = sorted((str(d), round(sum(model.word(w) for w in split(t)) + end, 6)) for d, t in given)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == scores
     assert lattice.language_scores(edges.limit(0)).count() == 0
 
 
