@@ -63,7 +63,7 @@ def _stage(work):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
         for session, path in _before:
-            if path.rsplit("/", 1)[-1] not in folders:
+            if folders and path.rsplit("/", 1)[-1] not in folders:  # none are named where docs are only cached
                 common.delete(session, path)
         _before.clear()
         start = len(common.MADE)
