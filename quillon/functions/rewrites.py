@@ -21,7 +21,9 @@ COUNTERPARTS = {
 }
 #: Words after which "her" is an object, not a possessive (fixed values).
 OBJECT_FOLLOWERS = ("a", "an", "the", "this", "that", "these", "those", "to", "for", "with", "at", "in", "on", "of", "by", "from", "as", "and", "or", "but", "into", "about", "after", "before", "while", "when", "where", "who", "which", "if", "so", "up", "out", "over", "off")
+#: Phrases that the swap leaves alone; years and durations that give an age away (fixed values).
 PROTECTED = r"(?i)\b((?:wo)?men)('?s (?:health|medicine|hospital|clinic|center|centre)\b)"
+YEAR, DURATION = r"\b(19[5-9][0-9]|20[0-2][0-9])\b", r"(?i)\b([0-9]{1,9})\+?\s+years?\b"
 #: Given names by perceived group and gender from a published field experiment on hiring (fixed values).
 NAMES = {
     ("white", "female"): ("Emily", "Anne", "Jill", "Allison", "Laurie", "Sarah", "Meredith", "Carrie", "Kristen"),
@@ -121,8 +123,8 @@ def insert_age(text: Column, age: Column) -> Column:
 
 def eligible_for_age(text: Column) -> Column:
     """Has a subject pronoun, no year from 1950 to 1999, no duration of ten or more years."""
-    years = F.regexp_extract_all(text, F.lit(r"\b(19[5-9][0-9]|20[0-2][0-9])\b"), 1)
-    spans = F.regexp_extract_all(text, F.lit(r"(?i)\b([0-9]{1,9})\+?\s+years?\b"), 1)
+    years = F.regexp_extract_all(text, F.lit(YEAR), 1)
+    spans = F.regexp_extract_all(text, F.lit(DURATION), 1)
     return (pronoun_at(text) > 0) & ~F.exists(years, lambda y: y.cast("int") < 2000) & ~F.exists(spans, lambda y: y.cast("int") >= 10)
 
 
@@ -145,12 +147,19 @@ def redact_names(text: Column, names: Sequence[str]) -> Column:
     return F.when(text.isNotNull(), F.struct(F.regexp_replace(text, pattern, "[name]").alias("text"), F.regexp_count(text, F.lit(pattern)).alias("redacted")))
 
 
-def with_full_name(text: Column, first: str, last: str, surnames: Sequence[str]) -> Column:
+def with_full_name(text: Column, first: str | Column, last: str | Column, surnames: Sequence[str]) -> Column:
     """struct(text, pronoun, placeholders, surnames): the first subject pronoun as first and last name, every [name] as the first name,
-    every listed surname as the last. text is null without any of these; a surname that is also a pronoun stays a pronoun."""
-    pattern = whole_words([s for s in surnames if s.lower() not in ("he", "she")])
+    every listed surname as the last. text is null without any of these; a surname that is also a pronoun stays a pronoun. The text is
+    searched once: arrays of one bind it and its parts."""
+    first, last = (F.lit(x) if isinstance(x, str) else x for x in (first, last))
+    listed = [s for s in surnames if s.lower() not in ("he", "she")]
+    pattern = whole_words(listed) if listed else r"(?!)"
     bare = F.replace(text, F.lit("[name]"), F.lit(""))
+
+    def made(n: Column) -> Column:
+        filled = F.replace(F.regexp_replace(text, F.lit(pattern), last) if listed else text, F.lit("[name]"), first)
+        named = F.transform(F.array(filled), lambda t: F.coalesce(F.get(F.transform(F.array(around_pronoun(t)), lambda p: F.concat(p["before"], first, F.lit(" "), last, p["after"])), F.lit(0)), t))[0]
+        return F.struct(F.when(n["pronoun"] | (n["placeholders"] > 0) | (n["surnames"] > 0), named).alias("text"), n["pronoun"].alias("pronoun"), n["placeholders"].alias("placeholders"), n["surnames"].alias("surnames"))
+
     found = F.struct((pronoun_at(text) > 0).alias("pronoun"), ((F.length(text) - F.length(bare)) / 6).cast("int").alias("placeholders"), F.regexp_count(text, F.lit(pattern)).alias("surnames"))
-    filled = F.replace(F.regexp_replace(text, pattern, last), F.lit("[name]"), F.lit(first))
-    made = F.coalesce(insert_name(filled, F.lit(f"{first} {last}")), filled)
-    return F.when(text.isNotNull(), F.transform(F.array(found), lambda n: F.struct(F.when(n["pronoun"] | (n["placeholders"] > 0) | (n["surnames"] > 0), made).alias("text"), n["pronoun"].alias("pronoun"), n["placeholders"].alias("placeholders"), n["surnames"].alias("surnames")))[0])
+    return F.when(text.isNotNull(), F.transform(F.array(found), made)[0])

@@ -1,14 +1,13 @@
 """Fitting heads and calibrations from labelled rows.
 
-Labelled rows are what people have labelled, thousands at most; each fit is Spark ML over them. Out-of-fold predictions are what
-calibration may learn from: only `cross_validated` makes them.
+Labelled rows are what people have labelled; `newton` fits heads to them, all values of C and all folds at once. Out-of-fold predictions
+are what calibration may learn from: only `cross_validated` makes them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import logit, temper
+from . import newton
 
 
 @dataclass(frozen=True)
@@ -89,26 +89,13 @@ class OutOfFold:
     log_loss: float
 
 
-def cross_validated(rows: DataFrame, features: list[str], grid: tuple[float, ...], folds: int = 5) -> OutOfFold:
-    """The grid value with the least weighted out-of-fold log loss, and its predictions. Rows: key, y (0/1), weight, fold, features."""
-    def part(job: tuple[float, int]) -> DataFrame:
-        c, f = job
-        return predicted(rows.where(F.col("fold") == f), logistic(rows.where(F.col("fold") != f), features, c), features)
-
-    jobs = [(c, f) for c in grid for f in range(folds)]
-    with ThreadPoolExecutor(8) as pool:  # the fits are small Spark jobs that do not depend on each other
-        parts = dict(zip(jobs, pool.map(part, jobs), strict=True))
-    best = None
-    for c in grid:
-        whole = parts[c, 0]
-        for f in range(1, folds):
-            whole = whole.unionByName(parts[c, f])
-        true = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-        loss = whole.agg((-F.sum(F.col("weight") * F.ln(F.greatest(true, F.lit(1e-9)))) / F.sum("weight")).alias("loss")).first()[0]
-        if best is None or loss < best.log_loss:
-            confidence, hit = F.greatest("p", 1 - F.col("p")), ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")
-            best = OutOfFold(whole.select(confidence.alias("confidence"), hit.alias("correct"), "weight", "fold"), c, loss)
-    return best
+def cross_validated(rows: DataFrame, features: list[str], grid: tuple[float, ...], folds: int = 5, classes: int = 2) -> OutOfFold:
+    """The grid value with the least weighted out-of-fold log loss, and its predictions. Rows: y (0 to classes - 1), weight, fold, features."""
+    c, params, loss = newton.chosen_c(rows, features, grid, folds, classes)
+    p = F.array(*newton.probabilities(features, params, "fold"))
+    told = rows.select(p.alias("p"), "y", "weight", "fold").withColumn("confidence", F.array_max("p"))
+    hit = (F.array_position("p", F.col("confidence")) - 1 == F.col("y")).cast("int")
+    return OutOfFold(told.select("confidence", hit.alias("correct"), "weight", "fold"), c, loss)
 
 
 def fit_temperature(oof: DataFrame, steps: int = 200) -> float:
@@ -130,14 +117,30 @@ def fit_temperature(oof: DataFrame, steps: int = 200) -> float:
     return grid[best]
 
 
-def calibration_table(oof: DataFrame, method: str = "two_stage") -> tuple[list[float], str]:
-    """101 points and the method used: "none" where rows are too few for the one asked for (temperature 10, isotonic and two_stage
-    50); monotone."""
-    n = oof.count()
-    used = "none" if n < {"none": 0, "temperature": 10, "isotonic": 50, "two_stage": 50}[method] else method
-    t = fit_temperature(oof) if used in ("temperature", "two_stage") else 1.0
+@dataclass(frozen=True)
+class Calibration:
+    """101 points over 0..1, the method used, its temperature (null without one), and why it isn't the one that was asked for."""
+
+    table: list[float]
+    method: str
+    temperature: float | None = None
+    fallback_reason: str | None = None
+    n: int = 0
+
+    def config(self) -> dict:
+        """As a scorecard's decision keeps it."""
+        raw = [i / (len(self.table) - 1) for i in range(len(self.table))]
+        why = {"fallback_reason": self.fallback_reason} if self.fallback_reason else {}
+        return {"method": self.method, "temperature": self.temperature or 1.0, "raw_confidence": raw, "calibrated_confidence": self.table, "fit_on": "out_of_fold", "n": self.n} | why
+
+
+def calibrate(oof: DataFrame, method: str = "two_stage") -> Calibration:
+    """A monotone table from out-of-fold rows; too few rows for the method (temperature 10, isotonic and two_stage 50) leave "none"."""
+    n, least = oof.count(), {"none": 0, "temperature": 10, "isotonic": 50, "two_stage": 50}[method]
+    used = "none" if n < least else method
+    t = fit_temperature(oof) if used in ("temperature", "two_stage") else None
     raw = [i / 100 for i in range(101)]
-    soft = [x if used in ("none", "isotonic") else 1 / (1 + math.exp(-math.log(max(x, 1e-6) / max(1 - x, 1e-6)) / t)) for x in raw]
+    soft = [x if t is None else 1 / (1 + math.exp(-math.log(max(x, 1e-6) / max(1 - x, 1e-6)) / t)) for x in raw]
     if used in ("isotonic", "two_stage"):
         x = temper(F.col("confidence"), t) if used == "two_stage" else F.col("confidence")
         model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="weight").fit(oof.select(x.alias("x"), F.col("correct").cast("double").alias("y"), "weight"))
@@ -147,7 +150,13 @@ def calibration_table(oof: DataFrame, method: str = "two_stage") -> tuple[list[f
     for s in soft:
         top = max(top, min(max(s, 0.0), 1.0))
         out.append(top)
-    return out, used
+    return Calibration(out, used, t, None if used == method else f"{n} out-of-fold rows; {method} needs {least}", n)
+
+
+def calibration_table(oof: DataFrame, method: str = "two_stage") -> tuple[list[float], str]:
+    """The table and the method used."""
+    found = calibrate(oof, method)
+    return found.table, found.method
 
 
 def interpolated(x: float, xs: list[float], ys: list[float]) -> float:
@@ -172,24 +181,38 @@ def compare(candidate: DataFrame, incumbent: DataFrame, least_gain: float = 0.00
 
 
 def fit_head(rows: DataFrame, features: list[str], n_effective: float, folds: int = 5, ladder: tuple[Tier, ...] = LADDER) -> dict:
-    """Weights, intercept, calibration table and out-of-fold figures. On the lowest rung the incumbent is held, which is a result;
-    Refused when the ladder does not carry the fit, or a class has fewer than three labels."""
+    """Weights and intercept (of the second of two classes; `heads` has those of every class if there are more), calibration and
+    out-of-fold figures. rows: item_id, y (0 to classes - 1), weight, features. On the lowest rung the incumbent is held, which is a
+    result; Refused when the ladder does not carry the fit, or a class has fewer than three labels."""
     tier = tier_for(n_effective, ladder)
     if not tier.grid:
         return {"status": "held", "tier": tier.name, "reason": f"{n_effective:.1f} effective labels; {ladder[1].least - n_effective:.1f} more are needed"}
     if len(features) > tier.budget(n_effective):
         raise Refused(f"{len(features)} features; {n_effective:.0f} effective labels carry {tier.budget(n_effective)}")
-    least = rows.groupBy("y").count().agg(F.min("count"), F.count("*")).first()
-    if least[1] < 2:
+    classes, least, most = rows.groupBy("y").count().agg(F.count("*"), F.min("count"), F.max("y")).first()
+    if classes < 2:
         raise Refused("labels of one class only")
-    if least[0] < 3:
-        raise Refused(f"{least[0]} labels of a class; three are needed")
-    dealt = stratified_folds(rows, "y", "item_id", min(folds, least[0])).select("item_id", "y", "weight", "fold", *features).persist()
-    oof = cross_validated(dealt, features, tier.grid, min(folds, least[0]))
-    oof.rows.persist()  # read by the calibration several times
-    table, method = calibration_table(oof.rows, tier.calibration)
-    model = logistic(dealt, features, oof.c)
-    return {"status": "fitted", "tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "weights": dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), "intercept": float(model.intercept), "table": table, "method": method, "oof": oof.rows}
+    if least < 3:
+        raise Refused(f"{least} labels of a class; three are needed")
+    if most != classes - 1:
+        raise Refused(f"labels up to {most:.0f} of {classes} classes; they count from 0 without a gap")
+    folds = min(folds, least)
+    dealt = stratified_folds(rows, "y", "item_id", folds).select("item_id", "y", "weight", "fold", *features).persist()
+    try:
+        oof = cross_validated(dealt, features, tier.grid, folds, classes)
+        kept = oof.rows.persist()  # read by the calibration several times
+        found = calibrate(kept, tier.calibration)
+        accuracy = kept.agg(F.sum(F.col("weight") * F.col("correct")) / F.sum("weight")).first()[0]
+        brier = kept.agg(F.sum(F.col("weight") * (F.col("confidence") - F.col("correct")) ** 2) / F.sum("weight")).first()[0]
+        kept.unpersist()
+        params = newton.fitted(dealt, features, [newton.Job(oof.c)], classes)[0]
+    finally:
+        dealt.unpersist()
+    own = [(float(p[0]), dict(zip(features, map(float, p[1:]), strict=True))) for p in params]
+    return {
+        "status": "fitted", "tier": tier.name, "c": oof.c, "log_loss": oof.log_loss, "accuracy": accuracy, "brier": brier, "weights": own[0][1], "intercept": own[0][0], "heads": own,
+        "table": found.table, "method": found.method, "temperature": found.temperature, "fallback_reason": found.fallback_reason, "calibration": found.config(),
+    }
 
 
 def fit_ids(rows: DataFrame, by: Sequence[str], features: Sequence[str], c: float) -> DataFrame:
@@ -219,3 +242,8 @@ def serving_head(classes: Sequence[str], features: Sequence[str], intercepts: Se
     weighted = learnt[1:] if len(learnt) == 2 else learnt
     weights = {k: {"intercept": float(b), **dict(zip(features, map(float, w), strict=True))} for k, b, w in zip(weighted, intercepts, coefficients, strict=True)}
     return {"model": "multinomial_logistic", "classes": [*(k for k in declared if k in learnt), *(k for k in learnt if k not in declared)], "weights": weights}
+
+
+def boundary(intercept: Column, weight: Column) -> Column:
+    """The value of a head's only feature at which its two classes are as likely; null without a weight."""
+    return -intercept / F.nullif(weight, F.lit(0.0))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import binary_entropy, normalized_entropy, softmax
 
@@ -96,25 +97,33 @@ def fired(conditions: DataFrame) -> DataFrame:
     )
 
 
-def element_importance(rows: DataFrame, key: str, label: str, weight: str, element: Sequence[str], head: Head, repeats: int = 8, buckets: int = 64) -> DataFrame:
-    """Mean rise of the weighted log loss of the true class when the element's features change places between rows, over `repeats`
-    seeded shuffles. Rows change places within buckets of a hash of the key, so that no shuffle is a sort of the whole table."""
-    from pyspark.sql.window import Window
+def shuffled_place(rows: DataFrame, key: str, salt: Column, by: Sequence[str] = (), out: str = "place") -> DataFrame:
+    """Numbers rows from 1 in the order of md5(salt#key), in each group of `by`: rows are dealt out by the hash's first digits, counts of
+    these 4,096 parts are summed up, and each part is ordered by itself, so that no task sees a group whole."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("#", salt, F.col(key).cast("string")))).withColumn("_part", F.substring("_h", 1, 3))
+    parts = hashed.groupBy(*by, "_part").count()
+    before = parts.withColumn("_before", F.sum("count").over(Window.partitionBy(*by, F.lit(0)).orderBy("_part")) - F.col("count")).drop("count")
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_h", key))
+    return hashed.withColumn("_inside", inside).join(before, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_h", "_part", "_inside", "_before")
 
-    names = features_of(head)
 
-    def loss(frame: DataFrame) -> Column:
-        logits = [sum((F.lit(float(w.get(f, 0.0))) * F.coalesce(F.col(f), F.lit(0.0)) for f in names), F.lit(float(w.get("intercept", 0.0)))) for w in head.values()]
-        p = softmax(logits)
-        true = F.coalesce(*[F.when(F.col(label) == c, x) for c, x in zip(head, p, strict=True)])
+def element_importance(rows: DataFrame, key: str, label: str, weight: str, elements: Mapping[str, Sequence[str]], head: Head, repeats: int = 8) -> DataFrame:
+    """element, importance: the mean rise of the weighted log loss of the true class when the features of an element (its values in
+    `elements`) change places between all rows, over `repeats` seeded shuffles; keys are unique. One shuffle serves all elements: a row
+    meets the row whose values it gets, and each element's loss takes only that element's from there. Without rows, null."""
+    moved = list(dict.fromkeys(f for fs in elements.values() for f in fs))
+
+    def loss(given: Sequence[str] = ()) -> Column:
+        value = lambda f: F.coalesce(F.col(f"_{f}" if f in given else f), F.lit(0.0))
+        logits = [sum((F.lit(float(w.get(f, 0.0))) * value(f) for f in features_of(head)), F.lit(float(w.get("intercept", 0.0)))) for w in head.values()]
+        true = F.coalesce(*[F.when(F.col(label) == c, x) for c, x in zip(head, softmax(logits), strict=True)])
         return -F.sum(F.col(weight) * F.ln(F.greatest(true, F.lit(1e-9)))) / F.sum(weight)
 
-    base = rows.agg(loss(rows).alias("base"))
-    placed = rows.withColumns({"_b": F.pmod(F.hash(key), F.lit(buckets)), "repeat": F.explode(F.sequence(F.lit(1), F.lit(repeats)))})
-    drawn = F.md5(F.concat_ws("#", F.col("repeat").cast("string"), F.col(key).cast("string")))
-    window = Window.partitionBy("repeat", "_b")
-    numbered = placed.withColumns({"_i": F.row_number().over(window.orderBy(key)), "_j": F.row_number().over(window.orderBy(drawn, key))})
-    given = numbered.select("repeat", "_b", F.col("_j").alias("_i"), *[F.col(f).alias(f"_{f}") for f in element])
-    swapped = numbered.drop(*element).join(given, ["repeat", "_b", "_i"]).withColumnsRenamed({f"_{f}": f for f in element})
-    each = swapped.groupBy("repeat").agg(loss(swapped).alias("loss"))
-    return each.crossJoin(F.broadcast(base)).agg(F.avg(F.col("loss") - F.col("base")).alias("importance"))
+    base = rows.agg(loss().alias("base"))
+    again = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+    own = shuffled_place(rows.select(key, label, weight, *features_of(head)), key, F.lit("base")).withColumn("repeat", again)
+    drawn = shuffled_place(rows.select(key, *moved).withColumn("repeat", again), key, F.col("repeat").cast("string"), ["repeat"])
+    given = drawn.select("repeat", "place", *[F.col(f).alias(f"_{f}") for f in moved])
+    each = own.join(given, ["repeat", "place"]).groupBy("repeat").agg(*[loss(fs).alias(f"_{i}") for i, fs in enumerate(elements.values())])
+    rise = F.explode(F.array(*[F.struct(F.lit(e).alias("element"), (F.col(f"_{i}") - F.col("base")).alias("rise")) for i, e in enumerate(elements)]))
+    return each.crossJoin(F.broadcast(base)).select(rise.alias("r")).groupBy(F.col("r.element").alias("element")).agg(F.avg("r.rise").alias("importance"))

@@ -153,15 +153,21 @@ def a17(spark, d):
     return rounded(one.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
 
 
-@query("a18_permutation_importance")
+def _loss_sql(moved: str = "") -> str:
+    """Log loss of the true class of rows o (features) and g (those of the row that is drawn), with the element's from g."""
+    z = [f"({w['intercept']}::DOUBLE + " + " + ".join(f"{w[f]}::DOUBLE * coalesce({'g' if f == moved else 'o'}.{f}, 0)" for f in NAMES) + ")" for w in HEAD.values()]
+    true = f"CASE o.label % 3 WHEN 0 THEN {z[0]} WHEN 1 THEN {z[1]} ELSE {z[2]} END"
+    return f"avg(-ln(greatest(exp({true}) / ({' + '.join(f'exp({x})' for x in z)}), 1e-9)))"
+
+
+@query("a18_permutation_importance", f"""WITH {VECTORS}, o AS (SELECT *, row_number() OVER (ORDER BY md5('base#' || item_id), item_id) AS i FROM vectors),
+    g AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY md5(r || '#' || item_id), item_id) AS i FROM vectors, (SELECT unnest(range(1, 9)) AS r)), base AS (SELECT {_loss_sql()} AS base FROM o),
+    each AS (SELECT r, {', '.join(f'{_loss_sql(f)} AS l{f}' for f in NAMES)} FROM o JOIN g USING (i) GROUP BY r)
+    """ + " UNION ALL ".join(f"SELECT '{f}' AS element, round(avg(l{f} - base), 6) AS importance FROM each, base" for f in NAMES))
 def a18(spark, d):
-    """The rise of the log loss when an element's values change places; tested on a small table."""
+    """The rise of the log loss when an element's values change places between all rows."""
     rows = vectors(spark, d).withColumns({"y": F.element_at(F.array(*map(F.lit, HEAD)), (F.col("label") % 3 + 1).cast("int")), "w": F.lit(1.0)})
-    parts = [selecting.element_importance(rows, "item_id", "y", "w", [f], HEAD).select(F.lit(f).alias("element"), "importance") for f in NAMES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(out)
+    return rounded(selecting.element_importance(rows, "item_id", "y", "w", {f: [f] for f in NAMES}, HEAD))
 
 
 @query("m03_scaling", f"WITH {W.VERDICTS} SELECT item_id, " + ", ".join(f"round(1 / (1 + exp(-(ln(q / (1 - q)) / {t}::DOUBLE))), 6) AS t{int(t * 10)}" for t in (0.5, 2.0)) + ", round(1 / (1 + exp(-least(greatest(80 * (p - 0.5::DOUBLE), -35), 35))), 6) AS clipped FROM (SELECT *, greatest(least(p, 1 - 1e-6), 1e-6) AS q FROM verdicts)")

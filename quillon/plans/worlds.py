@@ -5,7 +5,7 @@ The test tables hold no engine's answers, so answers, twins and propensities com
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
@@ -72,11 +72,15 @@ SCORED_LARGE = """scored_large AS (
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as labelling events: an item is revisited about ten times; seq orders them."""
     n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))
+    return feedback_of(table(spark, sf_dir, "events").crossJoin(F.broadcast(n)), F.col("n"))
+
+
+def feedback_of(e: DataFrame, n: Column) -> DataFrame:
+    """The same of any events, batch or stream, over n items."""
     k = F.get_json_object("props", "$.k").cast("int")
     source = F.when(F.col("event_type") == "error", "unresolved").when(F.col("event_type") == "signup", "score_result_or_imported").when(F.col("event_type") == "purchase", "vetted_feedback").otherwise("regular_final_feedback")
     return e.select(
-        "event_id", "ts", (F.col("event_id") % F.col("n")).alias("item_id"), source.alias("label_source"), ((1 + k) / F.lit(100.0)).alias("propensity"),
+        "event_id", "ts", (F.col("event_id") % n).alias("item_id"), source.alias("label_source"), ((1 + k) / F.lit(100.0)).alias("propensity"),
         F.when(uniform("fi", "event_id") < 0.55, "positive").otherwise("negative").alias("initial"), F.when(uniform("ff", "event_id") < 0.5, "Positive.").otherwise("negative").alias("final"),
         F.when(uniform("fc", "event_id") < 0.3, "because").otherwise("").alias("comment"), (uniform("fx", "event_id") < 0.05).alias("is_invalid"),
     )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
 import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,31 +62,61 @@ def load_answers(spark: SparkSession, cache_path: str, schema: str, questions: D
 LINEAGE = "version long, parent long, kind string, created_at string, sha256 string, n_feedback long, provenance map<string,string>"
 
 
-def lineage(spark: SparkSession, folder: str) -> DataFrame:
-    """The versions of a configuration in order; empty before the first commit."""
+class Conflict(RuntimeError):
+    """Another commit has come first."""
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written under another name and renamed, which fails if the file is there."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path.rsplit('/', 1)[0]}/.draft-{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    never = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    never[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(draft), system.makeQualified(target), never)
+    except Py4JJavaError as e:
+        system.delete(draft, False)
+        if "FileAlreadyExists" in str(e.java_exception.getClass()) or system.exists(target):
+            raise Conflict(f"{path} is there already") from None
+        raise
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
     try:
-        return read_jsonl(spark, f"{folder}/lineage", LINEAGE).orderBy("version")
+        return read_jsonl(spark, f"{folder}/versions", f"{LINEAGE}, content string")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LINEAGE)
+        return spark.createDataFrame([], f"{LINEAGE}, content string")
+
+
+def lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """The versions of a configuration in order; empty before the first commit."""
+    return _versions(spark, folder).drop("content").orderBy("version")
+
+
+def version_of(spark: SparkSession, folder: str) -> int:
+    """The number of the latest version, 0 before the first."""
+    return _versions(spark, folder).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
 
-def commit(spark: SparkSession, folder: str, text: str, kind: str, n_feedback: int, provenance: dict[str, str] | None = None) -> int:
-    """Adds a version of a configuration and its parent to the lineage; returns its number. The text is written first, to a folder of the
-    number that must not exist: of two commits at once, one fails."""
-    parent = lineage(spark, folder).agg(F.max("version")).first()[0]
-    version = (parent or 0) + 1
-    spark.createDataFrame([(text,)], "content string").coalesce(1).write.mode("error").parquet(f"{folder}/v{version}")
-    entry = (version, parent, kind, datetime.now(UTC).isoformat(), hashlib.sha256(text.encode()).hexdigest()[:16], n_feedback, provenance or {})
-    append_jsonl(spark.createDataFrame([entry], LINEAGE).coalesce(1), f"{folder}/lineage")
-    return version
+def commit(spark: SparkSession, folder: str, text: str, kind: str, n_feedback: int, provenance: dict[str, str] | None = None, expected: int | None = None) -> int:
+    """Adds a version of a configuration on top of version `expected` (the latest by default) and returns its number. Text and lineage are
+    one file that is never overwritten: of two commits on top of one version, one raises Conflict and leaves nothing."""
+    parent = version_of(spark, folder) if expected is None else expected
+    entry = {"version": parent + 1, "parent": parent or None, "kind": kind, "created_at": datetime.now(UTC).isoformat(), "sha256": hashlib.sha256(text.encode()).hexdigest()[:16], "n_feedback": n_feedback, "provenance": provenance or {}, "content": text}
+    write_once(spark, f"{folder}/versions/v{parent + 1:08d}.json", json.dumps({k: v for k, v in entry.items() if v is not None}))
+    return parent + 1
 
 
 def version_text(spark: SparkSession, folder: str, version: int | None = None) -> str:
     """A version's text, the latest by default. An unknown version is an error."""
-    known = [r[0] for r in lineage(spark, folder).select("version").collect()]
-    wanted = version or max(known, default=0)
-    if wanted not in known:
+    wanted = version or version_of(spark, folder)
+    row = _versions(spark, folder).where(F.col("version") == wanted).select("content").first()
+    if row is None:
         raise ValueError(f"no version {wanted} in {folder}")
-    return spark.read.parquet(f"{folder}/v{wanted}").first()[0]
+    return row[0]

@@ -1,4 +1,4 @@
-"""Streams over an append-only feedback log: state is bounded by watermarks, or is one row per item."""
+"""Streams over an append-only feedback log: state is bounded by watermarks, or is a keyed table in files."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import new_path
+from .ordered import ROCKS
 
 
 def log_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -17,14 +18,19 @@ def log_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, label: str, mode: str = "append", step: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Runs a stream over what is there, with its checkpoint in the shared folder; the path of its output. With `step`, each batch
-    goes there instead."""
-    spark = stream.sparkSession
-    path, writer = new_path(spark, label), stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(spark, f"{label}-checkpoint"))
-    query = (writer.foreachBatch(step) if step else writer.format("parquet")).start(None if step else path)
+def drained(stream: DataFrame, label: str, mode: str = "append", step: Callable[[DataFrame, int], None] | None = None, home: str | None = None) -> str:
+    """Runs a stream over what is there; the path of its output. Checkpoint and output are under `home`, where a later run with the same
+    one goes on; a new folder of the shared one by default. With `step`, each batch goes there instead."""
+    spark, home = stream.sparkSession, home or new_path(stream.sparkSession, label)
+    was = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{home}/checkpoint")
+        query = (writer.foreachBatch(step) if step else writer.format("parquet")).start(None if step else f"{home}/out")
+    finally:
+        spark.conf.set(ROCKS[0], was)
     query.awaitTermination()
-    return path
+    return f"{home}/out"
 
 
 def windowed_agreement(events: DataFrame, width: str = "1 day", late: str = "30 days") -> DataFrame:
@@ -38,20 +44,6 @@ def distinct_requests(events: DataFrame, keys: list[str], within: str = "1 hour"
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_latest(spark: SparkSession, target: list[DataFrame], keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A step that keeps the latest record per key in a table of the shared folder: each batch is reduced, joined with the table so far
-    and written anew; `target` holds the current table. A batch that is run again changes nothing."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if not target else batch.unionByName(target[-1])
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
-        path = new_path(spark, "latest")
-        latest.write.parquet(path)
-        target[:] = [spark.read.schema(latest.schema).parquet(path)]
-
-    return step
-
-
 def refit_points(counts: DataFrame, every: int = 5) -> DataFrame:
     """batch, labels, refits: after which batches a refit is due, when one comes every `every` labels. counts: batch, n (few rows)."""
     from pyspark.sql.window import Window
