@@ -142,3 +142,19 @@ def pairwise_flips(versions: DataFrame, groups: list[str], reference: str, names
 def flip_mismatches(pairs: DataFrame) -> DataFrame:
     """Pairs whose verdict changes on the twin, in the shape of mismatches that a person explained. Pairs without one verdict are left out."""
     return pairs.where("predicted <> twin_predicted").select("source_id", F.col("predicted").alias("we_said"), F.round(F.greatest("p", 1 - F.col("p")), 4).alias("confidence_when_shown"), F.col("twin_predicted").alias("human_said"), F.lit("only the pronouns differ").alias("human_comment"))
+
+
+def source_shifts(versions: DataFrame, groups: list[str], reference: str, names: int = 4) -> DataFrame:
+    """source_id, a column per group: the mean p under its names less that under the reference's; floor_shift: the same between the
+    second and the first half of the reference's own names."""
+    mean = lambda g, *which: F.avg(F.when(F.col("grp") == g if not which else (F.col("grp") == g) & which[0], F.col("p")))
+    late = F.col("k") > names // 2
+    own = [(mean(g) - mean(reference)).alias(g) for g in groups]
+    return versions.groupBy("source_id").agg(*own, (mean(reference, late) - mean(reference, ~late)).alias("floor_shift"))
+
+
+def stability(asks: DataFrame, base: str) -> DataFrame:
+    """name, asked: how answers (item_id, name, asked, p) compare with those of `base`: n, identical, largest (difference), flips."""
+    first = asks.where(F.col("asked") == base).select("item_id", "name", F.col("p").alias("own"))
+    both = asks.where(F.col("asked") != base).join(first, ["item_id", "name"])
+    return both.groupBy("name", "asked").agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("own")).alias("identical"), F.max(F.abs(F.col("p") - F.col("own"))).alias("largest"), F.count_if((F.col("p") >= 0.5) != (F.col("own") >= 0.5)).alias("flips"))

@@ -6,12 +6,16 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that are numbered together in one task.
-RANGE_ROWS = 20_000
+from . import ordering
+
+#: Labels of the cumulative curve that one task goes through.
+BLOCK_ROWS = 4096
 
 
 def raw_weight() -> Column:
@@ -48,30 +52,52 @@ def inverse_propensity_windows(rows: DataFrame, by: list[str], tie: str, max_rat
     return capped.withColumn("weight", F.col("_capped") * F.col("_n") / F.sum("_capped").over(whole)).drop("_raw", "_n", "_r", "_capped")
 
 
-def numbered(rows: DataFrame, time: str, tie: str, out: str) -> DataFrame:
-    """Numbers rows from 1 by time, then tie: ranges of time of about RANGE_ROWS rows are counted, the few counts are summed up, and
-    each range is numbered by itself. Where the ranges are cut has no effect on the numbers; equal times share a range."""
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    n = rows.count()
-    cuts = [i * RANGE_ROWS / n for i in range(1, -(-n // RANGE_ROWS))]
-    bounds = sorted(set(rows.agg(F.percentile_approx(at, cuts, 100_000)).first()[0])) if cuts else []
-    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= at)))
-    upto = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = ranged.groupBy("_range").count().select("_range", upto.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(time, tie))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
-
-
 def alignment_curve(rows: DataFrame, time: str, tie: str, window: int = 20) -> DataFrame:
     """k, agreement, n_effective: weighted agreement (ok, 0/1) over the last `window` labels up to the k-th, weights made anew for each
-    k. A label meets the `window` curve points that it counts for by number, so the rows grow in proportion to the labels."""
-    r = numbered(rows.select(time, tie, "propensity", "ok"), time, tie, "k")
+    k; a window of 0 takes all labels so far. A label meets the `window` curve points that it counts for by number, so the rows grow in
+    proportion to the labels."""
+    r = ordering.positions(rows.select(time, tie, "propensity", "ok"), [time, tie], "k")
+    if not window:
+        return _cumulative(r)
     last = rows.agg(F.count("*").alias("last"))
     reach = r.crossJoin(F.broadcast(last)).select(tie, "propensity", "ok", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + window - 1, F.col("last")))).alias("k"))
     w = F.col("weight")
     return inverse_propensity_windows(reach, ["k"], tie).groupBy("k").agg((F.sum(w * F.col("ok")) / F.sum(w)).alias("agreement"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_effective"))
 
 
+def _cumulative(numbered: DataFrame, max_ratio: float = 20.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """The curve over all labels so far. Labels are counted by distinct propensity and block of numbers; a block gets the counts of what
+    lies before it, one row a distinct propensity, and adds its own labels one by one: the cap is a prefix's own upper median, so the
+    sums below and above it are made anew at each label, over distinct propensities and not over labels."""
+    rows = numbered.select("k", "propensity", "ok", F.floor((F.col("k") - 1) / block).alias("b"))
+    counts = rows.groupBy("propensity", "b").agg(F.count("*").alias("n"), F.sum("ok").alias("n_ok"))
+    blocks = rows.agg(F.max("b").alias("last"))
+    # a count holds in all blocks after its own, up to the propensity's next one
+    line = Window.partitionBy("propensity").orderBy("b")
+    upto = counts.select("propensity", "b", F.sum("n").over(line).alias("n"), F.sum("n_ok").over(line).alias("n_ok"), F.lead("b").over(line).alias("next"))
+    before = upto.crossJoin(F.broadcast(blocks)).withColumn("until", F.coalesce("next", "last")).where(F.col("until") > F.col("b"))
+    before = before.select(F.explode(F.sequence(F.col("b") + 1, "until")).alias("later"), F.col("propensity").alias("value"), "n", "n_ok")
+
+    def curve(key: tuple, own: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("k")
+        values = np.unique(np.concatenate([own["propensity"].to_numpy(), past["value"].to_numpy()]))[::-1]  # from the smallest weight up
+        raw, n, hit = 1 / values, np.zeros(len(values)), np.zeros(len(values))
+        at = dict(zip(values, range(len(values)), strict=True))
+        for p, a, b in zip(past["value"], past["n"], past["n_ok"], strict=True):
+            n[at[p]], hit[at[p]] = a, b
+        out = []
+        for k, p, ok in zip(own["k"], own["propensity"], own["ok"], strict=True):
+            n[at[p]] += 1
+            hit[at[p]] += ok
+            middle = raw[np.searchsorted(n.cumsum(), k // 2, side="right")]
+            w = np.minimum(raw, max_ratio * middle)
+            total = (w * n).sum()
+            out.append((k, (w * hit).sum() / total, total * total / (w * w * n).sum()))
+        return pd.DataFrame(out, columns=["k", "agreement", "n_effective"])
+
+    return rows.groupBy("b").cogroup(before.groupBy("later")).applyInPandas(curve, "k long, agreement double, n_effective double")
+
+
 def selection_distribution(rows: DataFrame, temperature: float = 0.60, explore: float = 0.15) -> DataFrame:
     """probability: (1 - explore) softmax(score / temperature) + explore / n. The totals are one aggregated row."""
     if temperature <= 0 or not 0 <= explore <= 1:
@@ -83,16 +109,24 @@ def selection_distribution(rows: DataFrame, temperature: float = 0.60, explore:
     return powers.crossJoin(F.broadcast(total)).withColumn("probability", p).drop("_top", "_n", "_e", "_total")
 
 
-def novelty(pool: DataFrame, labelled: DataFrame, features: list[str]) -> DataFrame:
-    """Distance of each pool item to its nearest labelled one, features divided by the pool's population deviation (0 counts as 1),
-    missing ones 0, squashed by d / (d + median). `labelled` is the few thousand rows people have labelled; without any, 0.5."""
-    stats = pool.agg(*[F.coalesce(F.nullif(F.stddev_pop(F.coalesce(F.col(f), F.lit(0.0))), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}") for f in features])
-    near = labelled.agg(F.collect_list(F.struct(*[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])).alias("_known"))
-    distance = lambda k: F.sqrt(sum(((F.coalesce(F.col(f), F.lit(0.0)) - k[f]) / F.col(f"_s_{f}")) * ((F.coalesce(F.col(f), F.lit(0.0)) - k[f]) / F.col(f"_s_{f}")) for f in features))
-    placed = pool.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(near)).withColumn("_d", F.array_min(F.transform("_known", distance))).drop("_known", *[f"_s_{f}" for f in features])
-    middle = placed.agg(F.percentile("_d", F.lit(0.5)).alias("_m"))
-    squashed = F.when(F.col("_d").isNull(), 0.5).otherwise(F.col("_d") / (F.col("_d") + F.when(F.col("_m") == 0, 1.0).otherwise(F.col("_m"))))
-    return placed.crossJoin(F.broadcast(middle)).withColumn("novelty", squashed).drop("_d", "_m")
+def novelty(pool: DataFrame, labelled: DataFrame, features: list[str], key: str = "item_id", block: int = 1000) -> DataFrame:
+    """Distance of each pool item (unique key) to its nearest labelled one, features divided by the pool's population deviation (0 counts
+    as 1), missing ones 0, squashed by d / (d + median); 0.5 without any labelled one. Pool rows meet the labelled ones in blocks of about
+    `block` and keep a least distance a block; the median is that of the places in the middle."""
+    value = lambda f: F.coalesce(F.col(f), F.lit(0.0))
+    stats = pool.agg(*[F.coalesce(F.nullif(F.stddev_pop(value(f)), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}") for f in features])
+    n = labelled.count()
+    if not n:
+        return pool.withColumn("novelty", F.lit(0.5))
+    cut = labelled.select(*[value(f).alias(f) for f in features]).withColumn("_block", F.pmod(F.xxhash64(*features), F.lit(-(-n // block))))
+    blocks = cut.groupBy("_block").agg(F.collect_list(F.struct(*features)).alias("_known"))
+    distance = lambda k: F.sqrt(sum(((value(f) - k[f]) / F.col(f"_s_{f}")) * ((value(f) - k[f]) / F.col(f"_s_{f}")) for f in features))
+    near = pool.select(key, *features).crossJoin(F.broadcast(stats)).crossJoin(blocks).select(key, F.array_min(F.transform("_known", distance)).alias("_d")).groupBy(key).agg(F.min("_d").alias("_d"))
+    placed = ordering.positions(near, ["_d", key], "_place")
+    ends = placed.agg(F.max("_place").alias("_n"))
+    middle = placed.crossJoin(F.broadcast(ends)).where(F.col("_place").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))).agg(F.avg("_d").alias("_m"))
+    squashed = F.col("_d") / (F.col("_d") + F.when(F.col("_m") == 0, 1.0).otherwise(F.col("_m")))
+    return pool.join(placed.crossJoin(F.broadcast(middle)).select(key, squashed.alias("novelty")), key)
 
 
 def choose(rows: DataFrame, draw: float, order: str, width: int = 1000) -> DataFrame:

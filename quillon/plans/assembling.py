@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewrites as R
 from ..functions import scalars as S
-from ..operators import fitting, metrics, paired, shortlist
+from ..operators import fitting, metrics, paired, resampling, shortlist
 from ..registry import query
 from . import worlds as W
 from .answering import CACHE, NAMES, cache, questions
@@ -43,8 +43,12 @@ REPLIES = (
 )
 
 
+#: An object between fences, for the oracle.
+FENCED = r"(?s)```\s*(?:json)?\s*(\{[^`]*\})\s*```"
+
+
 @query("t14_json_reply", f"""WITH x AS (SELECT doc_id, replace(([{", ".join(f"'{r}'" for r in REPLIES)}])[doc_id % 6 + 1], 'TEXT', coalesce(text, '')) AS x FROM documents),
-    c AS (SELECT doc_id, regexp_extract(x, '{S.FENCED}', 1) AS fenced, regexp_extract(x, '(?s)\\{{.*\\}}') AS plain FROM x)
+    c AS (SELECT doc_id, regexp_extract(x, '{FENCED}', 1) AS fenced, regexp_extract(x, '(?s)\\{{.*\\}}') AS plain FROM x)
     SELECT doc_id, CASE WHEN json_valid(fenced) AND json_type(CASE WHEN json_valid(fenced) THEN fenced END) = 'OBJECT' THEN fenced WHEN json_valid(plain) AND json_type(CASE WHEN json_valid(plain) THEN plain END) = 'OBJECT' THEN plain END AS reply FROM c""")
 def t14(spark, d):
     """T14."""
@@ -88,6 +92,15 @@ def a38_shares(spark, d):
     return rounded(shortlist.fairness(pool, [int(n * s) for s in SHARES]).crossJoin(F.broadcast(counts)))
 
 
+@query("x14_ratio_intervals")
+def x14(spark, d):
+    """The shortlist's ratio at a tenth, a quarter and half of the pool, with its interval over 1,000 resamples."""
+    pool = W.shortlist_pool(spark, d)
+    cuts = [int(pool.count() * s) for s in SHARES]
+    intervals = resampling.ratio_intervals(pool, cuts)
+    return rounded(shortlist.fairness(pool, cuts).select("cut", "ratio", "above", "tied").join(intervals, "cut", "left"))
+
+
 AVERAGED = "averaged AS (SELECT item_id, (score + twin_score) / 2 AS score, (score + twin_score) / 2 AS twin_score, gender, positive FROM pool)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators import fitting, metrics, records, sampling
+from ..operators import fitting, metrics, newton, records, sampling
 from ..registry import query
 from . import worlds as W
 from .measure import SUMMARY, ece_sql, rounded
@@ -76,19 +76,41 @@ def f03(spark, d):
     return spark.createDataFrame([(found["tier"], found["c"], found["method"], round(found["log_loss"], 6), round(found["weights"]["a"], 6), round(found["weights"]["b"], 6), round(found["intercept"], 6))], "tier string, c double, method string, log_loss double, weight_a double, weight_b double, intercept double")
 
 
+def paired_rows(spark, d):
+    """Labelled embeddings over two features, folds, and a twin whose first feature is moved, for two in three."""
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    rows = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), (F.col("label") % 2 == 0).cast("double").alias("y"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"), e(1).alias("a"), e(2).alias("b"))
+    twin = F.when(F.col("item_id") % 3 > 0, 1.0)
+    return fitting.stratified_folds(rows, "y", "item_id").withColumns({newton.TWIN + "a": twin * (F.col("a") + 0.5), newton.TWIN + "b": twin * F.col("b")})
+
+
+@query("f09_invariance_fit")
+def f09(spark, d):
+    """the head of each strength of the invariance penalty, fitted to all rows at one C."""
+    strengths, features = [0.0, 1.0, 100.0, 10000.0], ["a", "b"]
+    found = newton.fitted(paired_rows(spark, d), features, [newton.Job(0.3, s) for s in strengths])
+    return spark.createDataFrame([(s, *[round(float(x), 6) for x in p[0]]) for s, p in zip(strengths, found, strict=True)], "penalty double, intercept double, weight_a double, weight_b double")
+
+
+@query("f10_invariance_sweep")
+def f10(spark, d):
+    """out-of-fold figures and coefficients by strength, and the one to operate at."""
+    out = newton.invariance_sweep(paired_rows(spark, d), ["a", "b"], [0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0], registered=[0.1, 1.0, 10.0, 100.0])
+    return rounded(out.select("*", F.col("weights.a").alias("weight_a"), F.col("weights.b").alias("weight_b")).drop("weights"))
+
+
 @query("r07_windowed_agreement", f"WITH {W.FEEDBACK} SELECT time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(avg(CAST(initial = rtrim(lower(final), '.') AS DOUBLE)), 6) AS agreement FROM feedback GROUP BY 1")
 def r07(spark, d):
     f = W.feedback(spark, d)
     return rounded(f.groupBy(F.window("ts", "1 day")["start"].alias("day")).agg(F.count("*").alias("n"), F.avg((S.normalize_label(F.col("initial")) == S.normalize_label(F.col("final"))).cast("double")).alias("agreement")))
 
 
-@query("a54_alignment", f"""WITH {W.FEEDBACK}, r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM feedback WHERE event_id % 40 = 0), p AS (SELECT a.k, b.event_id, 1 / b.propensity AS raw, b.initial = rtrim(lower(b.final), '.') AS ok, count(*) OVER (PARTITION BY a.k) AS n, row_number() OVER (PARTITION BY a.k ORDER BY 1 / b.propensity, b.event_id) AS j FROM r a JOIN r b ON b.k BETWEEN a.k - 19 AND a.k),
+@query("a54_alignment", f"""WITH {W.FEEDBACK}, r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM feedback), p AS (SELECT a.k, b.event_id, 1 / b.propensity AS raw, b.initial = rtrim(lower(b.final), '.') AS ok, count(*) OVER (PARTITION BY a.k) AS n, row_number() OVER (PARTITION BY a.k ORDER BY 1 / b.propensity, b.event_id) AS j FROM r a JOIN r b ON b.k BETWEEN a.k - 19 AND a.k),
     c AS (SELECT *, least(raw, 20 * max(CASE WHEN j = n // 2 + 1 THEN raw END) OVER (PARTITION BY k)) AS w FROM p)
     SELECT k, round(sum(w * CAST(ok AS INTEGER)) / sum(w), 6) AS agreement, round(sum(w) * sum(w) / sum(w * w), 4) AS n_effective FROM c GROUP BY k""")
 def a54(spark, d):
-    """A54, W7 over every 40th labelling event, as its SQL has it: a sample, 2.5 % of the events, without latest-wins. The whole curve is
-    a54_alignment_latest."""
-    return curve(W.feedback(spark, d).where("event_id % 40 = 0"))
+    """A54, W7 over all labelling events, revisits too; a54_alignment_latest has latest-wins."""
+    return curve(W.feedback(spark, d))
 
 
 @query("a54_alignment_latest", f"""WITH {W.FEEDBACK}, l AS (SELECT * FROM feedback QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) = 1),
@@ -103,7 +125,18 @@ def a54_latest(spark, d):
     return curve(latest.where(records.label_of(F.col("label_source"), F.col("final"), F.col("is_invalid")).isNotNull()))
 
 
-def curve(feedback):
+@query("a54_alignment_cumulative", f"""WITH {W.FEEDBACK}, l AS (SELECT * FROM feedback QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) = 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM l WHERE NOT is_invalid AND label_source IN ('vetted_feedback', 'regular_final_feedback') AND final IS NOT NULL AND initial IS NOT NULL AND propensity > 0),
+    p AS (SELECT a.k, 1 / b.propensity AS raw, b.initial = rtrim(lower(b.final), '.') AS ok, count(*) OVER (PARTITION BY a.k) AS n, row_number() OVER (PARTITION BY a.k ORDER BY 1 / b.propensity, b.event_id) AS j FROM r a JOIN r b ON b.k <= a.k),
+    c AS (SELECT *, least(raw, 20 * max(CASE WHEN j = n // 2 + 1 THEN raw END) OVER (PARTITION BY k)) AS w FROM p)
+    SELECT k, round(sum(w * CAST(ok AS INTEGER)) / sum(w), 6) AS agreement, round(sum(w) * sum(w) / sum(w * w), 4) AS n_effective FROM c GROUP BY k""")
+def a54_cumulative(spark, d):
+    """The same over all labels so far (a window of 0), each prefix capped at its own median."""
+    latest = records.latest_by(W.feedback(spark, d), ["item_id"], ["ts", "event_id"])
+    return curve(latest.where(records.label_of(F.col("label_source"), F.col("final"), F.col("is_invalid")).isNotNull()), 0)
+
+
+def curve(feedback, window=20):
     ok = (S.normalize_label(F.col("initial")) == S.normalize_label(F.col("final"))).cast("int")
     rows = feedback.withColumn("ok", ok).where("ok is not null and propensity is not null and propensity <> 0")
-    return sampling.alignment_curve(rows, "ts", "event_id").select("k", F.round("agreement", 6).alias("agreement"), F.round("n_effective", 4).alias("n_effective"))
+    return sampling.alignment_curve(rows, "ts", "event_id", window).select("k", F.round("agreement", 6).alias("agreement"), F.round("n_effective", 4).alias("n_effective"))

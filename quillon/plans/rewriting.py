@@ -22,13 +22,16 @@ ENGLISH = f"en AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '{ENDING
 AT = f"en2 AS (SELECT doc_id, text, regexp_extract(text, '{R.PRONOUN}', 2) AS pronoun, regexp_extract(text, '\\A((?s:.*?)(?:\\A|{R.EDGE}))(?:He|She|he|she)(?:\\z|{R.EDGE})', 1) AS before FROM en)"
 
 
-@query("t05_swap_gender", f"""WITH {ENGLISH}, map AS (SELECT unnest([{', '.join(repr(k) for k in R.COUNTERPARTS)}]) AS word, unnest([{', '.join(repr(v) for v in R.COUNTERPARTS.values())}]) AS other),
+SWAPPED = f"""WITH {ENGLISH}, map AS (SELECT unnest([{', '.join(repr(k) for k in R.COUNTERPARTS)}]) AS word, unnest([{', '.join(repr(v) for v in R.COUNTERPARTS.values())}]) AS other),
     t AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS tokens FROM en)),
     l AS (SELECT doc_id, i, t, lead(t) OVER w AS after, lead(t, 2) OVER w AS follower FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     n AS (SELECT doc_id, i, t, lower(t) AS w, after, lower(coalesce(follower, '')) AS follower, m.other FROM l LEFT JOIN map m ON lower(t) = m.word),
     o AS (SELECT doc_id, i, t, w, CASE WHEN w = 'her' THEN CASE WHEN regexp_full_match(after, '\\s+') AND follower <> '' AND follower NOT IN ({', '.join(repr(x) for x in R.OBJECT_FOLLOWERS)}) THEN 'his' ELSE 'him' END ELSE other END AS o FROM n)
     SELECT doc_id, count(o)::INTEGER AS swapped, count(*) FILTER (w = 'her')::INTEGER AS her_resolved,
-           md5(string_agg(CASE WHEN o IS NULL THEN t WHEN t = upper(t) AND length(t) > 1 THEN upper(o) WHEN substr(t, 1, 1) = upper(substr(t, 1, 1)) THEN upper(substr(o, 1, 1)) || substr(o, 2) ELSE o END, '' ORDER BY i)) AS digest FROM o GROUP BY doc_id""")
+           md5(string_agg(CASE WHEN o IS NULL THEN t WHEN t = upper(t) AND length(t) > 1 THEN upper(o) WHEN substr(t, 1, 1) = upper(substr(t, 1, 1)) THEN upper(substr(o, 1, 1)) || substr(o, 2) ELSE o END, '' ORDER BY i)) AS digest FROM o GROUP BY doc_id"""
+
+
+@query("t05_swap_gender", SWAPPED)
 def t05(spark, d):
     """T5, T6, S21."""
     rows = english(spark, d).select("doc_id", R.swap_gender(F.col("text")).alias("s"))

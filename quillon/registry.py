@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from .plans import answering, assembling, controlling, curating, measure, rewriting, sampled, selecting, streamed, studying  # noqa: F401
+    from .plans import answering, assembling, briefing, controlling, curating, looping, measure, naming, rewriting, sampled, selecting, streamed, studying  # noqa: F401

@@ -71,9 +71,9 @@ def test_versions_are_never_overwritten(spark, tmp_path):
     got = files.lineage(spark, folder).collect()
     assert [(r.version, r.parent, r.kind, r.n_feedback, len(r.sha256)) for r in got] == [(1, None, "authored", 0, 16), (2, 1, "fitted", 7, 16)]
     assert files.version_text(spark, folder) == "a: 2\n" and files.version_text(spark, folder, 1) == "a: 1\n"
-    spark.range(1).write.parquet(f"{folder}/v3")  # someone else's commit, half done
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        files.commit(spark, folder, "a: 3\n", "authored", 9)
+    with pytest.raises(files.Conflict):
+        files.commit(spark, folder, "a: 3\n", "authored", 9, expected=1)  # on top of a version that another has come after
+    assert files.version_of(spark, folder) == 2
 
 
 def test_only_positives_count_as_entering_or_leaving(spark):
