@@ -1,9 +1,11 @@
 """Resumable filling of answers, workspaces, and refits as transactions."""
 
 import json
+import sys
 import threading
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillon import registry
@@ -12,6 +14,8 @@ from quillon.plans import looping
 from quillon.sources import files
 from quillon.sources.workspace import Missing, Workspace
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this module
+
 QUESTIONS = {"clear": scorecards.Question("noul", "Is it clear?"), "kind": scorecards.Question("noul", "Is it kind?")}
 
 
