@@ -159,20 +159,19 @@ def forest(edges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     return [(root(x), x) for x in list(parent) if root(x) != x]
 
 
-def _forests(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) of a partition as a forest, some at a time."""
+def _forests(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition as forests of some of them at a time."""
+    as_batch = lambda held: pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary())], ["u", "v"])
     held: list[tuple[bytes, bytes]] = []
-    size = most
     for batch in batches:
         held += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
-        if len(held) > size:
+        if len(held) > most:
             held = forest(held)
-            size = max(most, 2 * len(held))
-            if len(held) > most:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary())], ["u", "v"])
-                held, size = [], most
-    held = forest(held)
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.binary()), pa.array([v for _, v in held], pa.binary())], ["u", "v"])
+            if len(held) > most // 2:
+                yield as_batch(held)
+                held = []
+    yield as_batch(forest(held))
+    release()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -131,21 +131,19 @@ def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        size = 50_000
         for group in common.groups(batches, ["key", "second"]):
             if group.num_rows > 1:
                 names = group.column("node").to_pylist()
                 values = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
                 out += [(names[i], names[j]) for i, j in tie(values, matches)]
-            if len(out) > size:
+            if len(out) > 50_000:
                 out = common.forest(out)
-                size = max(50_000, 2 * len(out))
-            if len(out) > 500_000:
-                yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
-                out, size = [], 50_000
+                if len(out) > 25_000:  # what a task holds stays as small as it was
+                    yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
+                    out = []
         out = common.forest(out)
-        for i in range(0, len(out), 50_000):
-            yield common.as_batch({"a": [a for a, _ in out[i : i + 50_000]], "b": [b for _, b in out[i : i + 50_000]]}, EDGE)
+        yield common.as_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, EDGE)
+        common.release()
 
     return rows.repartition(common.shuffle_partitions(nodes.sparkSession), "key", "second").sortWithinPartitions("key", "second", "node").mapInArrow(run, "a binary, b binary"), ranked
 
@@ -220,6 +218,7 @@ def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: in
             names = list(by_node)
             edges = links(list(by_node.values()), percent) if len(names) > 1 else []
             yield common.as_batch({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]}, EDGE)
+        common.release()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.groups(batches, ["family", "one", "two"]):
