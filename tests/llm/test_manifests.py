@@ -88,8 +88,8 @@ def test_matches_sql(spark, data):
         db.register("got", got)
         columns = ", ".join(got.column_names)
         db.execute(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {columns} FROM ({queries.oracle_sql()[name]})")
-        assert db.execute("SELECT count(*) FROM want").fetchone() == (got.num_rows,)
-        assert db.execute(f"SELECT count(*) FROM (SELECT {columns} FROM want EXCEPT ALL SELECT {columns} FROM got)").fetchone() == (0,)
+        assert db.execute("SELECT count(*) FROM want").fetchall() == [(got.num_rows,)]
+        assert db.execute(f"SELECT count(*) FROM (SELECT {columns} FROM want EXCEPT ALL SELECT {columns} FROM got)").fetchall() == [(0,)]
 
 
 def brute_phrases(rows, least, top):
