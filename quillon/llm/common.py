@@ -101,6 +101,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker process has learnt about tokens, by operator.
+CACHES: list[dict] = []
+
+
+def alone(cache: dict) -> None:
+    """Empties the other operators' caches: a worker process lives on from stage to stage, and needs those of its present one alone."""
+    for other in CACHES:
+        if other is not cache:
+            other.clear()
+    if all(other is not cache for other in CACHES):
+        CACHES.append(cache)
+    release()
+
+
 def release() -> None:
     """Gives back what Arrow keeps of memory that is no longer used: a worker process lives on between tasks."""
     pa.default_memory_pool().release_unused()

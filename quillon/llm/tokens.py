@@ -106,6 +106,7 @@ def encoder(name: str = VOCABULARY) -> WordEncoder:
     if name.rsplit("/", 1)[-1] != VOCABULARY.rsplit("/", 1)[-1]:
         raise ValueError(f"words are cut as {VOCABULARY} has them; {name} is another vocabulary")
     if name not in _encoders:
+        common.alone(_encoders)
         _encoders[name] = WordEncoder(name)
     return _encoders[name]
 
