@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation: restore what the writer disguised, then score the restored text.
 
-Learning (in Spark, over at most about `sample_rows` labelled rows outside the held-out fold, drawn by a hash of the id; of rows whose
-least hash of three words is the same, copies and near copies, one for each label):
+Learning (in Spark, over all labelled rows outside the held-out fold; of rows whose least hash of three words is the same, copies and
+near copies, one for each label):
 document frequencies of words by label, and a character trigram model of words (trigrams seen less than three times are left to its
 smoothing). A word or stem is toxic evidence when an exact binomial test, corrected for the number of words tested, rejects that it
 is as common in clean rows, and its log odds outweigh the prior: a text with that word alone is toxic rather than not. (Words of weaker
@@ -234,7 +234,7 @@ class Restorer:
             states = self.advance({(0, "^^"): 0.0}, token, 0)
         else:
             if (states := self.heads.get(head)) is None:
-                if len(self.heads) > 50_000:
+                if len(self.heads) > 10_000:
                     self.heads.clear()
                 states = self.heads[head] = self.advance({(0, "^^"): 0.0}, head, 0)
             states = self.advance(states, token, HEAD) if states else states
@@ -335,7 +335,7 @@ class Scorer(Generations):
     """From a raw token to its evidence."""
 
     def __init__(self, model: ToxicityModel):
-        super().__init__(most=150_000)
+        super().__init__(most=100_000)
         self.model = model
 
     def made(self, word: bytes) -> tuple[str, ...]:
@@ -369,6 +369,7 @@ def scorer_of(model: ToxicityModel) -> Scorer:
     """A worker process' scorer: what it knows about tokens stays for its next task with the same model."""
     if model.name not in _scorers:
         _scorers.clear()
+        common.alone(_scorers)
         _scorers[model.name] = Scorer(model)
     return _scorers[model.name]
 
@@ -384,12 +385,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common.as_batch({"doc_id": common.ids(batch), "text": batch.column("text"), "toxic": [int(x) for x in common.ids(batch, "toxic")], "sketch": least}, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, level: float = 0.01, folds: int = 3, held_out: int = 1) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, level: float = 0.01, folds: int = 3, held_out: int = 1) -> ToxicityModel:
     truth = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(common.key_fold("doc_id", folds) != held_out)
-    count = truth.count()
-    drawn = truth.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < min(1.0, sample_rows / max(1, count)) * 1_000_000)
     # copies and near copies of a text are one observation, however many they are
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").mapInArrow(_sketched, "doc_id long, text string, toxic long, sketch long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(truth, "doc_id").mapInArrow(_sketched, "doc_id long, text string, toxic long, sketch long")
     rows = rows.groupBy("sketch", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

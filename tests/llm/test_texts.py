@@ -10,9 +10,10 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import language, lattice, packing, quality, tokens, toxicity
+from quillon.llm import common, language, lattice, packing, quality, tokens, toxicity
 
 from .conftest import EDGES
 
@@ -243,3 +244,19 @@ def test_plain_tokens_show_nothing():
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="another vocabulary"):
         tokens.encoder("other.json")
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    n = 36_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("zqx w"), F.col("id").cast("string")).alias("text"))
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("toxic")))
+    learnt = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(n))
+    assert learnt > 20_000 and model.restorer.model.three["zqx"] == learnt
+
+
+def test_a_worker_keeps_one_operators_cache():
+    one, two = {"a": 1}, {"b": 2}
+    common.alone(one)
+    common.alone(two)
+    assert not one and two
+    common.CACHES[:] = [c for c in common.CACHES if c is not one and c is not two]
