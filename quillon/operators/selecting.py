@@ -65,8 +65,9 @@ def candidate_score(weights: Mapping[str, float] = SIGNALS) -> Column:
     return sum((F.lit(-w if name == "ambiguity" else w) * F.col(name) for name, w in weights.items()), F.lit(0.0))
 
 
-def triggers(state: DataFrame, fit_floor: float = 30.0, refit_every: int = 5, rethink_labels: int = 15, rethink_mismatches: int = 5, window: int = 3, least_gain: float = 0.01, headroom: float = 0.03) -> DataFrame:
-    """A row per condition of each trigger: state's key, trigger, condition, met, have, need. state: key, n_effective,
+def triggers(state: DataFrame, fit_floor: float = 30.0, refit_every: int = 5, rethink_labels: int = 15, rethink_mismatches: int = 5, window: int = 3, least_gain: float = 0.01, headroom: float = 0.03, first: bool = False) -> DataFrame:
+    """A row per condition of each trigger: state's key, trigger, condition, met, have, need; with `first`, the first that is not met
+    alone, or the last if all are. state: key, n_effective,
     labels_since_fit, labels_since_rethink, mismatches_since_rethink, losses (array), oof_accuracy (may be null)."""
     n, losses = F.col("n_effective"), F.col("losses")
     enough = lambda name: (name, n >= fit_floor, F.format_string("%.0f effective labels", n), F.lit(f"{fit_floor:.0f}"))
@@ -84,14 +85,17 @@ def triggers(state: DataFrame, fit_floor: float = 30.0, refit_every: int = 5, re
             ("room left to improve", F.coalesce(error >= headroom, F.lit(False)), F.when(error.isNull(), "unknown").otherwise(F.format_string("%.3f error", error)), F.lit(f"at least {headroom}")),
         ],
     }
-    rows = [F.struct(F.lit(t).alias("trigger"), F.lit(i).alias("place"), F.lit(c).alias("condition"), met.alias("met"), have.alias("have"), need.alias("need")) for t, cs in conditions.items() for i, (c, met, have, need) in enumerate(cs)]
+    one = lambda t, i, c, met, have, need: F.struct(F.lit(t).alias("trigger"), F.lit(i).alias("place"), F.lit(c).alias("condition"), met.alias("met"), have.alias("have"), need.alias("need"))
+    by = [[one(t, i, *c) for i, c in enumerate(cs)] for t, cs in conditions.items()]
+    rows = [F.coalesce(F.get(F.filter(F.array(*cs), lambda c: ~c["met"]), F.lit(0)), cs[-1]) for cs in by] if first else [c for cs in by for c in cs]
     return state.select("key", F.explode(F.array(*rows)).alias("c")).select("key", "c.*")
 
 
 def fired(conditions: DataFrame) -> DataFrame:
-    """key, trigger, fire, summary: whether all conditions are met, or the first that is not."""
+    """key, trigger, fire, summary: whether all conditions are met, or the first that is not. Rows are dealt out first: texts have no
+    place in a hash aggregate, which would sort whatever one task reads."""
     unmet = F.min(F.when(~F.col("met"), F.struct("place", "condition", "have", "need"))).alias("u")
-    return conditions.groupBy("key", "trigger").agg(unmet).select(
+    return conditions.repartition("key", "trigger").groupBy("key", "trigger").agg(unmet).select(
         "key", "trigger", F.col("u").isNull().alias("fire"),
         F.when(F.col("u").isNull(), F.concat("trigger", F.lit(": worth doing now"))).otherwise(F.format_string("%s: not yet (%s: have %s, need %s)", "trigger", "u.condition", "u.have", "u.need")).alias("summary"),
     )

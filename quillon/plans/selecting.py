@@ -142,7 +142,7 @@ def c06(spark, d):
 @query("x05_triggers", f"""WITH {CONDITIONS}, u AS (SELECT key, trigger, bool_and(met) AS fire, arg_min(condition, place) FILTER (NOT met) AS c, arg_min(have, place) FILTER (NOT met) AS h, arg_min(need, place) FILTER (NOT met) AS n FROM conditions GROUP BY 1, 2)
     SELECT key, trigger, fire, CASE WHEN fire THEN trigger || ': worth doing now' ELSE trigger || ': not yet (' || c || ': have ' || h || ', need ' || n || ')' END AS summary FROM u""")
 def x05(spark, d):
-    return selecting.fired(selecting.triggers(states(spark, d)))
+    return selecting.fired(selecting.triggers(states(spark, d), first=True))
 
 
 @query("a17_element_weights", f"WITH {VECTORS} " + " UNION ALL ".join(f"SELECT '{f}' AS element, round(stddev_pop(coalesce({f}, 0)), 6) AS deviation, round({max(abs(w[f]) for w in HEAD.values())}::DOUBLE * stddev_pop(coalesce({f}, 0)), 6) AS standardized_weight FROM vectors" for f in NAMES))
