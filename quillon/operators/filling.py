@@ -84,7 +84,7 @@ def fill(items: DataFrame, questions: Mapping[str, Question], folder: str, clien
     if not _there(spark, plan):
         asked = spark.createDataFrame([(n, q.fingerprint) for n, q in questions.items()], "name string, qhash string")
         gaps = records.missing(items, asked, cached(spark, folder)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("name", "qhash"))).alias("gap"))  # of one card's questions
-        gaps.join(items, "item_id").withColumn("wave", F.pmod(F.xxhash64("item_id"), F.lit(waves)).cast("int")).repartition(spread, "item_id").write.mode("overwrite").partitionBy("wave").parquet(plan)
+        gaps.join(items, "item_id").withColumn("wave", F.pmod(F.xxhash64("item_id"), F.lit(waves)).cast("int")).repartition(spread, "item_id", "wave").write.mode("overwrite").partitionBy("wave").parquet(plan)
     requests = spark.read.schema("item_id string, gap array<struct<name:string,qhash:string>>, text string, wave int").parquet(plan)
     ask = _asking(client, {n: json.dumps(q.body) for n, q in questions.items()}, concurrency)
     for wave in range(waves):
