@@ -181,8 +181,9 @@ def r06(spark, d):
     n = W.table(spark, d, "documents").count()
     events = W.feedback_of(feedback.log_stream(spark, log), F.lit(n))
     ok = (S.normalize_label(F.col("initial")) == S.normalize_label(F.col("final"))).cast("int")
-    out = ordered.folded(events.select("label_source", "ts", "event_id", "propensity", ok.alias("ok")), "label_source", "ts", "event_id", ordered.Alignment(20), ordered.Alignment.SCHEMA, "3 days")
-    return spark.read.parquet(feedback.drained(out, "alignment")).select("label_source", "k", F.round("agreement", 6).alias("agreement"), F.round("n_effective", 4).alias("n_effective"))
+    rows = events.select("label_source", "ts", "event_id", "propensity", ok.alias("ok"))
+    out = ordered.placed(rows, "label_source", "ts", "event_id", lambda r: ordered.aligned(r, "label_source"), "3 days", "alignment", window=20)
+    return spark.read.parquet(out).select("label_source", "k", F.round("agreement", 6).alias("agreement"), F.round("n_effective", 4).alias("n_effective"))
 
 
 STEPS = ((3, "steer-1"), (3, "steer-2"), (40, "steer-3"))
@@ -193,8 +194,8 @@ STEPS = ((3, "steer-1"), (3, "steer-2"), (40, "steer-3"))
 def r05(spark, d):
     """Recorded steps fall due as the labels come in, and a refit every five, in a stream that counts them."""
     stream = feedback.log_stream(spark, event_files(spark, d)).select(F.col("event_type").alias("score"), "ts", "event_id")
-    out = ordered.folded(stream, "score", "ts", "event_id", ordered.Due(STEPS, 5), ordered.Due.SCHEMA, "3 days")
-    return spark.read.parquet(feedback.drained(out, "steps")).select("score", "labels", "step")
+    out = ordered.placed(stream, "score", "ts", "event_id", lambda r: ordered.due(r, "score", STEPS, 5), "3 days", "steps")
+    return spark.read.parquet(out).select("score", "labels", "step")
 
 
 @query("r02_refit_points", "WITH c AS (SELECT CAST(ts AS DATE) AS batch, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), s AS (SELECT batch, n, sum(n) OVER (ORDER BY batch)::BIGINT AS labels FROM c) SELECT batch, labels, CAST(labels // 5 - (labels - n) // 5 AS BIGINT) AS refits FROM s")

@@ -11,11 +11,16 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..functions.weights import agreement_of
+from ..operators import ordering
+from ..sources.files import new_path
 
 #: State stores that list and timer state need.
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -118,3 +123,84 @@ class Due:
         if self.every and n % self.every == 0:
             out.append((n, "refit"))
         return (n, cursor), out
+
+
+# -- the same for keys that are few and large: a batch's rows are placed by Spark, and no task sees a key whole --
+
+
+def _state(spark: SparkSession, home: str, batch: int, name: str, schema: StructType) -> DataFrame:
+    """What batches before this one have left, an empty table before the first."""
+    try:
+        return spark.read.schema(schema).parquet(f"{home}/state/batch={batch - 1}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def placed(stream: DataFrame, key: str, time: str, tie: str, emit: Callable[[DataFrame], DataFrame], late: str, label: str, window: int = 0, home: str | None = None) -> str:
+    """Runs a stream over what is there and writes what `emit` makes of each batch's passed rows; the path of its output.
+
+    A row has passed when it is `late` or more behind the latest that batches so far have shown, and nothing earlier can come in after
+    that: rows behind what had passed before a batch are too late and dropped. Passed rows get `place`, their number from 1 within the
+    key in the order of (time, tie), by ranges and their counts. With `window`, emit also sees the last window - 1 rows of each key that
+    had passed before (`fresh` is false for these). State is a table a batch: rows that wait, rows that are still in a window, and a
+    count a key. A batch that is run again finds the state of the one before it, and overwrites what it had begun."""
+    spark, home = stream.sparkSession, home or new_path(stream.sparkSession, label)
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).select(key, F.unix_micros(time).alias("_when"), F.col(tie).cast("long").alias("_tie"), *[c for c in stream.columns if c not in (key, time)])
+    told = StructType([*rows.schema.fields, StructField("place", LongType()), StructField("fresh", BooleanType())])
+    ends = StructType([rows.schema[key], StructField("_count", LongType())])
+    marks = StructType([StructField("_mark", LongType())])
+    behind = F.expr(f"interval {late}")
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, f"{home}/state/batch={number}"
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{at}/{name}")
+        before = _state(spark, home, number, "mark", marks).first()
+        latest = batch.agg(F.unix_micros(F.timestamp_micros(F.max("_when")) - behind)).first()[0]
+        old = before[0] if before else None
+        mark = max((m for m in (old, latest) if m is not None), default=None)
+        fresh = batch.where(F.lit(True) if old is None else F.col("_when") > old).unionByName(_state(spark, home, number, "waiting", rows.schema))
+        passed = F.lit(False) if mark is None else F.col("_when") <= mark
+        put(fresh.where(F.coalesce(~passed, F.lit(False))), "waiting")
+        counts = _state(spark, home, number, "counts", ends)
+        placed_ = ordering.positions(fresh.where(passed), [key, "_when", "_tie", *[c for c in rows.columns if c not in (key, "_when", "_tie") and rows.schema[c].dataType.typeName() not in ("map", "variant")]], "_p")
+        # a key's rows are a stretch of the order: the place within it is that less the stretch's first
+        firsts = placed_.groupBy(key).agg(F.min("_p").alias("_first"), F.count("*").alias("_new"))
+        keys = firsts.join(counts, firsts[key].eqNullSafe(counts[key]), "full").select(F.coalesce(firsts[key], counts[key]).alias("_key"), "_first", (F.coalesce("_count", F.lit(0)) + F.coalesce("_new", F.lit(0))).alias("_count"), F.coalesce("_count", F.lit(0)).alias("_had"))
+        keys.select(F.col("_key").alias(key), "_count").write.mode("overwrite").parquet(f"{at}/counts")
+        own = keys.where("_first is not null")
+        numbered = placed_.join(own, placed_[key].eqNullSafe(own["_key"])).withColumn("place", F.col("_p") - F.col("_first") + 1 + F.col("_had")).withColumn("fresh", F.lit(True)).select(*told.names)
+        if window > 1:
+            numbered = numbered.unionByName(_state(spark, home, number, "recent", told))
+            numbered.write.mode("overwrite").parquet(f"{at}/numbered")
+            numbered = spark.read.schema(told).parquet(f"{at}/numbered")
+            last = numbered.join(keys, numbered[key].eqNullSafe(keys["_key"])).where(F.col("place") > F.col("_count") - (window - 1)).withColumn("fresh", F.lit(False))
+            put(last.select(*told.names), "recent")
+        emit(numbered).write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+        put(spark.createDataFrame([(mark,)] if mark is not None else [], marks), "mark")
+
+    query = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/checkpoint").foreachBatch(step).start()
+    query.awaitTermination()
+    return f"{home}/out"
+
+
+def aligned(rows: DataFrame, key: str, window: int = 20, max_ratio: float = 20.0, block: int = 5000) -> DataFrame:
+    """key, k, agreement, n_effective of fresh rows (propensity, ok, place), each over the last `window` labels: what Alignment folds. A key's
+    places are cut into blocks that begin with the window - 1 rows before them, so that a large key is many windows."""
+    at = F.floor((F.col("place") - 1) / block)
+    spread = F.explode(F.array_distinct(F.array(at, F.floor((F.col("place") + window - 2) / block)))).alias("_block")
+    near = Window.partitionBy(key, "_block").orderBy("place").rowsBetween(1 - window, 0)
+    seen = rows.select(key, "place", "fresh", (1 / F.col("propensity")).alias("_raw"), F.col("ok").cast("double").alias("_ok"), spread).withColumn("_seen", F.collect_list(F.struct("_raw", "_ok")).over(near))
+    own = seen.where(F.col("fresh") & (F.col("_block") == at))
+    middle = F.get(F.array_sort(F.transform("_seen", lambda x: x["_raw"])), F.floor(F.size("_seen") / 2).cast("int"))
+    capped = own.withColumn("_cap", max_ratio * middle).withColumn("_w", F.transform("_seen", lambda x: F.struct(F.least(x["_raw"], F.col("_cap")).alias("w"), x["_ok"].alias("ok"))))
+    total = lambda f: F.aggregate("_w", F.lit(0.0), lambda a, x: a + f(x))
+    return capped.select(key, F.col("place").alias("k"), (total(lambda x: x["w"] * x["ok"]) / total(lambda x: x["w"])).alias("agreement"), (total(lambda x: x["w"]) * total(lambda x: x["w"]) / total(lambda x: x["w"] * x["w"])).alias("n_effective"))
+
+
+def due(rows: DataFrame, key: str, steps: Sequence[tuple[int, str]] = (), every: int = 0) -> DataFrame:
+    """key, labels, step of rows that have a place: what Due folds."""
+    fall = [F.when(F.col("place") == max(1, after), F.lit(step)) for after, step in sorted(steps, key=lambda s: s[0])]
+    fall += [F.when(F.col("place") % every == 0, F.lit("refit"))] if every else []
+    return rows.select(key, F.col("place").alias("labels"), F.explode(F.array_compact(F.array(*fall))).alias("step"))
