@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import new_path
 from . import ordering
 
 #: Labels of the cumulative curve that one task goes through.
@@ -109,19 +112,73 @@ def selection_distribution(rows: DataFrame, temperature: float = 0.60, explore:
     return powers.crossJoin(F.broadcast(total)).withColumn("probability", p).drop("_top", "_n", "_e", "_total")
 
 
+def _leaves(x: np.ndarray, at: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows `at` in leaves of `most` at most, halved along the side that is widest."""
+    if len(at) <= most:
+        yield at
+        return
+    side = int(np.ptp(x[at], axis=0).argmax())
+    half = len(at) // 2
+    order = np.argpartition(x[at, side], half)
+    yield from _leaves(x, at[order[:half]], most)
+    yield from _leaves(x, at[order[half:]], most)
+
+
+def _boxed(dims: int, most: int, key: str):
+    """Leaves of a batch's points with their keys, their box, and a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(dims)])
+            for at in _leaves(x, np.arange(len(x)), most) if len(x) else ():
+                cells = {f"{key}_no": uuid.uuid4().int >> 65, f"{key}_ids": batch.column("_id").take(pa.array(at)).to_pylist(), f"{key}_low": x[at].min(0).tolist(), f"{key}_high": x[at].max(0).tolist(), f"{key}_points": x[at].tobytes()}
+                types = [pa.int64(), pa.list_(batch.schema.field("_id").type), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells.values(), types, strict=True)], list(cells))
+
+    return run
+
+
+def _nearest(dims: int):
+    """The least squared distance of each point of a leaf to those of a leaf of labelled ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, a, b in zip(batch.column("p_ids"), batch.column("p_points"), batch.column("k_points"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer()).reshape(-1, dims) for v in (a, b))
+                least = np.concatenate([sum((x[s : s + 128, i][:, None] - y[:, i]) ** 2 for i in range(dims)).min(1) for s in range(0, len(x), 128)])
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(least)], ["_id", "_d"])
+
+    return run
+
+
 def novelty(pool: DataFrame, labelled: DataFrame, features: list[str], key: str = "item_id", block: int = 1000) -> DataFrame:
     """Distance of each pool item (unique key) to its nearest labelled one, features divided by the pool's population deviation (0 counts
-    as 1), missing ones 0, squashed by d / (d + median); 0.5 without any labelled one. Pool rows meet the labelled ones in blocks of about
-    `block` and keep a least distance a block; the median is that of the places in the middle."""
-    value = lambda f: F.coalesce(F.col(f), F.lit(0.0))
-    stats = pool.agg(*[F.coalesce(F.nullif(F.stddev_pop(value(f)), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}") for f in features])
-    n = labelled.count()
-    if not n:
+    as 1), missing ones 0, squashed by d / (d + median); 0.5 without any labelled one. Both are dealt out by the first feature and cut into
+    leaves of `block` points at most, each with the box that holds it. A pair of leaves is looked at unless another labelled leaf is
+    nearer for certain: its farthest corner is nearer than this one's nearest. The median is that of the places in the middle."""
+    spark, kind, dims = pool.sparkSession, pool.schema[key].dataType.simpleString(), len(features)
+    if not labelled.limit(1).count():
         return pool.withColumn("novelty", F.lit(0.5))
-    cut = labelled.select(*[value(f).alias(f) for f in features]).withColumn("_block", F.pmod(F.xxhash64(*features), F.lit(-(-n // block))))
-    blocks = cut.groupBy("_block").agg(F.collect_list(F.struct(*features)).alias("_known"))
-    distance = lambda k: F.sqrt(sum(((value(f) - k[f]) / F.col(f"_s_{f}")) * ((value(f) - k[f]) / F.col(f"_s_{f}")) for f in features))
-    near = pool.select(key, *features).crossJoin(F.broadcast(stats)).crossJoin(blocks).select(key, F.array_min(F.transform("_known", distance)).alias("_d")).groupBy(key).agg(F.min("_d").alias("_d"))
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    stats = pool.agg(*[F.coalesce(F.nullif(F.stddev_pop(value(f)), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}") for f in features])
+
+    def leaves(rows: DataFrame, side: str, id_: Column) -> DataFrame:
+        scaled = rows.crossJoin(F.broadcast(stats)).select(id_.alias("_id"), *[(value(f) / F.col(f"_s_{f}")).alias(f"_{i}") for i, f in enumerate(features)])
+        path, own = new_path(spark, f"leaves-{side}"), scaled.schema["_id"].dataType.simpleString()
+        ddl = f"{side}_no long, {side}_ids array<{own}>, {side}_low array<double>, {side}_high array<double>, {side}_points binary"
+        scaled.repartitionByRange("_0").sortWithinPartitions("_0").mapInArrow(_boxed(dims, block, side), ddl).write.parquet(path)
+        return spark.read.schema(ddl).parquet(path)
+
+    ours, known = leaves(pool, "p", F.col(key)), leaves(labelled, "k", F.lit(0))
+    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)
+    least = squares(F.zip_with(F.zip_with("k_low", "p_high", lambda a, b: a - b), F.zip_with("p_low", "k_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))))
+    most = squares(F.zip_with(F.zip_with("k_high", "p_low", lambda a, b: a - b), F.zip_with("p_high", "k_low", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
+    boxes = ours.select("p_no", "p_low", "p_high").crossJoin(F.broadcast(known.select("k_no", "k_low", "k_high"))).select("p_no", "k_no", least.alias("_least"), most.alias("_most"))
+    bound = boxes.groupBy("p_no").agg(F.min("_most").alias("_bound"))
+    # a hair's breadth for the rounding of sums
+    pairs = boxes.join(bound, "p_no").where(F.col("_least") <= F.col("_bound") * (1 + 1e-9)).select("p_no", "k_no")
+    met = pairs.join(ours.select("p_no", "p_ids", "p_points"), "p_no").join(known.select("k_no", "k_points"), "k_no").select("p_ids", "p_points", "k_points")
+    near = met.mapInArrow(_nearest(dims), f"_id {kind}, _d double").groupBy(F.col("_id").alias(key)).agg(F.sqrt(F.min("_d")).alias("_d"))
     placed = ordering.positions(near, ["_d", key], "_place")
     ends = placed.agg(F.max("_place").alias("_n"))
     middle = placed.crossJoin(F.broadcast(ends)).where(F.col("_place").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))).agg(F.avg("_d").alias("_m"))

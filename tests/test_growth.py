@@ -30,3 +30,31 @@ def test_a_trigger_is_judged_within_its_row(spark, data):
     assert first.groupBy("key", "trigger").count().where("count > 1").count() == 0
     assert selecting.fired(first).exceptAll(selecting.fired(selecting.triggers(state))).count() == 0
     assert first.count() == 2 * state.count() == selecting.fired(first.unionByName(first)).count()
+
+
+def test_novelty_looks_at_the_leaves_that_may_be_nearest(spark, monkeypatch):
+    import numpy as np
+
+    from quillon.operators import sampling
+
+    seen = spark.sparkContext.accumulator(0)
+    whole = sampling._nearest
+
+    def counting(dims):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from whole(dims)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(sampling, "_nearest", counting)
+    rng = np.random.default_rng(3)
+    pool, known = rng.random((400, 2)), rng.random((300, 2))
+    frame = lambda x: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "item_id long, a double, b double")
+    got = {r.item_id: r.novelty for r in sampling.novelty(frame(pool), frame(known), ["a", "b"], block=10).collect()}
+    s = pool.std(0)
+    d = np.sqrt((((pool[:, None] - known[None]) / s) ** 2).sum(2)).min(1)
+    want = d / (d + np.median(d))
+    assert len(got) == 400 and np.allclose([got[i] for i in range(400)], want)
+    assert seen.value < 64 * 32  # of the pairs of leaves there are
