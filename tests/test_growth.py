@@ -58,3 +58,12 @@ def test_novelty_looks_at_the_leaves_that_may_be_nearest(spark, monkeypatch):
     want = d / (d + np.median(d))
     assert len(got) == 400 and np.allclose([got[i] for i in range(400)], want)
     assert seen.value < 64 * 32  # of the pairs of leaves there are
+
+
+def test_grams_are_counted_within_rows_and_over_repeated_keys(spark):
+    from quillon.operators import texts
+
+    docs = spark.createDataFrame([(1, "ab cd ab"), (1, "ab"), (2, None), (3, "cd ab"), (None, "ab"), (None, "ab")], "id long, text string")
+    counts = texts.counted(docs, "id")
+    got = {(r.id, r.gram): r.n for r in counts.collect()}
+    assert got == {(1, "ab"): 3, (1, "cd"): 1, (1, "ab cd"): 1, (1, "cd ab"): 1, (3, "cd"): 1, (3, "ab"): 1, (3, "cd ab"): 1, (None, "ab"): 2}
