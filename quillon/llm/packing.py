@@ -41,7 +41,7 @@ STRETCH = 1 << 20
 
 
 def ids_of(text: bytes | None, vocabulary: str, end: int) -> np.ndarray:
-    return np.append(encoder(vocabulary).ids(text or b""), np.uint32(end)).astype("<u4")
+    return np.append(encoder(vocabulary).ids(text or b""), np.uint32(end)).astype("<u4", copy=False)
 
 
 def crc(ids: np.ndarray) -> int:

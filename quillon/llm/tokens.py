@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,30 +52,34 @@ class Generations(dict):
         return got
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Pieces(Generations):
-    """Ids of a piece of a simple word, from the tokenizer's own model."""
+    """Ids of a piece of a simple word, from the tokenizer's own model, as bytes of four each: less to keep and to join than numbers."""
 
     def __init__(self, model):
         super().__init__()
         self.tokenize = model.tokenize
 
-    def made(self, piece: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.tokenize(piece if piece.isascii() else "".join(map(BYTE_MAP.__getitem__, piece.encode())))])
+    def made(self, piece: str) -> bytes:
+        return packed([t.id for t in self.tokenize(piece if piece.isascii() else "".join(map(BYTE_MAP.__getitem__, piece.encode())))])
 
 
 class _Words(Generations):
-    """Ids of a word."""
+    """Ids of a word, as bytes."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
 
-    def made(self, word: bytes) -> tuple[int, ...]:
+    def made(self, word: bytes) -> bytes:
         text = word.decode()
         if SIMPLE(text) and "<|" not in text:
             pieces = SPLIT(text.lower())
-            return self.pieces[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 class WordEncoder:
@@ -91,10 +95,10 @@ class WordEncoder:
         self.words = _Words(self.tokenizer)
 
     def ids(self, text: bytes) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, text.split())), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<u4")
 
     def count(self, text: bytes) -> int:
-        return sum(map(len, map(self.words.__getitem__, text.split())))
+        return sum(map(len, map(self.words.__getitem__, text.split()))) // 4
 
     def starts(self, text: str) -> np.ndarray:
         """Where each token starts, as tokenizers gives its offset in characters."""
