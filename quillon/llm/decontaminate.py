@@ -15,7 +15,6 @@ a null id last; repeated rows are judged each; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
+#: Upper case as lower case, and a blank for what is in no word.
+PARTED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(PARTED).split()
+
+
 def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """Running polynomial hashes of all stretches of n words."""
     if len(codes) < n:
@@ -85,7 +89,7 @@ class Block:
         self.items: list[tuple[int | None, np.ndarray, int]] = []
         self.seeds: dict[int, dict[int, set[int]]] = {}  # length -> hash -> items
         for item_id, text in items:
-            words = WORDS(text.lower())
+            words = words_of(text)
             if words:
                 codes = np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in words], np.int64)
                 n = min(least, len(codes))
@@ -96,11 +100,12 @@ class Block:
 
     def search(self, text: bytes | None) -> list[tuple[int | None, float]]:
         """Coverage of every item that shares a seed with the text."""
-        codes = np.fromiter(map(self.codes.get, words := WORDS((text or b"").lower()), (0 for _ in words)), np.int64, len(words))
+        codes = np.fromiter(map(self.codes.get, words := words_of(text), (0 for _ in words)), np.int64, len(words))
         near: set[int] = set()
         for n, keys in self.keys.items():
             own = hashes(codes, n)
-            for h in own[np.isin(own, keys)].tolist():
+            own = own[(codes > 0)[: len(own)]]  # no seed begins with a word that no item has
+            for h in own[keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own].tolist():
                 near |= self.seeds[n][h]
         out = []
         for i in sorted(near):
@@ -149,6 +154,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([all(c < coverage for _, c in sent.value.search(t)) for t in common.texts(batch)], pa.bool_()))
+            common.release()
 
         return run
 
