@@ -374,35 +374,80 @@ def scorer_of(model: ToxicityModel) -> Scorer:
     return _scorers[model.name]
 
 
+#: Bits of a filter over hashes of keys, 4 MB: what it lets through beside the keys only costs time.
+BITS = 1 << 25
+
+
+def _among(docs: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The rows of docs whose key may be among the keys, found without a shuffle of docs."""
+    at = F.pmod(F.xxhash64(*names), F.lit(BITS))
+    words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).toArrow()  # 4 KB each, and 1,024 at most
+    bits = np.zeros(BITS // 8, np.uint8)
+    for word, some in zip(words["word"].to_pylist(), words["bits"].to_pylist(), strict=True):
+        bits[word * 4096 : word * 4096 + len(some)] = np.frombuffer(some, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1))
+
+    return docs.withColumn("_at", at).mapInArrow(run, docs.withColumn("_at", at).schema).drop("_at")
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of three words that follow each other; of all words if there are fewer."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int64()), ("sketch", pa.int64())])
+    """The least hash of three words that follow each other; of all words if there are fewer."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("sketch", pa.int64())])
     for batch in batches:
         least = []
         for text in common.texts(batch):
             words = (text or b"").lower().split()
             least.append(min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) >> 1)
-        yield common.as_batch({"doc_id": common.ids(batch), "text": batch.column("text"), "toxic": [int(x) for x in common.ids(batch, "toxic")], "sketch": least}, schema)
+        yield common.as_batch({"doc_id": common.ids(batch), "digest": common.ids(batch, "digest"), "sketch": least}, schema)
+
+
+def observed(docs: DataFrame, truth: DataFrame) -> DataFrame:
+    """text, toxic: the labelled texts, of those with one sketch and label the one of the least id. What is sought among the documents goes
+    to them as bits, and only texts that are taken (and some more) are shuffled, once."""
+    own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("digest", F.xxhash64("text"))
+    marks = _among(own, truth, "doc_id").mapInArrow(_sketched, "doc_id long, digest long, sketch long").join(truth.hint("merge"), "doc_id")
+    taken = marks.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*", "toxic")
+    taken = common.written(taken, "toxicity-rows")  # read twice
+    # rows that are repeated, id and text, are one
+    return _among(own, taken, "doc_id", "digest").join(taken.hint("merge"), ["doc_id", "digest"]).groupBy("doc_id", "digest", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, level: float = 0.01, folds: int = 3, held_out: int = 1) -> ToxicityModel:
     truth = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(common.key_fold("doc_id", folds) != held_out)
     # copies and near copies of a text are one observation, however many they are
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(truth, "doc_id").mapInArrow(_sketched, "doc_id long, text string, toxic long, sketch long")
-    rows = rows.groupBy("sketch", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+    rows = observed(docs, truth)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums up what a bounded stretch of texts holds before the shuffle."""
         schema = pa.schema([("kind", pa.string()), ("gram", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
-        for batch in batches:
-            found: dict[str, list[Counter]] = {"rows": [Counter(), Counter()], "word": [Counter(), Counter()], "trigram": [Counter(), Counter()]}
-            for text, toxic in zip(common.texts(batch), common.ids(batch, "toxic"), strict=True):
-                words, y = set(WORDS((text or b"").decode().lower())), int(toxic > 0)
-                found["rows"][y][""] += 1
-                found["word"][y].update(words | {x for w in words for x in stems(w)})
-                for w in words:
-                    found["trigram"][y].update(map("".join, zip("^^" + w, "^" + w + "$", w + "$", strict=False)))
-            out = [(k, g, a[g], b[g]) for k, (a, b) in found.items() for g in a.keys() | b.keys()]
-            yield common.as_batch(dict(zip(schema.names, map(list, zip(*out, strict=True)) if out else [[]] * 4, strict=True)), schema)
+        found = {k: [Counter(), Counter()] for k in ("rows", "word", "trigram")}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for k, (a, b) in found.items():
+                grams = list(a.keys() | b.keys())
+                for i in range(0, len(grams), 50_000):
+                    some = grams[i : i + 50_000]
+                    yield common.as_batch({"kind": [k] * len(some), "gram": some, "clean": [a[g] for g in some], "toxic": [b[g] for g in some]}, schema)
+                a.clear()
+                b.clear()
+
+        for whole in batches:
+            for batch in common.slices(whole):
+                for text, toxic in zip(common.texts(batch), common.ids(batch, "toxic"), strict=True):
+                    words, y = set(WORDS((text or b"").decode().lower())), int(toxic > 0)
+                    found["rows"][y][""] += 1
+                    found["word"][y].update(words | {x for w in words for x in stems(w)})
+                    for w in words:
+                        found["trigram"][y].update(map("".join, zip("^^" + w, "^" + w + "$", w + "$", strict=False)))
+                if sum(map(len, found["word"])) > 200_000:
+                    yield from flushed()
+        yield from flushed()
+        common.release()
 
     sums = rows.mapInArrow(counted, "kind string, gram string, clean long, toxic long").groupBy("kind", "gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = common.written(sums, "toxicity-counts")  # read twice below
@@ -450,5 +495,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7)
         scorer = scorer_of(sent.value)
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t)[0] < threshold for t in common.texts(batch)], pa.bool_()))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

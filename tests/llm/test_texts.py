@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import common, language, lattice, packing, quality, tokens, toxicity
+from quillon.llm import common, decontaminate, language, lattice, packing, quality, tokens, toxicity
 
 from .conftest import EDGES
 
@@ -260,3 +261,40 @@ def test_a_worker_keeps_one_operators_cache():
     common.alone(two)
     assert not one and two
     common.CACHES[:] = [c for c in common.CACHES if c is not one and c is not two]
+
+
+def test_labelled_texts_are_found_without_a_shuffle_of_all_texts(spark):
+    """One text of each sketch and label, the one of the least id; rows that are repeated count once, and of a repeated id every sketch."""
+    rows = [(i, f"a{i} b{i} c{i} d{i}") for i in range(300)]
+    rows += [(1, rows[1][1]), (2, "another text of the second id"), (400, rows[7][1]), (401, rows[7][1]), (None, "a text without an id"), (402, None), (403, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = spark.createDataFrame([(i, int(i in (401, 3))) for i in (*range(0, 300, 2), 1, 3, 7, 400, 401, 402, 403, 999)], "doc_id long, toxic int")
+    got = sorted((r.text or "", r.toxic) for r in toxicity.observed(docs, truth).collect())
+    odd = [(rows[i][1], int(i == 3)) for i in (1, 3, 7)]
+    assert got == sorted([*((rows[i][1], 0) for i in range(0, 300, 2)), *odd, (rows[7][1], 1), ("another text of the second id", 0), ("", 0)])
+    kept = toxicity._among(docs, truth, "doc_id")
+    assert kept.where(F.col("doc_id") < 300).count() < 250 and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_test_items_are_runs_of_letters_and_digits():
+    text = bytes(range(256)) * 2 + "Größe, 12ab'cd\nÉ".encode()
+    assert decontaminate.words_of(text) == re.findall(rb"[0-9a-z\x80-\xff]+", text.lower()) and decontaminate.words_of(None) == []
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """A worker process gets a few MB of text at a time, however long the texts are."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('long text ', 10000) AS text")
+    assert max(r.n for r in common.written(texts.mapInArrow(sizes, "n long"), "sizes").collect()) < 8 << 20
+
+
+def test_ids_are_kept_as_bytes():
+    enc = tokens.encoder()
+    text = "Don't pack <|x|> naïve 漢字 12345 words, words!"
+    assert enc.ids(text.encode()).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids and enc.count(text.encode()) == len(enc.ids(text.encode()))
+    assert all(isinstance(x, bytes) for x in enc.words.values())
