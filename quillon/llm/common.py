@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import zlib
@@ -30,17 +32,21 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 #: Spark removes the shuffle files of a query once it has ended; off by default, when they stay until the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How much text Spark hands to a worker process at a time, which holds some copies of it: by default 10,000 rows or 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. The shuffles behind it are done with."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    was = spark.conf.get(CLEANUP, "false")
+    was = spark.conf.get(CLEANUP, "false"), spark.conf.get(BATCH)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, BATCH_BYTES)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, was)
+        spark.conf.set(CLEANUP, was[0])
+        spark.conf.set(BATCH, was[1])
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     MADE.append((spark, path))
@@ -116,8 +122,10 @@ def alone(cache: dict) -> None:
 
 
 def release() -> None:
-    """Gives back what Arrow keeps of memory that is no longer used: a worker process lives on between tasks."""
+    """Gives back what Arrow and the C library keep of memory that is no longer used: a worker process lives on between tasks."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
