@@ -19,6 +19,8 @@ COUNTERPARTS = {
     "actor": "actress", "actress": "actor", "chairman": "chairwoman", "chairwoman": "chairman",
     "spokesman": "spokeswoman", "spokeswoman": "spokesman",
 }
+#: A gendered word as a whole run of letters; most runs begin with none of the letters that these begin with.
+GENDERED = rf"(?<![A-Za-z])(?=[{''.join(sorted({c for w in COUNTERPARTS for c in (w[0], w[0].upper())}))}])(?i:{'|'.join(sorted({*COUNTERPARTS, 'her'}, key=lambda w: (w[0], -len(w), w)))})(?![A-Za-z])"
 #: Words after which "her" is an object, not a possessive (fixed values).
 OBJECT_FOLLOWERS = ("a", "an", "the", "this", "that", "these", "those", "to", "for", "with", "at", "in", "on", "of", "by", "from", "as", "and", "or", "but", "into", "about", "after", "before", "while", "when", "where", "who", "which", "if", "so", "up", "out", "over", "off")
 #: Phrases that the swap leaves alone; years and durations that give an age away (fixed values).
@@ -47,30 +49,31 @@ def swap_gender(text: Column) -> Column:
     women's medicine left alone. A null text gives nulls."""
     # a protected word is split by marks between its letters, so that it is no word for the swap
     shielded = F.regexp_replace(text, PROTECTED, f"{MARK}$1{MARK}$2")
-    tokens = F.regexp_extract_all(shielded, F.lit("([A-Za-z]+|[^A-Za-z]+)"), 1)
     table = F.create_map(*[F.lit(x) for pair in COUNTERPARTS.items() for x in pair])
 
-    def swapped(tokens: Column) -> Column:
+    def swapped(words: Column, gaps: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
-            before, after, follower = F.get(tokens, i - 1), F.get(tokens, i + 1), F.lower(F.coalesce(F.get(tokens, i + 2), F.lit("")))
-            shield = F.coalesce(before.endswith(MARK) & after.startswith(MARK), F.lit(False))
-            possessive = F.coalesce(after.rlike(r"^\s+$"), F.lit(False)) & (follower != "") & ~follower.isin(*OBJECT_FOLLOWERS)
+            before, after = F.get(gaps, i), F.get(gaps, i + 1)
+            shield = before.endswith(MARK) & after.startswith(MARK)
+            letters = F.regexp_extract(after, "^[^A-Za-z]*+([A-Za-z]+)", 1)
+            follower = F.lower(F.when(letters != "", letters).otherwise(F.coalesce(F.get(words, i + 1), F.lit(""))))
+            possessive = F.regexp_extract(after, "^[^A-Za-z]*+", 0).rlike(r"^\s+$") & (follower != "") & ~follower.isin(*OBJECT_FOLLOWERS)
             her = F.lower(t) == "her"
             other = F.when(shield, None).when(her, F.when(possessive, "his").otherwise("him")).otherwise(F.try_element_at(table, F.lower(t)))
-            changed = lambda o: F.struct(F.coalesce(match_case(o, t), t).alias("t"), o.isNotNull().cast("int").alias("s"), (o.isNotNull() & her).cast("int").alias("h"))
-            # most tokens are longer than any gendered word, or no words at all
-            same = F.struct(t.alias("t"), F.lit(0).alias("s"), F.lit(0).alias("h"))
-            return F.when((F.length(t) < 2) | (F.length(t) > 11) | ~t.rlike("^[A-Za-z]"), same).otherwise(F.transform(F.array(other), changed)[0])
+            changed = lambda o: F.struct(F.concat(F.coalesce(match_case(o, t), t), after).alias("t"), o.isNotNull().cast("int").alias("s"), (o.isNotNull() & her).cast("int").alias("h"))
+            return F.transform(F.array(other), changed)[0]
 
-        return F.transform(tokens, one)
+        return F.struct(F.get(gaps, F.lit(0)).alias("first"), F.transform(words, one).alias("rest"))
 
     def gathered(done: Column) -> Column:
-        total = lambda field: F.aggregate(done, F.lit(0), lambda a, x: a + x[field])
-        joined = F.regexp_replace(F.array_join(F.transform(done, lambda x: x["t"]), ""), MARK, "")
+        total = lambda field: F.aggregate(done["rest"], F.lit(0), lambda a, x: a + x[field])
+        joined = F.regexp_replace(F.concat(done["first"], F.array_join(F.transform(done["rest"], lambda x: x["t"]), "")), MARK, "")
         return F.struct(joined.alias("text"), total("s").alias("swapped"), total("h").alias("her_resolved"))
 
-    # arrays of one bind the tokens, and what became of them, to a variable: written out, each token would split the text anew
-    done = F.transform(F.array(tokens), swapped)
+    # only gendered words, few of all, become tokens, with what stands between them; arrays of one bind a value to a variable: written
+    # out, each token would split the text anew
+    parts = F.transform(F.array(shielded), lambda x: F.struct(F.regexp_extract_all(x, F.lit(GENDERED), F.lit(0)).alias("words"), F.split(x, GENDERED).alias("gaps")))
+    done = F.transform(parts, lambda x: swapped(x["words"], x["gaps"]))
     return F.when(text.isNotNull(), F.transform(done, gathered)[0])
 
 

@@ -67,3 +67,15 @@ def test_grams_are_counted_within_rows_and_over_repeated_keys(spark):
     counts = texts.counted(docs, "id")
     got = {(r.id, r.gram): r.n for r in counts.collect()}
     assert got == {(1, "ab"): 3, (1, "cd"): 1, (1, "ab cd"): 1, (1, "cd ab"): 1, (3, "cd"): 1, (3, "ab"): 1, (3, "cd ab"): 1, (None, "ab"): 2}
+
+
+def test_a_swap_makes_tokens_of_gendered_words_alone(spark):
+    """Most words of a text are none: the plan has no expression that makes a token of each."""
+    from quillon.functions import rewrites
+
+    given = ["He met her. Her \x01he\x01 women's health, HER the", "she saw her", "", "her\nhe her-x sheep Women", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", rewrites.swap_gender(F.col("t")).alias("s"))
+    got = {r.i: r.s and (r.s.text, r.s.swapped, r.s.her_resolved) for r in rows.collect()}
+    assert got == {0: ("She met him. Him he women's health, HIM the", 4, 3), 1: ("he saw him", 2, 1), 2: ("", 0, 0), 3: ("his\nshe him-x sheep Men", 4, 2), 4: None}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^A-Za-z]+)" not in plan and rewrites.GENDERED[:12] in plan
