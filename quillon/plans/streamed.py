@@ -166,9 +166,9 @@ UPTO = "(SELECT max(ts) FROM events) - INTERVAL '3 days'"
     SELECT request, u.event_id AS event_id, u.served AS served FROM (SELECT request, unnest(r.out) AS u FROM f)""")
 def r04(spark, d):
     """Equal requests (here: of a user) in flight for twelve hours are one; a stream with one value of state a request."""
-    stream = feedback.log_stream(spark, event_files(spark, d)).select(F.col("user_id").alias("request"), "event_id", "ts", F.unix_micros("ts").alias("at"))
-    out = ordered.folded(stream, "request", "ts", "event_id", ordered.InFlight(12 * 3600 * 1_000_000), ordered.InFlight.SCHEMA, "3 days")
-    return spark.read.parquet(feedback.drained(out, "in-flight")).select("request", "event_id", "served")
+    stream = feedback.log_stream(spark, event_files(spark, d)).select(F.col("user_id").alias("request"), "event_id", "ts")
+    out = ordered.swept(stream, "request", "ts", "event_id", ordered.InFlight(12 * 3600 * 1_000_000), ordered.InFlight.SCHEMA, "3 days", "in-flight")
+    return spark.read.parquet(out).select("request", "event_id", "served")
 
 
 @query("r06_stream_alignment", f"""WITH {W.FEEDBACK}, r AS (SELECT *, row_number() OVER (PARTITION BY label_source ORDER BY ts, event_id) AS k FROM feedback WHERE ts <= {UPTO}),

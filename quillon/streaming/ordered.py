@@ -11,11 +11,13 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.weights import agreement_of
@@ -185,6 +187,75 @@ def placed(stream: DataFrame, key: str, time: str, tie: str, emit: Callable[[Dat
     return f"{home}/out"
 
 
+def swept(stream: DataFrame, key: str, time: str, tie: str, fold: Fold, schema: str, late: str, label: str, home: str | None = None) -> str:
+    """Runs a stream over what is there, for keys that are many: what `folded` emits, from a sweep over each batch's passed rows; the path of
+    its output (key and the columns of schema, DDL).
+
+    Rows pass as in `placed`. They are dealt out by key and sorted by (key, time, tie), and a task folds them as they come by, one value at a
+    time, so that a large key is never held. A key's value is a row before its next ones; values, and rows that wait, are tables a batch. The
+    fold sees a row's other columns, but the time, which it sees as `at`, in microseconds."""
+    spark, home = stream.sparkSession, home or new_path(stream.sparkSession, label)
+    others = [c for c in stream.columns if c not in (key, time)]
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).select(key, F.unix_micros(time).alias("_when"), F.col(tie).cast("long").alias("_tie"), *others)
+    told = StructType([rows.schema[key], StructField("_value", StringType())])
+    marks, behind = StructType([StructField("_mark", LongType())]), F.expr(f"interval {late}")
+    names = [c.split()[0] for c in schema.split(", ")]
+    made = StructType([*told.fields, *StructType.fromDDL(schema).fields])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, last, value = to_arrow_schema(made), None, None
+        columns: list[list] = [[] for _ in types]
+
+        def put(k: tuple, body: str | None, values: Sequence[Any]) -> None:
+            for column, x in zip(columns, (*k, body, *values), strict=True):
+                column.append(x)
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+            for column in columns:
+                column.clear()
+            return out
+
+        for batch in batches:
+            given = [batch.column(c).to_pylist() for c in ("_when", "_value", *others)]
+            for k, at, body, *values in zip(batch.column(key).to_pylist(), *given, strict=True):
+                if (k,) != last:
+                    if last is not None:
+                        put(last, json.dumps(value), [None] * len(names))
+                    last, value = (k,), None
+                if at is None:  # what batches before have left
+                    value = json.loads(body)
+                    continue
+                value, out = fold(value, {**dict(zip(others, values, strict=True)), "at": at})
+                for x in out:
+                    put(last, None, x)
+            if len(columns[0]) > 10_000:
+                yield flushed()
+        if last is not None:
+            put(last, json.dumps(value), [None] * len(names))
+        yield flushed()
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, f"{home}/state/batch={number}"
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{at}/{name}")
+        before = _state(spark, home, number, "mark", marks).first()
+        latest = batch.agg(F.unix_micros(F.timestamp_micros(F.max("_when")) - behind)).first()[0]
+        old = before[0] if before else None
+        mark = max((m for m in (old, latest) if m is not None), default=None)
+        fresh = batch.where(F.lit(True) if old is None else F.col("_when") > old).unionByName(_state(spark, home, number, "waiting", rows.schema))
+        passed = F.lit(False) if mark is None else F.col("_when") <= mark
+        put(fresh.where(F.coalesce(~passed, F.lit(False))), "waiting")
+        given = fresh.where(passed).unionByName(_state(spark, home, number, "swept", made).where("_value is not null").select(key, "_value"), allowMissingColumns=True)
+        place = [F.asc_nulls_first(c) for c in (key, "_when", "_tie", *[c for c in others if rows.schema[c].dataType.typeName() not in ("map", "variant")])]
+        put(given.repartition(key).sortWithinPartitions(*place).mapInArrow(sweep, made), "swept")
+        spark.read.schema(made).parquet(f"{at}/swept").where("_value is null").drop("_value").write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+        put(spark.createDataFrame([(mark,)] if mark is not None else [], marks), "mark")
+
+    query = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/checkpoint").foreachBatch(step).start()
+    query.awaitTermination()
+    return f"{home}/out"
+
+
 def aligned(rows: DataFrame, key: str, window: int = 20, max_ratio: float = 20.0, block: int = 5000) -> DataFrame:
     """key, k, agreement, n_effective of fresh rows (propensity, ok, place), each over the last `window` labels: what Alignment folds. A key's
     places are cut into blocks that begin with the window - 1 rows before them, so that a large key is many windows."""

@@ -83,3 +83,21 @@ def test_merged_stream_goes_on_after_a_restart(spark, log, tmp_path):
         feedback.drained(stream, "x", step=table.merge, home=home)
     want = {s: max((r[2], r[1]) for r in log if r[0] == s)[1] for s in "ab"}
     assert {r.score: r.event_id for r in table.read().collect()} == want
+
+
+def test_a_sweep_goes_on_with_the_values_of_batches_before(spark, tmp_path):
+    """Requests stay in flight from one run to the next, late rows are dropped, and a task folds many keys."""
+    import datetime as dt
+
+    log, home = f"file://{tmp_path}/log", f"file://{tmp_path}/home"
+    at = lambda hours: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+    put = lambda rows: spark.createDataFrame(rows, "request string, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(log)
+
+    def run():
+        stream = feedback.log_stream(spark, log)
+        return spark.read.parquet(ordered.swept(stream, "request", "ts", "event_id", ordered.InFlight(12 * 3600 * 1_000_000), ordered.InFlight.SCHEMA, "1 hour", "x", home=home))
+
+    put([("a", 2, at(5)), ("a", 1, at(0)), ("b", 3, at(1)), (None, 4, at(2)), ("a", 5, at(30))])
+    assert sorted((r.request or "", r.event_id, r.served) for r in run().collect()) == [("", 4, 0), ("a", 1, 0), ("b", 3, 0)]
+    put([("b", 6, at(40)), ("b", 7, at(2)), ("a", 8, at(29.5)), ("b", 9, at(60))])
+    assert sorted((r.request or "", r.event_id, r.served) for r in run().collect()) == [("", 4, 0), ("a", 1, 0), ("a", 8, 2), ("b", 3, 0), ("b", 6, 1)]
