@@ -66,6 +66,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 20_000) -> int:
+    """Partitions for a table of `rows` rows: one for `each` of them, but as many as the cluster has cores, and no more than a shuffle
+    has. Small tables would otherwise be as many files as there are shuffle partitions: each costs requests to the store, and on a local
+    one the JVM starts processes to set its mode, which for a moment count with all of the JVM's memory."""
+    return min(shuffle_partitions(spark), max(spark.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def key_fold(column: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo modulus; null ids count as the text '' would."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -111,12 +118,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CACHES: list[dict] = []
 
 
-def alone(cache: dict) -> None:
+def alone(cache: dict | None = None) -> None:
     """Empties the other operators' caches: a worker process lives on from stage to stage, and needs those of its present one alone."""
     for other in CACHES:
         if other is not cache:
             other.clear()
-    if all(other is not cache for other in CACHES):
+    if cache is not None and all(other is not cache for other in CACHES):
         CACHES.append(cache)
     release()
 
@@ -196,27 +203,31 @@ def _forests(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[
     release()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """node, label: the smallest node of its connected component; nodes are binary.
 
-    Each partition of edges becomes a forest first. Then, round by round, every node takes the smallest of its neighbours and itself, and
+    Edges are dealt out to `parts` partitions, each of which becomes a forest first. Then, round by round, every node takes the smallest of its neighbours and itself, and
     that one's too; edges between nodes that have taken the same are gone, and the others connect what their ends have taken. So edges
     get fewer fast, and a round costs what is left of them. Nodes' labels follow by a join a round. All is written to the shared folder,
     and deleted when it is done with.
     """
-    left = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_forests, "u binary, v binary"), "edges")
-    labels = None
-    while left.limit(1).count():
+    spark = edges.sparkSession
+    dealt = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").repartition(parts or shuffle_partitions(spark))
+    left = written(dealt.mapInArrow(_forests, "u binary, v binary"), "edges")
+    labels = all_parts = None
+    while n := left.count():
+        parts = parts_for(spark, 2 * n)  # there are no more nodes
+        all_parts = all_parts or parts
         ends = left.select("u", "v").union(left.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        near = written(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "near")
+        near = written(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")).coalesce(parts), "near")
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        taken = written(near.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("to")), "taken")
+        taken = written(near.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("to")).coalesce(parts), "taken")
         as_ = lambda old, new: taken.select(F.col("node").alias(old), F.col("to").alias(new))
         moved = left.join(as_("u", "x"), "u").join(as_("v", "y"), "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        after = written(moved.mapInArrow(_forests, "u binary, v binary"), "edges")
+        after = written(moved.coalesce(parts).mapInArrow(_forests, "u binary, v binary"), "edges")
         # what this round has taken in stays a node for the rounds to come
         named = taken.select("node", F.col("to").alias("label")) if labels is None else labels.join(as_("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        named = written(named, "labels")
+        named = written(named.coalesce(all_parts), "labels")
         discard(left, near, taken, labels)
         left, labels = after, named
     if labels is None:

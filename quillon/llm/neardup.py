@@ -77,6 +77,7 @@ def signature(found: np.ndarray, coordinates: int) -> bytes:
 
 def sign(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         hashes = WordHashes()
         for whole in batches:
             for batch in common.slices(whole):
@@ -115,14 +116,14 @@ def tie(signatures: np.ndarray, matches: int) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, coordinates: int, matches: int, hot: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between nodes of the same families, and the table that they are made from."""
     at = F.col("coordinate")
     posted = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1))).alias("coordinate")).select("node", F.xxhash64(at, F.substring("signature", at * 4 + 1, F.lit(4))).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     rarest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "key"))
     met = posted.join(often, "key").withColumn("rank", rarest)
-    ranked = common.written(met.where(F.col("rank") >= matches - 1).select("node", "key", "often", "rank"), "postings")
+    ranked = common.written(met.where(F.col("rank") >= matches - 1).select("node", "key", "often", "rank").coalesce(files), "postings")
     kept = ranked.where(F.col("rank") >= matches)
     lists = kept.where(F.col("often") <= hot).select("node", "key", F.lit(0).cast("long").alias("second"))
     other = ranked.select("node", F.col("key").alias("second"))
@@ -188,8 +189,9 @@ def links(sets: list[np.ndarray], percent: int, first: int | None = None) -> lis
     return out
 
 
-def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between nodes of a family that are similar on full sets. members: node, doc_id, family, size."""
+def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int, count: int) -> DataFrame:
+    """Links (a, b) between nodes of a family that are similar on full sets. members: node, doc_id, family, size; `count` at most."""
+    spark = docs.sparkSession
     parts = common.shuffle_partitions(docs.sparkSession)
     schema = pa.schema([("family", pa.binary()), ("size", pa.int64()), ("node", pa.binary()), ("shingles", pa.binary())])
 
@@ -204,7 +206,7 @@ def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: in
                 yield common.as_batch(columns | {"shingles": [sets[i].tobytes() for i in right]}, schema)
 
     texts = docs.join(members, "doc_id").select("family", "size", "node", "text")
-    sets = common.written(texts.where(F.col("size") > block).mapInArrow(resolve, "family binary, size long, node binary, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    sets = common.written(texts.where(F.col("size") > block).mapInArrow(resolve, "family binary, size long, node binary, shingles binary").dropDuplicates(["node"]).coalesce(common.parts_for(spark, count, 2000)), "shingle-sets")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Families of texts that one task holds: their sets are made there, and go nowhere."""
@@ -248,7 +250,7 @@ def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int, block: in
     lone = placed.where(~F.col("linked")).select("family", "node", "shingles", "one", F.explode(F.sequence(F.lit(0), F.col("twos") - 1)).alias("two"), F.lit(1).alias("side"))
     rest = placed.select("family", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("one"), "two", F.lit(0).alias("side"))
     blocks = lone.unionByName(rest).repartition(parts, "family", "one", "two").sortWithinPartitions("family", "one", "two", F.desc("side"), "node").mapInArrow(across, "a binary, b binary")
-    found = common.written(small.union(starred).union(blocks), "links")
+    found = common.written(small.union(starred).union(blocks).repartition(common.parts_for(spark, count)), "links")
     common.discard(sets, tried)
     return found
 
@@ -257,14 +259,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, coordinates:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = common.written(sign(docs, k, coordinates), "signatures")
-    nodes = common.written(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("signature").alias("signature")), "nodes")
-    found, postings = candidates(nodes, coordinates, matches, hot)
-    families = common.components(found)
+    count = signed.count()
+    files = common.parts_for(docs.sparkSession, count)
+    nodes = common.written(signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("signature").alias("signature")).coalesce(files), "nodes")
+    found, postings = candidates(nodes, coordinates, matches, hot, files)
+    families = common.components(found, parts=files)
     common.discard(postings)
     sizes = families.groupBy("label").agg(F.count("*").alias("size"))
     members = families.join(sizes, "label").join(nodes.select("node", "first_id"), "node").select("node", F.col("first_id").alias("doc_id"), F.col("label").alias("family"), "size")
-    linked = confirm(docs, members, k, percent, block)
-    joined = common.components(linked)
+    linked = confirm(docs, members, k, percent, block, count)
+    joined = common.components(linked, parts=files)
     common.discard(linked, families)
     named = nodes.select("node", "first_id").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))

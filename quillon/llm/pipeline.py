@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = neardup.near_duplicates(docs, k=5).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
     once = named.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))).where(F.col(copy) == 1).drop(copy)
-    return once.unionByName(docs.where("doc_id is null"))
+    return once.unionByName(docs.where("doc_id is null")).coalesce(common.parts_for(spark, docs.count(), 2000))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,8 +378,9 @@ def scorer_of(model: ToxicityModel) -> Scorer:
 BITS = 1 << 25
 
 
-def _among(docs: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
-    """The rows of docs whose key may be among the keys, found without a shuffle of docs."""
+def _among(docs: DataFrame, keys: DataFrame, *names: str, then=iter, ddl: str | None = None) -> DataFrame:
+    """The rows of docs whose key may be among the keys, found without a shuffle of docs; `then` makes them into others with the columns
+    `ddl`, in the same worker process."""
     at = F.pmod(F.xxhash64(*names), F.lit(BITS))
     words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).toArrow()  # 4 KB each, and 1,024 at most
     bits = np.zeros(BITS // 8, np.uint8)
@@ -387,12 +388,12 @@ def _among(docs: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
         bits[word * 4096 : word * 4096 + len(some)] = np.frombuffer(some, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1))
 
-    return docs.withColumn("_at", at).mapInArrow(run, docs.withColumn("_at", at).schema).drop("_at")
+    return docs.withColumn("_at", at).mapInArrow(lambda batches: then(kept(batches)), ddl or docs.withColumn("_at", at).schema).drop("_at")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +411,9 @@ def observed(docs: DataFrame, truth: DataFrame) -> DataFrame:
     """text, toxic: the labelled texts, of those with one sketch and label the one of the least id. What is sought among the documents goes
     to them as bits, and only texts that are taken (and some more) are shuffled, once."""
     own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("digest", F.xxhash64("text"))
-    marks = _among(own, truth, "doc_id").mapInArrow(_sketched, "doc_id long, digest long, sketch long").join(truth.hint("merge"), "doc_id")
+    marks = _among(own, truth, "doc_id", then=_sketched, ddl="doc_id long, digest long, sketch long").join(truth.hint("merge"), "doc_id")
     taken = marks.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*", "toxic")
-    taken = common.written(taken, "toxicity-rows")  # read twice
+    taken = common.written(taken.coalesce(common.parts_for(docs.sparkSession, docs.count())), "toxicity-rows")  # read twice
     # rows that are repeated, id and text, are one
     return _among(own, taken, "doc_id", "digest").join(taken.hint("merge"), ["doc_id", "digest"]).groupBy("doc_id", "digest", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
@@ -450,7 +451,7 @@ def fit(docs: DataFrame, labels: DataFrame, level: float = 0.01, folds: int = 3,
         common.release()
 
     sums = rows.mapInArrow(counted, "kind string, gram string, clean long, toxic long").groupBy("kind", "gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = common.written(sums, "toxicity-counts")  # read twice below
+    sums = common.written(sums.coalesce(common.parts_for(docs.sparkSession, docs.count())), "toxicity-counts")  # read twice below
     clean, toxic = sums.where("kind = 'rows'").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = toxic / max(1, clean + toxic)
     tested = sums.where("kind = 'word' and clean + toxic >= 3").count()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import decontaminate, neardup, queries, repeats, warc
+from quillon.llm import common, decontaminate, neardup, queries, repeats, warc
 
 from .conftest import EDGES
 
@@ -235,3 +235,30 @@ def test_pipeline_with_clashing_columns(spark, data, edges):
         assert {r.kept for r in extra.select("kept").collect()} == {"x"}
         seen = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
         assert seen(extra) == seen(plain), name
+
+
+def test_small_tables_are_few_files(spark, edges, monkeypatch):
+    """Tables of a few rows aren't as many files as a shuffle has partitions, and no task runs two workers one after another."""
+    was = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    files, chained, write = {}, [], common.written
+
+    def written(df, label):
+        out = write(df, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        plan = [x.lstrip(" :+-") for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+        chained.extend(label for a, b in zip(plan, plan[1:]) if a.startswith("MapInArrow") and b.startswith("MapInArrow"))
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    try:
+        for c, v in zip(was, ("40", "false"), strict=True):
+            spark.conf.set(c, v)
+        neardup.near_duplicates(edges.union(edges), block=1).collect()
+        pairs = spark.createDataFrame([(bytes([0, i]), bytes([0, i + 1])) for i in range(0, 200, 1)], "a binary, b binary").repartition(40)
+        assert {bytes(r.label) for r in common.components(pairs).collect()} == {bytes([0, 0])}
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    most = spark.sparkContext.defaultParallelism
+    assert {"nodes", "postings", "near", "taken", "labels", "links"} <= files.keys()
+    assert not chained and {k: n for k, n in files.items() if k not in ("signatures", "hub-links", "edges") and n > most} == {}
