@@ -44,20 +44,22 @@ def match_case(word: Column, like: Column) -> Column:
     return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(word)).when(F.substring(like, 1, 1) == F.upper(F.substring(like, 1, 1)), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 100))).otherwise(word)
 
 
-def swap_gender(text: Column) -> Column:
+def swap_gender(text: Column, protect: bool = True) -> Column:
     """struct(text, swapped, her_resolved): gendered words exchanged, case kept; "her" by what follows; phrases about men's and
-    women's medicine left alone. A null text gives nulls."""
-    # a protected word is split by marks between its letters, so that it is no word for the swap
-    shielded = F.regexp_replace(text, PROTECTED, f"{MARK}$1{MARK}$2")
+    women's medicine left alone if `protect`. Without it no word is shielded, marks are characters like others, and white space is
+    what SQL's patterns call so. A null text gives nulls."""
+    # a protected word stands between marks
+    shielded = F.regexp_replace(text, PROTECTED, f"{MARK}$1{MARK}$2") if protect else text
+    white = r"^\s+\z" if protect else r"^[ \t\n\f\r]+\z"
     table = F.create_map(*[F.lit(x) for pair in COUNTERPARTS.items() for x in pair])
 
     def swapped(words: Column, gaps: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
             before, after = F.get(gaps, i), F.get(gaps, i + 1)
-            shield = before.endswith(MARK) & after.startswith(MARK)
+            shield = before.endswith(MARK) & after.startswith(MARK) if protect else F.lit(False)
             letters = F.regexp_extract(after, "^[^A-Za-z]*+([A-Za-z]+)", 1)
             follower = F.lower(F.when(letters != "", letters).otherwise(F.coalesce(F.get(words, i + 1), F.lit(""))))
-            possessive = F.regexp_extract(after, "^[^A-Za-z]*+", 0).rlike(r"^\s+$") & (follower != "") & ~follower.isin(*OBJECT_FOLLOWERS)
+            possessive = F.regexp_extract(after, "^[^A-Za-z]*+", 0).rlike(white) & (follower != "") & ~follower.isin(*OBJECT_FOLLOWERS)
             her = F.lower(t) == "her"
             other = F.when(shield, None).when(her, F.when(possessive, "his").otherwise("him")).otherwise(F.try_element_at(table, F.lower(t)))
             changed = lambda o: F.struct(F.concat(F.coalesce(match_case(o, t), t), after).alias("t"), o.isNotNull().cast("int").alias("s"), (o.isNotNull() & her).cast("int").alias("h"))
@@ -67,8 +69,8 @@ def swap_gender(text: Column) -> Column:
 
     def gathered(done: Column) -> Column:
         total = lambda field: F.aggregate(done["rest"], F.lit(0), lambda a, x: a + x[field])
-        joined = F.regexp_replace(F.concat(done["first"], F.array_join(F.transform(done["rest"], lambda x: x["t"]), "")), MARK, "")
-        return F.struct(joined.alias("text"), total("s").alias("swapped"), total("h").alias("her_resolved"))
+        joined = F.concat(done["first"], F.array_join(F.transform(done["rest"], lambda x: x["t"]), ""))
+        return F.struct((F.regexp_replace(joined, MARK, "") if protect else joined).alias("text"), total("s").alias("swapped"), total("h").alias("her_resolved"))
 
     # only gendered words, few of all, become tokens, with what stands between them; arrays of one bind a value to a variable: written
     # out, each token would split the text anew

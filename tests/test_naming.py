@@ -2,9 +2,13 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import registry
 from quillon.functions import rewrites as R
 from quillon.functions import scalars as S
 from quillon.operators import names, paired, proposals, resampling, sampling, scorecards
@@ -102,3 +106,16 @@ def test_unusable_proposals(raw):
 def test_strip_of_long_white_space(spark):
     text = "  a" + " " * 200_000 + "b \x1f "
     assert spark.createDataFrame([(text,)], "t string").select(S.strip(F.col("t")).alias("t")).first()[0] == "a" + " " * 200_000 + "b"
+
+
+@pytest.mark.parametrize("name", ["t05_swap_gender"])
+def test_swaps_of_odd_texts_are_their_sqls(spark, tmp_path, name):
+    odd = ["", None, "he", "\x01he\x01", "a\x01b", "women's health and men's clinic", "Mens health", "her\x0bfriend", "her\x0cfriend", "her  ", "her\n\x85king", "her  ", "HER friend to her", "1", " he ", "hE Sir.53@"]
+    texts = odd * 21  # each under ids of all remainders
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * len(texts)})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path)).toArrow()
+    want = db.execute(f"SELECT {', '.join(got.column_names)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, (r.values() for r in got.to_pylist()))) == sorted(want)
