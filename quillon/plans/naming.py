@@ -11,14 +11,14 @@ from ..operators import fitting, metrics, names, paired, records, resampling, sa
 from ..registry import query
 from . import worlds as W
 from .measure import CALL, rounded
-from .rewriting import AT, ENGLISH, SWAPPED, english
+from .rewriting import AT, ENGLISH, SWAPPED, english, swapped
 from .selecting import HEAD, NAMES, vectors
 
 
 @query("s21_swapped_twins", f"SELECT doc_id || '__twin' AS item_id, doc_id AS counterfactual_of, swapped, her_resolved, digest FROM ({SWAPPED}) WHERE doc_id % 5 < 2")
 def s21(spark, d):
     """The twin of every English test text, with the whole swap."""
-    rows = english(spark, d).where("doc_id % 5 < 2").select("doc_id", R.swap_gender(F.col("text")).alias("s"))
+    rows = swapped(english(spark, d).where("doc_id % 5 < 2"))
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("__twin")).alias("item_id"), F.col("doc_id").alias("counterfactual_of"), "s.swapped", "s.her_resolved", F.md5("s.text").alias("digest"))
 
 
