@@ -28,8 +28,8 @@ def s22(spark, d):
     """Twins made anew against those that are stored (with another swap, and of other items)."""
     rows = english(spark, d)
     stored = rows.where("doc_id % 3 > 0").select("doc_id", F.replace("text", F.lit(" he "), F.lit(" she ")).alias("text"))
-    fresh = rows.where("doc_id % 7 > 0").select("doc_id", R.swap_gender(F.col("text"))["text"].alias("text"))
-    return names.regenerated(stored, fresh, "doc_id")
+    fresh = swapped(rows.where("doc_id % 7 > 0")).select("doc_id", "s.text")
+    return names.regenerated(stored, fresh, "doc_id", texts_only=True)
 
 
 YEARS = f"len(list_filter(regexp_extract_all(text, '{R.YEAR}'), lambda y: CAST(y AS INTEGER) < 2000)) > 0"

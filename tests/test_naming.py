@@ -108,7 +108,7 @@ def test_strip_of_long_white_space(spark):
     assert spark.createDataFrame([(text,)], "t string").select(S.strip(F.col("t")).alias("t")).first()[0] == "a" + " " * 200_000 + "b"
 
 
-@pytest.mark.parametrize("name", ["t05_swap_gender", "s21_swapped_twins"])
+@pytest.mark.parametrize("name", ["t05_swap_gender", "s21_swapped_twins", "s22_regenerated"])
 def test_swaps_of_odd_texts_are_their_sqls(spark, tmp_path, name):
     odd = ["", None, "he", "\x01he\x01", "a\x01b", "women's health and men's clinic", "Mens health", "her\x0bfriend", "her\x0cfriend", "her  ", "her\n\x85king", "her  ", "HER friend to her", "1", " he ", "hE Sir.53@"]
     texts = odd * 21  # each under ids of all remainders
