@@ -3,7 +3,9 @@
 The coefficients at the optimum are sums of rows, w = X'a, so the fit looks for a alone. A damped Newton step is solved by conjugate
 gradients, each of which needs one product with XX': features lie in chunks, all entries of a feature in one, so that a task adds
 x (x . a) up over its features and Spark adds up what the tasks have; nothing is shuffled but those sums. A task holds a chunk and one
-vector; the driver some vectors. No place holds all coefficients.
+vector; the driver some vectors. No place holds all coefficients. Every product reads all chunks, so they are kept small and near: of a
+feature's entries those of one value are a run, which has its value once, and the executors hold the chunks while a fit goes on, in
+memory or else on their disks.
 
 Objective: c * sum(log loss) + |w|^2 / 2, intercepts free. Two classes have one vector of coefficients, for the second; more one each.
 """
@@ -14,18 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.files import new_path
 
-CHUNKS = "grams array<string>, idf array<double>, sizes binary, docs binary, raw binary"
-#: Entries of a chunk from which on it is closed, at a feature's end; places of a vector that travel together.
-ENTRIES, BLOCK = 1 << 16, 1 << 16
+CHUNKS = "grams array<string>, idf array<double>, sizes binary, lengths binary, raw binary, docs binary"
+CELLS = ("sizes", "lengths", "raw", "docs")  # runs of a feature; entries and value of a run; the entries' places
+#: Entries of a chunk from which on it is closed, at a feature's end; places of a vector that travel together; bytes of chunks that a task reads.
+ENTRIES, BLOCK, PART = 1 << 16, 1 << 16, 64 << 20
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Chunks from a partition's entries (gram, idf, doc, raw), which are sorted by gram."""
-    schema = pa.schema([("grams", pa.list_(pa.string())), ("idf", pa.list_(pa.float64())), ("sizes", pa.binary()), ("docs", pa.binary()), ("raw", pa.binary())])
+    schema = pa.schema([("grams", pa.list_(pa.string())), ("idf", pa.list_(pa.float64())), *((c, pa.binary()) for c in CELLS)])
     grams: list[str] = []
     idf: list[float] = []
     sizes: list[int] = []
@@ -34,7 +39,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
     total = 0
 
     def closed() -> pa.RecordBatch:
-        cells = [np.array(sizes, np.int32).tobytes(), np.concatenate(docs).astype(np.int32).tobytes(), np.concatenate(raw).astype(np.float64).tobytes()]
+        of, d, r = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(docs).astype(np.int32), np.concatenate(raw).astype(np.float64)
+        order = np.lexsort((d, r, of))
+        of, d, r = of[order], d[order], r[order]
+        begins = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (r[1:] != r[:-1])])
+        runs, lengths = np.bincount(of[begins], minlength=len(sizes)), np.diff(np.r_[begins, len(d)])
+        cells = [runs.astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), r[begins].tobytes(), d.tobytes()]
         out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([grams, idf, *cells], schema.types, strict=True)], schema=schema)
         for part in (grams, idf, sizes, docs, raw):
             part.clear()
@@ -72,47 +82,44 @@ def chunks(entries: DataFrame, most: int = ENTRIES) -> DataFrame:
     return entries.sparkSession.read.schema(CHUNKS).parquet(path)
 
 
-def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for s, d, r in zip(batch.column("sizes"), batch.column("docs"), batch.column("raw"), strict=True):
-        yield np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(d.as_buffer(), np.int32), np.frombuffer(r.as_buffer(), np.float64)
+def _read(cells: tuple) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(x, t) for x, t in zip(cells, (np.int32, np.int32, np.float64, np.int32), strict=True))
 
 
 def _sums(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of values by feature."""
+    """Sums of values by feature, or by run."""
     return np.add.reduceat(values, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of vectors summed up by place."""
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, v in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
-            part = np.frombuffer(v.as_buffer(), np.float64)
-            totals[b] = totals[b] + part if b in totals else part.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["block", "part"])
+def held(kept: DataFrame) -> RDD:
+    """The chunks' cells with the executors, dealt out evenly; to be given back by unpersist."""
+    spark = kept.sparkSession
+    cells = kept.select(*CELLS)
+    size = cells.agg(F.sum(sum(F.octet_length(c) for c in CELLS).cast("long"))).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    return cells.repartition(cores * max(1, -(-size // (cores * PART)))).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def product(kept: DataFrame, n: int, a: np.ndarray | None) -> np.ndarray:
+def product(cells: RDD, n: int, a: np.ndarray | None) -> np.ndarray:
     """XX'a of the chunks' raw values, for a with a column per class; without a, the rows' squared lengths."""
     columns, block = 1 if a is None else a.shape[1], BLOCK
-    sent = kept.sparkSession.sparkContext.broadcast(a)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = np.zeros((n, columns)), sent.value
-        for batch in batches:
-            for sizes, docs, raw in _cells(batch):
-                for k in range(columns):
-                    np.add.at(out[:, k], docs, raw * raw if own is None else raw * np.repeat(_sums(sizes, raw * own[docs, k]), sizes))
-        starts = range(0, n, block)
-        yield pa.RecordBatch.from_arrays([pa.array([s // block for s in starts], pa.int64()), pa.array([out[s : s + block].tobytes() for s in starts], pa.binary())], ["block", "part"])
-
-    out = np.zeros((n, columns))
-    summed = kept.select("sizes", "docs", "raw").mapInArrow(run, "block long, part binary").repartition("block").mapInArrow(_added, "block long, part binary")
-    for r in summed.toArrow().to_pylist():
-        s = r["block"] * block
-        out[s : s + block] = np.frombuffer(r["part"], np.float64).reshape(-1, columns)
+    sent = cells.context.broadcast(None if a is None else np.ascontiguousarray(a.T))
+
+    def run(chunks_: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        out, own = np.zeros((columns, n)), sent.value
+        for chunk in chunks_:
+            sizes, lengths, raw, docs = _read(chunk)
+            for k in range(columns):
+                value = raw * raw if own is None else raw * np.repeat(_sums(sizes, raw * _sums(lengths, own[k][docs])), sizes)
+                out[k] += np.bincount(docs, np.repeat(value, lengths), minlength=n)
+        yield from ((i, out[:, s : s + block]) for i, s in enumerate(range(0, n, block)))
+
+    out, parts = np.zeros((columns, n)), cells.mapPartitions(run)
+    # a vector of one block comes from each task; of longer ones the tasks' blocks are added up first
+    for i, part in (parts if n <= block else parts.reduceByKey(np.add, cells.getNumPartitions())).collect():
+        out[:, i * block : (i + 1) * block] += part
     sent.destroy()
-    return out
+    return out.T
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -132,11 +139,19 @@ def _curved(p: np.ndarray, v: np.ndarray) -> np.ndarray:
 def fitted(kept: DataFrame, y: np.ndarray, classes: int, c: float, most: int = 30, inner: int = 100, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """a (rows, free classes) so that the coefficients of the raw features are X'a, and the intercepts. Rows count at length 1; those
     without a feature do not take part. y: places of the classes, 0 to classes - 1."""
+    cells = held(kept)
+    try:
+        return _fitted(cells, y, classes, c, most, inner, tol)
+    finally:
+        cells.unpersist()
+
+
+def _fitted(cells: RDD, y: np.ndarray, classes: int, c: float, most: int, inner: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     n, free = len(y), 1 if classes == 2 else classes
-    length = np.sqrt(product(kept, n, None))
+    length = np.sqrt(product(cells, n, None))
     on = (length[:, 0] > 0).astype(float)[:, None]
     scale = np.where(length > 0, 1 / np.where(length > 0, length, 1), 0)
-    times = lambda v: scale * product(kept, n, scale * v)
+    times = lambda v: scale * product(cells, n, scale * v)
     true = (y[:, None] == 1).astype(float) if free == 1 else np.eye(classes)[y]
     used = np.flatnonzero(on[:, 0])
     told = lambda z: _loss(z[used], y[used])[0] * c
@@ -187,8 +202,9 @@ def coefficients(kept: DataFrame, a: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (sizes, docs, raw) in enumerate(_cells(batch)):
-                w = np.column_stack([_sums(sizes, raw * sent.value[docs, k]) for k in range(sent.value.shape[1])])
+            for i, cells in enumerate(zip(*(batch.column(c) for c in CELLS), strict=True)):
+                sizes, lengths, raw, docs = _read(tuple(x.as_buffer() for x in cells))
+                w = np.column_stack([_sums(sizes, raw * _sums(lengths, sent.value[docs, k])) for k in range(sent.value.shape[1])])
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1]), pa.int32()), pa.array(w.ravel(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("grams")[i].values, batch.column("idf")[i].values, rows], ["gram", "idf", "weights"])
 

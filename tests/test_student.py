@@ -38,3 +38,20 @@ def test_student_of_three_labels_and_of_one(spark):
     assert {k: got[k] for k in (1, 2, 3)} == {1: 0, 2: 4, 3: 7} and got[4] in (0, 4, 7)
     assert {r.predicted for r in texts.student(train.where("y = 4"), test, "id", "y").collect()} == {4}
     assert texts.student(train.where(F.col("y") < 0), test, "id", "y").where("predicted is null").count() == 4
+
+
+def test_products_read_runs_that_executors_hold(spark):
+    """A pass reads a place an entry, not a value too, and no file; nothing is held after the fit."""
+    entries = [(f"g{j}", 1.0, i, 1.5 if i % 7 else 2.5) for j in range(40) for i in range(j % 3, 300)]
+    kept = dual.chunks(spark.createDataFrame(entries, "gram string, idf double, doc long, raw double").repartition(3, "gram"), 2000)
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    cells = dual.held(kept)
+    assert sum(len(c) for row in cells.collect() for c in row) < 5 * len(entries)
+    x = np.zeros((300, 40))
+    for g, _, i, r in entries:
+        x[i, int(g[1:])] = r
+    a = np.random.default_rng(0).random((300, 2))
+    assert np.allclose(dual.product(cells, 300, a), x @ (x.T @ a)) and np.allclose(dual.product(cells, 300, None)[:, 0], (x * x).sum(1))
+    cells.unpersist()
+    dual.fitted(kept, np.arange(300) % 2, 2, 3.0)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == before
