@@ -49,9 +49,13 @@ class WordHashes(Generations):
 
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * MIX[1]
-        x = (x ^ (x >> np.uint64(27))) * MIX[2]
-    return x ^ (x >> np.uint64(31))
+        for shift, by in ((30, MIX[1]), (27, MIX[2]), (31, None)):
+            more = x >> np.uint64(shift)
+            more ^= x
+            if by is not None:
+                more *= by
+            x = more
+    return x
 
 
 def shingles(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:

@@ -262,3 +262,25 @@ def test_small_tables_are_few_files(spark, edges, monkeypatch):
     most = spark.sparkContext.defaultParallelism
     assert {"nodes", "postings", "near", "taken", "labels", "links"} <= files.keys()
     assert not chained and {k: n for k, n in files.items() if k not in ("signatures", "hub-links", "edges") and n > most} == {}
+
+
+def test_stretches_go_out_together_and_repetition_as_one(monkeypatch):
+    """The more buckets there are, the less a row to one of them holds: rows share batches. Strings of one repeated letter are one stretch."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcdefgh") for _ in range(3000)) for _ in range(20)] + ["a" * 3000, "a" * 3000 + "b"]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    sent = [r for b in repeats._anchors(50, 24, 101, 1)(iter([docs])) for r in b.to_pylist() if r["kind"] == repeats.COUNTED]
+    names = repeats.unpacked([r["names"] for r in sent])
+    names, owners = np.tile(names, len(texts)), np.repeat(np.arange(len(texts)), len(names))  # as if no anchor were unique
+    columns = {"bucket": [0] * (1 + len(texts)), "is_text": [0] + [1] * len(texts), "doc_id": [None, *range(len(texts))], "key": [None, *range(len(texts))], "text": [None, *texts]}
+    blank = [None] * len(texts)
+    given = pa.RecordBatch.from_pydict(columns | {"names": [repeats.packed(names), *blank], "docs": [repeats.packed(owners), *blank]})
+    none = type("Sent", (), {"value": np.zeros(0, np.uint64)})
+    out = list(repeats._stretches(50, 24, 101, 1, none)(iter([given])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) > 50 and len(out) <= 3
+    lengths = repeats.unpacked([r["lengths"] for r in rows if r["kind"] == repeats.TEXT])
+    assert lengths.max() >= 3000 and lengths.sum() < 20 * sum(map(len, texts))
